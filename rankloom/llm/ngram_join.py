@@ -6,7 +6,7 @@
    with ("hot") move behind all others, so boilerplate does not make candidates. Any set of hot columns gives the same
    result; it only decides how much work there is.
 3. A column with many rows is not expanded into all its pairs: rows meet the column's least row first. Only where a
-   column still joins different components do further rows lead, eight times as many each round, until none is left.
+   column still joins different components do further rows lead, LEADERS times as many each round, until none is left.
 4. A pair survives if its sizes allow it and if the parity sketch of both rows (a lower bound of their symmetric
    difference) does. The product of the surviving coordinates is then summed one block of columns after the other; a
    pair leaves as soon as its sum and what is left of the smaller row cannot reach the bound.
@@ -25,25 +25,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import components, keep, maybe_broadcast
+from .shared import keep, maybe_broadcast, merge
 
 U = np.uint64
 #: A column that more than this many rows lead with is hot.
 HOT = 16
 #: At most this many hot columns go to the executors (8 bytes each); with more, HOT is doubled until they fit.
 HOT_COLUMNS = 2_000_000
-HOT_ROUNDS = 3
+HOT_ROUNDS = 1
+#: A round lets this many times as many rows of a column lead as the last one.
+LEADERS = 16
 #: Column blocks of the exact product.
 BLOCKS = 8
 #: Classes that a task remembers to have sent already.
 SEEN = 400_000
+_BITMAP = 22
 
 
 def _sets(batch: pa.RecordBatch, text: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, their shingles, and the number of shingles of each row of the batch."""
     data, off = tc.raw(tc.text_column(batch, text))
-    own, grams = tc.shingles(tc.words(data, off, tc.LOWER), width)
-    return own, grams, np.bincount(own, minlength=batch.num_rows)
+    keys = tc.shingles(tc.words(data, off, tc.LOWER), width)
+    own = (keys >> U(tc.GRAM_BITS)).astype(np.int64)
+    return own, keys & tc.GRAM_MASK, np.bincount(own, minlength=batch.num_rows)
 
 
 def _classes(own: np.ndarray, grams: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -90,6 +94,8 @@ def _leading(src: DataFrame, width: int, num: int, den: int, hot) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = hot.value if hot is not None else np.zeros(0, np.uint64)
+        bits = np.zeros(1 << _BITMAP, bool)
+        bits[(table & U((1 << _BITMAP) - 1)).astype(np.int64)] = True
         seen: set[int] = set()
         for b in tc.slices(batches, "text"):
             own, grams, size = _sets(b, "text", width)
@@ -104,11 +110,12 @@ def _leading(src: DataFrame, width: int, num: int, den: int, hot) -> DataFrame:
                     seen.add(c)
             lead = size - (num * size + den - 1) // den + 1
             if len(table):
-                at = np.searchsorted(table, grams)
-                at[at == len(table)] = 0
-                grams_hot = table[at] == grams
-                order = np.lexsort((grams, grams_hot, own))
-                own, grams = own[order], grams[order]
+                at = np.flatnonzero(bits[(grams & U((1 << _BITMAP) - 1)).astype(np.int64)])
+                at = at[table[np.minimum(np.searchsorted(table, grams[at]), len(table) - 1)] == grams[at]]
+                keys = (own.astype(np.uint64) << U(tc.GRAM_BITS + 1)) | grams
+                keys[at] |= U(1 << tc.GRAM_BITS)
+                keys.sort()
+                own, grams = (keys >> U(tc.GRAM_BITS + 1)).astype(np.int64), keys & tc.GRAM_MASK
             rank = np.arange(len(own)) - np.repeat(np.concatenate([[0], np.cumsum(size)])[:-1], size)
             use = fresh[own] & (rank < lead[own])
             yield pa.RecordBatch.from_arrays([pa.array(grams[use].view(np.int64)), pa.array(cls[own[use]].view(np.int64))], names=["gram", "cls"])
@@ -179,7 +186,7 @@ def _product(both: DataFrame, num: int, den: int) -> DataFrame:
                 rows = [[np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3)]
                 na, nb = (np.array([len(x) for x in r]) for r in rows)
                 need = -(-num * (na + nb) // (num + den))
-                edge = np.arange(1, BLOCKS, dtype=np.uint64) * U(2**64 // BLOCKS)
+                edge = np.arange(1, BLOCKS, dtype=np.uint64) * U(2**tc.GRAM_BITS // BLOCKS)
                 cuts = [[np.searchsorted(x, edge) for x in r] for r in rows]
                 live, total = np.ones(n, bool), np.zeros(n, np.int64)
                 left = [na.copy(), nb.copy()]
@@ -215,44 +222,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table = keep(sets_table(docs, id_col, text_col, width), "sets")
     reps = keep(table.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
-    hot = np.zeros(0, np.uint64)
-    shipped = None
-    for _ in range(HOT_ROUNDS):
+    hot, shipped = np.zeros(0, np.uint64), None
+    for last in range(HOT_ROUNDS + 1):
         lead = _leading(src, width, num, den, shipped)
         counted = lead.groupBy("gram").agg(F.count("*").alias("rows"), F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head <> tail")
         counted = keep(counted, "columns")
-        more = _hot_columns(spark, counted, hot)
-        if len(more) <= len(hot) * 1.05:
+        more = hot if last == HOT_ROUNDS else _hot_columns(spark, counted, hot)
+        if len(more) <= len(hot) * 1.1:
             break
         hot, shipped = more, spark.sparkContext.broadcast(more)
-        lead = None
-    if lead is None:
-        lead = _leading(src, width, num, den, shipped)
-        counted = keep(lead.groupBy("gram").agg(F.count("*").alias("rows"), F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head <> tail"), "columns")
     posts = keep(lead.join(maybe_broadcast(counted.select("gram", "head"), 16), "gram").select("gram", "cls", "head").distinct(), "postings")
 
     wide = reps.select("cls", "n", "sketch")
     pairs = posts.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    links, labels, first, last = None, None, 0, 1
+    labels, last = None, 1
     while True:
         pairs = keep(_pruned(pairs, wide, num, den), "pairs")
         if not pairs.isEmpty():
             need = keep(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps, "cls").select(F.col("rep").alias("id")), "wanted")
             rows = keep(_rows_of(src, maybe_broadcast(need, 8), width).dropDuplicates(["cls"]), "rows")
             both = pairs.join(rows.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a").join(rows.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b")
-            new = keep(_product(both.select("a", "b", "ga", "gb"), num, den), "links")
-            links = new if links is None else links.union(new)
-        if links is None:
+            labels = merge(labels, _product(both.select("a", "b", "ga", "gb"), num, den))
+        if labels is None:
             break
-        labels = components(links)
         named = posts.join(labels, posts["cls"] == labels["node"], "left").select("gram", "cls", F.coalesce("root", "cls").alias("root"))
+        # columns of one component are done, and so are those whose rows have all led
         mixed = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where(f"lo <> hi and rows > {last + 1}").select("gram")
-        left = named.join(mixed, "gram", "left_semi")
-        ranked = left.selectExpr("gram", "cls", "root", "row_number() over (partition by gram order by cls) as rank")
+        ranked = named.join(mixed, "gram", "left_semi").selectExpr("gram", "cls", "root", "row_number() over (partition by gram order by cls) as rank")
         ranked = keep(ranked, "open")
         if ranked.isEmpty():
             break
-        first, last = last, last * 8
+        first, last = last, last * LEADERS
         leaders = ranked.where(f"rank > {first} and rank <= {last}").selectExpr("gram", "cls as a", "root as ra", "rank as ka")
         pairs = leaders.join(ranked.selectExpr("gram", "cls as b", "root as rb", "rank as kb"), "gram").where("ka < kb and ra <> rb").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
 

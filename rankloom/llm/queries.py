@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import html_text, quality, secrets, warc
 from .ngram_join import jaccard_components
 
 
@@ -14,11 +15,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at 100 * overlap >= 90 * union over 3-word shingles of every document."""
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of the secrets in every document."""
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and verdicts of every document; the host is its source."""
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    base = warc.archive_dir(spark)
+    warc.write(_table(spark, sf_dir, "pages"), base)
+    return warc.read(spark, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -44,7 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
         up = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("p")).select("n", F.least("n", "p").alias("p"))
-        up = keep(up, "hook")
         over = up.select(F.col("n").alias("p"), F.col("p").alias("pp"))
         up = keep(up.join(over, "p").select("n", F.col("pp").alias("p")), "hook")
         if found is None:
@@ -57,3 +56,18 @@ def components(edges: DataFrame) -> DataFrame:
     if found is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found
+
+
+def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """labels (node, root) after further links (a, b)."""
+    if labels is None:
+        found = components(links)
+        return None if found.isEmpty() else found
+    a, b = labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    mapped = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = keep(components(mapped), "merged")
+    if more.isEmpty():
+        return labels
+    over = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = labels.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return keep(old.union(more.join(labels, "node", "left_anti")), "labels")

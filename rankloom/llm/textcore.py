@@ -16,18 +16,27 @@ import pyarrow.compute as pc
 U = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
-_HASH_BYTES = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+def _table(values) -> bytes:
+    return np.asarray(values, np.uint8).tobytes()
+
+
+_space = np.zeros(256, np.uint8)
+_space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 1
+SPACE = _table(_space)
+_mark = np.ones(256, np.uint8)
+_mark[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 0
+#: White space and ASCII punctuation.
+PUNCTUATION = _table(_mark)
+_low = np.arange(256)
+_low[65:91] += 32
+LOWER = _table(_low)
+_low[48:58] = 48
 #: Lower case, and every digit counts as 0.
-LOWER_DIGITS = LOWER.copy()
-LOWER_DIGITS[48:58] = 48
+LOWER_DIGITS = _table(_low)
 
 _BASE = U(0x9E3779B97F4A7C15)
-_STEP = U(0xD1342543DE82EF95)
+_STEP = 0xD1342543DE82EF95
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,7 +49,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix((np.arange(256, dtype=np.uint64) + U(1)) * _BASE)
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Shingles keep this many bits of their hash, so that a text's number fits above them in one sortable word.
+GRAM_BITS = 52
+GRAM_MASK = U((1 << GRAM_BITS) - 1)
+SLICE_ROWS = 2048
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -67,7 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         at = 0
         while at < b.num_rows:
             to = int(np.searchsorted(off, off[at] + limit, "right")) - 1
-            to = min(max(to, at + 1), b.num_rows)
+            to = min(max(to, at + 1), at + SLICE_ROWS, b.num_rows)
             yield b.slice(at, to - at)
             at = to
 
@@ -90,31 +103,28 @@ class Words:
         return np.diff(self.first)
 
 
-def words(data: np.ndarray, off: np.ndarray, fold: np.ndarray | None = None) -> Words:
-    """Find and hash the words of texts that lie at `off` in `data`; `fold` maps bytes before hashing."""
-    space = np.ones(len(data) + 2, bool)
-    np.take(_SPACE, data, out=space[1:-1])
-    inside = ~space
+def words(data: np.ndarray, off: np.ndarray, fold: bytes | None = None, gaps: bytes = SPACE) -> Words:
+    """Find and hash the words of texts that lie at `off` in `data`; `fold` maps bytes before hashing, `gaps` marks those between words."""
+    src = data.tobytes()
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = np.frombuffer(src.translate(gaps), bool)
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
-    start = np.flatnonzero(inside[1:-1] & (space[:-2] | edge[:-1]))
-    end = np.flatnonzero(inside[1:-1] & (space[2:] | edge[1:])) + 1
+    solid = ~gap[1:-1]
+    start = np.flatnonzero(solid & (gap[:-2] | edge[:-1]))
+    end = np.flatnonzero(solid & (gap[2:] | edge[1:])) + 1
     first = np.searchsorted(start, off)
-    out = np.empty(len(start), np.uint64)
     size = end - start
-    cum = np.concatenate([[0], np.cumsum(size)])
-    at = 0
-    while at < len(start):
-        to = max(at + 1, int(np.searchsorted(cum, cum[at] + _HASH_BYTES, "right")) - 1)
-        n = size[at:to]
-        lead = cum[at:to] - cum[at]
-        place = np.arange(cum[to] - cum[at]) - np.repeat(lead, n)
-        chars = data[place + np.repeat(start[at:to], n)]
-        if fold is not None:
-            chars = fold[chars]
-        power = np.concatenate([[U(1)], np.cumprod(np.full(int(n.max()) - 1, _STEP, np.uint64))]) if n.max() > 1 else np.ones(1, np.uint64)
-        out[at:to] = mix(np.add.reduceat(_BYTE[chars] * power[place], lead))
-        at = to
+    # eight bytes at a time, so that the work goes with the words rather than the bytes
+    src = (src if fold is None else src.translate(fold)) + b"\0" * 8
+    eight = np.ndarray((len(src) - 7,), "<u8", src, strides=(1,))
+    out = mix((eight[start] & _TAIL[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _BASE))
+    at, k = np.flatnonzero(size > 8), 8
+    while len(at):
+        part = eight[start[at] + k] & _TAIL[np.minimum(size[at] - k, 8)]
+        out[at] = mix(out[at] * U(_STEP) + part)
+        k += 8
+        at = at[size[at] > k]
     return Words(start, end, out, first)
 
 
@@ -122,7 +132,7 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every n consecutive entries of h, by doubling; len(h) - n + 1 of them."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    whole, width, power = None, 0, int(_STEP)
+    whole, width, power = None, 0, _STEP
     block, size = h, 1
     left = n
     while True:
@@ -149,25 +159,23 @@ def inside(w: Words, n: int) -> np.ndarray:
     return np.arange(m) + n <= last
 
 
-def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-word shingles as (text, hash), sorted by both; a shorter text with words is one shingle."""
-    ok = inside(w, n)
-    at = np.flatnonzero(ok)
-    doc = w.doc
-    grams, own = rolling(w.hash, n)[at], doc[at]
+def shingles(w: Words, n: int) -> np.ndarray:
+    """Distinct n-word shingles as text << GRAM_BITS | hash, sorted; a shorter text with words is one shingle.
+
+    There must be no more texts than fit above the hash (SLICE_ROWS do, with a bit to spare)."""
+    at = np.flatnonzero(inside(w, n))
+    doc = w.doc.astype(np.uint64)
+    keys = (rolling(w.hash, n)[at] & GRAM_MASK) | (doc[at] << U(GRAM_BITS))
     short = np.flatnonzero((w.count > 0) & (w.count < n))
     if len(short):
-        extra = np.array([mix(rolling(w.hash[w.first[d] : w.first[d + 1]], int(w.count[d])) + U(int(w.count[d])))[0] for d in short], np.uint64)
-        grams, own = np.concatenate([grams, extra]), np.concatenate([own, short])
-    order = np.lexsort((grams, own))
-    grams, own = grams[order], own[order]
-    keep = np.ones(len(grams), bool)
-    keep[1:] = (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])
-    return own[keep], grams[keep]
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64) if x.dtype == np.uint64 else x
+        extra = [int(mix(rolling(w.hash[w.first[d] : w.first[d + 1]], int(w.count[d])) + U(int(w.count[d])))[0]) & int(GRAM_MASK) | int(d) << GRAM_BITS for d in short]
+        keys = np.concatenate([keys, np.array(extra, np.uint64)])
+    keys.sort()
+    if len(keys):
+        keep = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=keep[1:])
+        keys = keys[keep]
+    return keys
 
 
 def code_points(data: np.ndarray) -> np.ndarray:
