@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, quality, secrets, warc
+from . import cotrain, decontaminate, html_text, lm_score, quality, secrets, substrings, warc
 from .ngram_join import jaccard_components
 
 
@@ -35,6 +35,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that leaks into a document, with its nearest stretch."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; the target are the acceptable labelled ones."""
+    good = cotrain.acceptable(_table(spark, sf_dir, "labels")).where("good").select("doc_id")
+    return lm_score.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document under no 35-word window that repeats."""
+    out = substrings.remove_repeated(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     base = warc.archive_dir(spark)
@@ -42,6 +59,11 @@ def op8_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability and verdict of every document."""
+    return cotrain.classify(_table(spark, sf_dir, "documents"), cotrain.acceptable(_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
