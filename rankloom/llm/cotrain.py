@@ -29,13 +29,15 @@ from . import textcore as tc
 from .shared import keep, maybe_broadcast
 
 U = np.uint64
+#: A longer word is also held by its first PREFIX bytes.
+PREFIX = 6
 #: Feature tables: hashed words, hashed metadata bins.
 WORDS, METADATA = 1 << 18, 1 << 12
 ROUNDS = 2
 #: A view hands on what it puts above SURE or below 1 - SURE.
 SURE = 0.98
 #: Least share of labelled rows (and least number) that hold a word, and least deviation between the classes.
-SUPPORT, SUPPORT_ROWS, DEVIATION = 0.004, 8, 6.0
+SUPPORT, SUPPORT_ROWS, DEVIATION = 0.001, 8, 5.0
 #: Weaker features are left out: they are many, go together and would outvote the clear ones.
 LEAST_ODDS, CLIP = 1.5, 6.0
 #: Most that the features in favour of a row may add up to.
@@ -65,7 +67,11 @@ def _features(b: pa.RecordBatch) -> tuple[list[tuple[np.ndarray, np.ndarray]], t
     data, off = tc.raw(tc.text_column(b, "text"))
     rows = b.num_rows
     w = tc.words(data, off, tc.LOWER, tc.PUNCTUATION)
-    key = np.unique(w.doc.astype(np.uint64) << U(20) | (w.hash & U(WORDS - 1)))
+    long = np.flatnonzero(w.end - w.start > PREFIX)
+    stem = tc.span_hash(data, w.start[long], w.start[long] + PREFIX, tc.LOWER)
+    both = np.concatenate([w.hash, tc.mix(stem ^ U(0xC2B2AE3D27D4EB4F))])
+    own = w.doc.astype(np.uint64)
+    key = np.unique(np.concatenate([own, own[long]]) << U(20) | (both & U(WORDS - 1)))
     content = ((key >> U(20)).astype(np.int64), (key & U(WORDS - 1)).astype(np.int64))
 
     size = np.maximum(off[1:] - off[:-1], 1)

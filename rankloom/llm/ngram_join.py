@@ -5,9 +5,10 @@
    size n enter the product; two rows whose overlap reaches the bound must meet there. Columns that many rows lead
    with ("hot") move behind all others, so boilerplate does not make candidates. Any set of hot columns gives the same
    result; it only decides how much work there is.
-3. A column with many rows is not expanded into all its pairs: rows meet the column's least row first. Only where a
-   column still joins different components do further rows lead, LEADERS times as many each round, until none is left.
-4. A pair survives if its sizes allow it and if the parity sketch of both rows (a lower bound of their symmetric
+3. A column with many rows is not expanded into all its pairs: its rows meet first the one with the fewest columns before
+   it, the closest to what they share. Only the columns that then still hold different components are worked through, in
+   pairs of blocks of rows, and only pairs of different components that pass the bounds leave a block pair.
+4. A pair survives if its sizes and the places of the shared column in both rows allow it and if the parity sketch of both rows (a lower bound of their symmetric
    difference) does. The product of the surviving coordinates is then summed one block of columns after the other; a
    pair leaves as soon as its sum and what is left of the smaller row cannot reach the bound.
 
@@ -33,8 +34,8 @@ HOT = 16
 #: At most this many hot columns go to the executors (8 bytes each); with more, HOT is doubled until they fit.
 HOT_COLUMNS = 2_000_000
 HOT_ROUNDS = 1
-#: A round lets this many times as many rows of a column lead as the last one.
-LEADERS = 16
+#: Rows of one column in a block.
+BLOCK_ROWS = 512
 #: Column blocks of the exact product.
 BLOCKS = 8
 #: Classes that a task remembers to have sent already.
@@ -90,7 +91,7 @@ def sets_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
 
 def _leading(src: DataFrame, width: int, num: int, den: int, hot) -> DataFrame:
-    """(gram, cls) for the leading columns of every class, under the order (hot, hash)."""
+    """(gram, cls, n, pos) for the leading columns of every class, under the order (hot, hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = hot.value if hot is not None else np.zeros(0, np.uint64)
@@ -118,9 +119,10 @@ def _leading(src: DataFrame, width: int, num: int, den: int, hot) -> DataFrame:
                 own, grams = (keys >> U(tc.GRAM_BITS + 1)).astype(np.int64), keys & tc.GRAM_MASK
             rank = np.arange(len(own)) - np.repeat(np.concatenate([[0], np.cumsum(size)])[:-1], size)
             use = fresh[own] & (rank < lead[own])
-            yield pa.RecordBatch.from_arrays([pa.array(grams[use].view(np.int64)), pa.array(cls[own[use]].view(np.int64))], names=["gram", "cls"])
+            cols = (grams[use].view(np.int64), cls[own[use]].view(np.int64), size[own[use]].astype(np.int32), rank[use].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "cls", "n", "pos"])
 
-    return src.select("text").mapInArrow(run, "gram long, cls long")
+    return src.select("text").mapInArrow(run, "gram long, cls long, n int, pos int")
 
 
 def _hot_columns(spark, counted: DataFrame, have: np.ndarray) -> np.ndarray:
@@ -161,6 +163,76 @@ def _pruned(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
+def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a column and pass the bounds, by pairs of blocks of a column's rows.
+
+    A row goes to as many block pairs as its column has blocks; only pairs that pass leave them."""
+    parts = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", "n", "pos", "sketch")
+    dealt = dealt.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+
+    def one(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        i, j, own, cls, root, n, pos = (t.column(k).to_numpy().astype(np.int64) for k in ("i", "j", "own", "cls", "root", "n", "pos"))
+        if i[0] == j[0]:
+            left = right = np.arange(len(n))
+        else:
+            left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        if not len(left) or not len(right):
+            return cls[:0], cls[:0]
+        na, nb = n[left][:, None], n[right][None, :]
+        ok = (root[left][:, None] != root[right][None, :]) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+        ok &= (num + den) * np.minimum(na - pos[left][:, None], nb - pos[right][None, :]) >= num * (na + nb)
+        if i[0] == j[0]:
+            ok &= left[:, None] < right[None, :]
+        x, y = np.nonzero(ok)
+        x, y = left[x], right[y]
+        if not len(x):
+            return cls[:0], cls[:0]
+        sketch = [np.frombuffer(v, np.uint8) for v in t.column("sketch").to_pylist()]
+        size = np.array([len(v) for v in sketch])
+        least = np.minimum(size[x], size[y])
+        most = (n[x] + n[y]) - 2 * -(-num * (n[x] + n[y]) // (num + den))
+        good = np.zeros(len(x), bool)
+        for m in np.unique(least).tolist():
+            use = np.flatnonzero(size >= m)
+            place = np.zeros(len(size), np.int64)
+            place[use] = np.arange(len(use))
+            folded = np.stack([_fold(sketch[k], m) for k in use]).view(np.uint64)
+            at = np.flatnonzero(least == m)
+            for c in range(0, len(at), 1 << 14):
+                k = at[c : c + (1 << 14)]
+                good[k] = np.bitwise_count(folded[place[x[k]]] ^ folded[place[y[k]]]).sum(axis=1) <= most[k]
+        a, b = cls[x[good]], cls[y[good]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def groups(t: pa.Table, last: bool):
+            key = [t.column(k).to_numpy() for k in ("gram", "i", "j")]
+            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            edge = [0, *cut.tolist(), t.num_rows]
+            pairs = [one(t.slice(s, e - s)) for s, e in zip(edge[:-1], edge[1:] if last else edge[1:-1]) if e - s > 1]
+            rest = None if last else t.slice(edge[-2])
+            return pairs, rest
+
+        def batch(pairs):
+            a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            pairs, held = groups(held, False)
+            yield batch(pairs)
+        if held is not None and held.num_rows:
+            yield batch(groups(held, True)[0])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _rows_of(src: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(cls, grams) of the documents with the ids in `wanted` (id); grams are sorted 8-byte hashes."""
 
@@ -231,30 +303,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if len(more) <= len(hot) * 1.1:
             break
         hot, shipped = more, spark.sparkContext.broadcast(more)
-    posts = keep(lead.join(maybe_broadcast(counted.select("gram", "head"), 16), "gram").select("gram", "cls", "head").distinct(), "postings")
+    posts = keep(lead.join(maybe_broadcast(counted.select("gram"), 8), "gram", "left_semi").distinct(), "postings")
 
     wide = reps.select("cls", "n", "sketch")
-    pairs = posts.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    labels, last = None, 1
-    while True:
-        pairs = keep(_pruned(pairs, wide, num, den), "pairs")
+    # if this is the first column that both rows hold, what follows must suffice; another first column is met on its own
+    enough = f"{num + den} * least(na - pa, nb - pb) >= {num} * (na + nb) and {den} * least(na, nb) >= {num} * greatest(na, nb)"
+    heads = posts.groupBy("gram").agg(F.min(F.struct("pos", "cls", "n")).alias("h")).selectExpr("gram", "h.cls as a", "h.n as na", "h.pos as pa")
+    pairs = posts.selectExpr("gram", "cls as b", "n as nb", "pos as pb").join(heads, "gram").where(f"a <> b and {enough}").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
+    labels = None
+    for closing in (False, True):
+        if closing:
+            # columns whose rows are in one component by now are done
+            named = posts if labels is None else posts.join(labels, posts["cls"] == labels["node"], "left")
+            named = named.select("gram", "cls", "n", "pos", F.col("cls").alias("root") if labels is None else F.coalesce("root", "cls").alias("root"))
+            mixed = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi and rows > 2").select("gram", "rows")
+            open_ = named.join(mixed, "gram").join(wide.select("cls", "sketch"), "cls")
+            pairs = keep(_blocks(open_, num, den).distinct(), "pairs")
+        else:
+            pairs = keep(_pruned(pairs, wide, num, den), "pairs")
         if not pairs.isEmpty():
             need = keep(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps, "cls").select(F.col("rep").alias("id")), "wanted")
             rows = keep(_rows_of(src, maybe_broadcast(need, 8), width).dropDuplicates(["cls"]), "rows")
             both = pairs.join(rows.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a").join(rows.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b")
             labels = merge(labels, _product(both.select("a", "b", "ga", "gb"), num, den))
-        if labels is None:
-            break
-        named = posts.join(labels, posts["cls"] == labels["node"], "left").select("gram", "cls", F.coalesce("root", "cls").alias("root"))
-        # columns of one component are done, and so are those whose rows have all led
-        mixed = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where(f"lo <> hi and rows > {last + 1}").select("gram")
-        ranked = named.join(mixed, "gram", "left_semi").selectExpr("gram", "cls", "root", "row_number() over (partition by gram order by cls) as rank")
-        ranked = keep(ranked, "open")
-        if ranked.isEmpty():
-            break
-        first, last = last, last * LEADERS
-        leaders = ranked.where(f"rank > {first} and rank <= {last}").selectExpr("gram", "cls as a", "root as ra", "rank as ka")
-        pairs = leaders.join(ranked.selectExpr("gram", "cls as b", "root as rb", "rank as kb"), "gram").where("ka < kb and ra <> rb").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
 
     base = table.select("id", "n", "cls")
     if labels is not None:

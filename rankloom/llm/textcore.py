@@ -103,6 +103,27 @@ class Words:
         return np.diff(self.first)
 
 
+def _spans(src: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    size = end - start
+    # eight bytes at a time, so that the work goes with the words rather than the bytes
+    src += b"\0" * 8
+    eight = np.ndarray((len(src) - 7,), "<u8", src, strides=(1,))
+    out = mix((eight[start] & _TAIL[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _BASE))
+    at, k = np.flatnonzero(size > 8), 8
+    while len(at):
+        part = eight[start[at] + k] & _TAIL[np.minimum(size[at] - k, 8)]
+        out[at] = mix(out[at] * U(_STEP) + part)
+        k += 8
+        at = at[size[at] > k]
+    return out
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bytes | None = None) -> np.ndarray:
+    """Hash of the bytes of each span, as `words` hashes a word."""
+    src = data.tobytes()
+    return _spans(src if fold is None else src.translate(fold), start, end)
+
+
 def words(data: np.ndarray, off: np.ndarray, fold: bytes | None = None, gaps: bytes = SPACE) -> Words:
     """Find and hash the words of texts that lie at `off` in `data`; `fold` maps bytes before hashing, `gaps` marks those between words."""
     src = data.tobytes()
@@ -114,18 +135,7 @@ def words(data: np.ndarray, off: np.ndarray, fold: bytes | None = None, gaps: by
     start = np.flatnonzero(solid & (gap[:-2] | edge[:-1]))
     end = np.flatnonzero(solid & (gap[2:] | edge[1:])) + 1
     first = np.searchsorted(start, off)
-    size = end - start
-    # eight bytes at a time, so that the work goes with the words rather than the bytes
-    src = (src if fold is None else src.translate(fold)) + b"\0" * 8
-    eight = np.ndarray((len(src) - 7,), "<u8", src, strides=(1,))
-    out = mix((eight[start] & _TAIL[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _BASE))
-    at, k = np.flatnonzero(size > 8), 8
-    while len(at):
-        part = eight[start[at] + k] & _TAIL[np.minimum(size[at] - k, 8)]
-        out[at] = mix(out[at] * U(_STEP) + part)
-        k += 8
-        at = at[size[at] > k]
-    return Words(start, end, out, first)
+    return Words(start, end, _spans(src if fold is None else src.translate(fold), start, end), first)
 
 
 def rolling(h: np.ndarray, n: int) -> np.ndarray:
