@@ -98,12 +98,11 @@ class Items:
             keys.append((v[order], own[order]))
         return samples, keys, own, sure
 
-    def candidates(self, windows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs that agree in some repetition."""
+    def candidates(self, walks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs of windows of n tokens that agree with an item in some repetition."""
         samples, keys, own, sure = self.lsh[n]
         if not sure:
-            return np.repeat(np.arange(len(windows)), len(own)), np.tile(own, len(windows))
-        walks = embed(windows, n)
+            return np.repeat(np.arange(walks.shape[1]), len(own)), np.tile(own, walks.shape[1])
         pairs = []
         for (k, s), (table, item) in zip(samples, keys):
             v = _key(walks[k][:, s])
@@ -135,19 +134,19 @@ def _noised(t: np.ndarray, e: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(x, np.uint64)
 
 
-def embed(x: np.ndarray, n: int) -> list[np.ndarray]:
-    """CGK walks of rows of n tokens: 3 n coordinates each; past the end a row reads as 0."""
+def embed(x: np.ndarray, n: int) -> np.ndarray:
+    """CGK walks (walk, row, step) of rows of at most n tokens, 3 n steps; past its end a row reads as 0.
+
+    The first 3 m steps of a row of m tokens are the same whatever n is."""
     padded = np.concatenate([x, np.zeros((len(x), 1), np.uint64)], axis=1)
-    rows = np.arange(len(x))
-    out = []
-    for k in range(WALKS):
-        at, walk = np.zeros(len(x), np.int64), np.empty((len(x), 3 * n), np.uint64)
-        for j in range(3 * n):
-            c = padded[rows, at]
-            walk[:, j] = c
-            coin = tc.mix(c ^ U((j * WALKS + k + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> U(63)
-            at = np.minimum(at + coin.astype(np.int64), n)
-        out.append(walk)
+    rows = np.arange(len(x))[None, :]
+    at, out = np.zeros((WALKS, len(x)), np.int64), np.empty((WALKS, len(x), 3 * n), np.uint64)
+    walk = np.arange(1, WALKS + 1, dtype=np.uint64)[:, None]
+    for j in range(3 * n):
+        c = padded[rows, at]
+        out[:, :, j] = c
+        coin = tc.mix(c ^ ((U(j * WALKS) + walk) * U(0x9E3779B97F4A7C15))) >> U(63)
+        at = np.minimum(at + coin.astype(np.int64), n)
     return out
 
 
@@ -163,14 +162,14 @@ def best_stretch(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     m = len(text)
     d, start = np.zeros(m + 1, np.int64), np.arange(m + 1)
     j = np.arange(m + 1)
-    big = 1 << 32
+    big, low = 32, (1 << 32) - 1
     for c in item:
         # distance and start in one number: of equal distances the later start, which is the shorter stretch
-        v = d * big + (big - 1 - start)
-        up = v + big
-        up[1:] = np.minimum(up[1:], v[:-1] + (text != c) * big)
-        w = np.minimum.accumulate(up - j * big) + j * big
-        d, start = w // big, big - 1 - w % big
+        v = (d << big) + (low - start)
+        up = v + (1 << big)
+        up[1:] = np.minimum(up[1:], v[:-1] + ((text != c).astype(np.int64) << big))
+        w = np.minimum.accumulate(up - (j << big)) + (j << big)
+        d, start = w >> big, low - (w & low)
     end = int(np.argmin(d))
     return int(d[end]), int(start[end]), end
 
@@ -200,31 +199,38 @@ def _scan(w: tc.Words, items: Items, rows: int) -> list[tuple[int, int, int, int
     starts = np.unique(np.concatenate(starts), axis=0)
     hits = []
     padded = np.concatenate([w.hash, np.zeros(int(items.size.max()), np.uint64)])
-    for n in np.unique(starts[:, 0]).tolist():
-        first = starts[starts[:, 0] == n, 1]
-        for cut in range(0, len(first), 4096):
-            part = first[cut : cut + 4096]
-            grid = padded[part[:, None] + np.arange(n)]
-            grid[part[:, None] + np.arange(n) >= w.first[doc[part] + 1][:, None]] = 0
-            win, which = items.candidates(grid, n)
-            hits.append(np.stack([doc[part[win]], which, part[win]], axis=1))
+    for cut in range(0, len(starts), 4096):
+        part = starts[cut : cut + 4096]
+        size, first = part[:, 0], part[:, 1]
+        most = int(size.max())
+        place = first[:, None] + np.arange(most)
+        # a window ends after its item's number of tokens, or with its text
+        grid = np.where(place < np.minimum(first + size, w.first[doc[first] + 1])[:, None], padded[place], U(0))
+        walks = embed(grid, most)
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            win, which = items.candidates(walks[:, at], n)
+            hits.append(np.stack([doc[first[at[win]]], which, first[at[win]]], axis=1))
     if not hits:
         return []
     hits = np.unique(np.concatenate(hits), axis=0)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    last = (-1, -1, -1)
-    for r, i, s in hits.tolist():
-        n, e = int(items.size[i]), int(items.bound[i])
-        if (r, i) in best and best[r, i][0] == 0:
-            continue
-        if last[:2] == (r, i) and s - last[2] <= 0:
-            continue
-        lo, hi = max(s - e, int(w.first[r])), min(s + n + e, int(w.first[r + 1]))
-        d, a, b = best_stretch(w.hash[lo:hi], items.tokens[i])
-        if d <= e and ((r, i) not in best or d < best[r, i][0]):
-            best[r, i] = (d, lo + a, lo + b)
-        last = (r, i, s)
-    return [(r, i, *v) for (r, i), v in sorted(best.items())]
+    out = []
+    cuts = np.flatnonzero((hits[1:, 0] != hits[:-1, 0]) | (hits[1:, 1] != hits[:-1, 1])) + 1
+    for group in np.split(hits, cuts):
+        r, i = int(group[0, 0]), int(group[0, 1])
+        item, n, e = items.tokens[i], int(items.size[i]), int(items.bound[i])
+        lo, hi = int(w.first[r]), int(w.first[r + 1])
+        best = next(((0, s, s + n) for s in group[:, 2].tolist() if s + n <= hi and np.array_equal(w.hash[s : s + n], item)), None)
+        if best is None and e:
+            # starts no further apart than the bound lie in one stretch of text
+            for run in np.split(group[:, 2], np.flatnonzero(np.diff(group[:, 2]) > e) + 1):
+                a, b = max(int(run[0]) - e, lo), min(int(run[-1]) + n + e, hi)
+                d, x, y = best_stretch(w.hash[a:b], item)
+                if d <= e and (best is None or d < best[0]):
+                    best = (d, a + x, a + y)
+        if best is not None:
+            out.append((r, i, *best))
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE, recall: float = RECALL) -> DataFrame:
@@ -241,7 +247,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shipped.value
-            for b in tc.slices(batches, "text"):
+            for b in tc.slices(batches, "text", 8 << 20):
                 data, off = tc.raw(tc.text_column(b, "text"))
                 w = tc.words(data, off, tc.LOWER, tc.PUNCTUATION)
                 found = _scan(w, items, b.num_rows) if len(items.ids) and len(w.hash) else []
