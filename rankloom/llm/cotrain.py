@@ -7,8 +7,8 @@ views are combined by a logistic regression on the labelled rows and give every
 
 Fitting covers all rows: counts are gathered per task over fixed feature tables, so neither models nor histograms grow with the corpus.
 A feature counts only if enough labelled rows hold it and its classes differ clearly; both limits are shares or deviations,
-so they act alike at every size. Equal texts of a task are counted once in fitting, so that a group of copies does not vouch for its
-own words.
+so they act alike at every size. Near copies share one document's weight, so that a group of them does not vouch for its own
+words.
 
 A label row says whether an id is acceptable; of several for one id the least wins, null labels are left out, and without
 both classes every document is accepted. A null text is empty, null metadata is a value of its own.
@@ -37,14 +37,15 @@ ROUNDS = 2
 #: A view hands on what it puts above SURE or below 1 - SURE.
 SURE = 0.98
 #: Least share of labelled rows (and least number) that hold a word, and least deviation between the classes.
-SUPPORT, SUPPORT_ROWS, DEVIATION = 0.001, 8, 5.0
+SUPPORT, SUPPORT_ROWS, DEVIATION = 0.002, 8, 6.0
 #: Weaker features are left out: they are many, go together and would outvote the clear ones.
 LEAST_ODDS, CLIP = 1.5, 6.0
 #: Most that the features in favour of a row may add up to.
 FOR = 1.0
 #: Score bins of the calibration.
 BINS, SPAN = 64, 16.0
-SEEN = 200_000
+#: Weight of a document without near copies.
+UNIT = 1000
 
 
 @dataclass
@@ -62,8 +63,8 @@ def _bin(x: np.ndarray, steps: float) -> np.ndarray:
     return np.floor(np.asarray(x, float) * steps).astype(np.int64)
 
 
-def _features(b: pa.RecordBatch) -> tuple[list[tuple[np.ndarray, np.ndarray]], tc.Words]:
-    """(row, feature) pairs, distinct, of both views. Columns: id, text, lang, source, label."""
+def _features(b: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row, feature) pairs, distinct, of both views. Columns: id, text, lang, source, ..."""
     data, off = tc.raw(tc.text_column(b, "text"))
     rows = b.num_rows
     w = tc.words(data, off, tc.LOWER, tc.PUNCTUATION)
@@ -91,7 +92,7 @@ def _features(b: pa.RecordBatch) -> tuple[list[tuple[np.ndarray, np.ndarray]], t
     hashed = [pa_hash(b.column(k)) for k in (2, 3)]
     cols = [tc.mix(f.astype(np.uint64) * U(64) + U(k)) for k, f in enumerate([*figures, *hashed])]
     meta = np.stack(cols, axis=1) & U(METADATA - 1)
-    return [content, (np.repeat(np.arange(rows), len(cols)), meta.ravel().astype(np.int64))], w
+    return [content, (np.repeat(np.arange(rows), len(cols)), meta.ravel().astype(np.int64))]
 
 
 def pa_hash(a: pa.Array) -> np.ndarray:
@@ -119,33 +120,20 @@ def _count(src: DataFrame, views: list[View] | None) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = shipped.value
         tables = [np.zeros((2, k + 1), np.int64) for k in (WORDS, METADATA)]
-        seen: set[int] = set()
         for b in tc.slices(batches, "text"):
-            pairs, w = _features(b)
+            pairs = _features(b)
             rows = b.num_rows
-            whole = np.zeros(rows, np.uint64)
-            some = np.flatnonzero(w.count)
-            if len(some):
-                place = (np.arange(len(w.hash)) - np.repeat(w.first[:-1], w.count)).astype(np.uint64)
-                whole[some] = np.add.reduceat(tc.mix(w.hash + place * U(0x9E3779B97F4A7C15)), w.first[some])
-            fresh = np.zeros(rows, bool)
-            for i, h in enumerate(whole.tolist()):
-                if h not in seen:
-                    fresh[i] = True
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(h)
+            weight = b.column(5).fill_null(UNIT).to_numpy(zero_copy_only=False).astype(np.int64)
             label = b.column(4).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             for k in (0, 1):
                 use = label.copy()
                 if given is not None:
                     other = given[1 - k].chance(_scores(pairs[1 - k], given[1 - k].weight, rows))
                     use = np.where(use >= 0, use, np.where(other > SURE, 1, np.where(other < 1 - SURE, 0, -1)))
-                use[~fresh] = -1
                 for c in (0, 1):
-                    hit = use == c
-                    tables[k][c, :-1] += np.bincount(pairs[k][1][hit[pairs[k][0]]], minlength=tables[k].shape[1] - 1)
-                    tables[k][c, -1] += hit.sum()
+                    mass = np.where(use == c, weight, 0)
+                    tables[k][c, :-1] += np.bincount(pairs[k][1], mass[pairs[k][0]], tables[k].shape[1] - 1).astype(np.int64)
+                    tables[k][c, -1] += mass.sum()
         for k, t in enumerate(tables):
             for c in (0, 1):
                 at = np.flatnonzero(t[c])
@@ -161,17 +149,24 @@ def _count(src: DataFrame, views: list[View] | None) -> list[np.ndarray]:
     return out
 
 
-def _fit(table: np.ndarray) -> np.ndarray:
-    """Log-odds of the features whose shares in both classes differ clearly, 0 for others."""
-    rows = table[:, -1].astype(float)
-    held = table[:, :-1].astype(float)
+def _deviation(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each feature: shares in both classes, rows that hold it, and how far apart the shares are in standard deviations."""
+    rows, held = table[:, -1] / UNIT, table[:, :-1] / UNIT
     every = held.sum(axis=0)
-    if rows.min() == 0:
-        return np.zeros(held.shape[1])
     share = (held + 0.5) / (rows[:, None] + 1)
-    p = np.clip(every / rows.sum(), 1e-9, 1 - 1e-9)
-    z = (share[1] - share[0]) / np.sqrt(p * (1 - p) * (1 / rows[0] + 1 / rows[1]))
-    use = (np.abs(z) >= DEVIATION) & (every >= max(SUPPORT_ROWS, SUPPORT * rows.sum()))
+    p = np.clip(every / max(rows.sum(), 1e-9), 1e-9, 1 - 1e-9)
+    return share, every, (share[1] - share[0]) / np.sqrt(p * (1 - p) * (1 / max(rows[0], 1e-9) + 1 / max(rows[1], 1e-9)))
+
+
+def _fit(table: np.ndarray, labelled: np.ndarray) -> np.ndarray:
+    """Log-odds of the features whose shares in both classes differ clearly, 0 for others.
+
+    What is handed on is mostly of one class, so a feature must also differ, the same way, among the labelled rows."""
+    if table[:, -1].min() == 0:
+        return np.zeros(table.shape[1] - 1)
+    share, every, z = _deviation(table)
+    own = _deviation(labelled)[2]
+    use = (np.abs(z) >= DEVIATION) & (every >= max(SUPPORT_ROWS, SUPPORT * table[:, -1].sum() / UNIT)) & (own * np.sign(z) >= DEVIATION / 2)
     odds = np.clip(np.log(share[1] / share[0]), -CLIP, CLIP)
     return np.where(use & (np.abs(odds) >= LEAST_ODDS), odds, 0.0)
 
@@ -183,7 +178,7 @@ def _histogram(src: DataFrame, views: list[View]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given, total = shipped.value, np.zeros(BINS * BINS * 2, np.int64)
         for b in tc.slices(batches, "text"):
-            pairs, _ = _features(b)
+            pairs = _features(b)
             a, m = (_place(_scores(p, v.weight, b.num_rows)) for p, v in zip(pairs, given))
             label = b.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
             total += np.bincount((a * BINS + m) * 2 + label, minlength=len(total))
@@ -218,13 +213,22 @@ def _logit(p: np.ndarray) -> np.ndarray:
 def _logistic(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     """Weights (offset last) of a logistic regression on counted points, by Newton steps with a small ridge."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    beta, n = np.zeros(x.shape[1]), good + bad
-    for _ in range(50):
+    n = good + bad
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float((n * np.logaddexp(0, z) - good * z).sum() + 0.005 * beta @ beta)
+
+    beta = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(beta)), x.T @ (good - n * p) - 1e-2 * beta)
-        beta = beta + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        size, now = 1.0, loss(beta)
+        while size > 1e-6 and loss(beta + size * step) > now:
+            size /= 2
+        if size <= 1e-6 or np.abs(step).max() < 1e-8:
             break
+        beta = beta + size * step
     return beta
 
 
@@ -234,43 +238,96 @@ def _calibrate(views: list[View], hist: np.ndarray) -> None:
         v.share = _rising(side[:, 1], side.sum(axis=1))
 
 
-def classify(
+@dataclass
+class Model:
+    """Both views and the weights of their calibrated log-odds (offset last)."""
+
+    views: list[View]
+    beta: np.ndarray
+
+    def probability(self, b: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+        pairs = _features(b)
+        scores = [_scores(p, v.weight, b.num_rows) for p, v in zip(pairs, self.views)]
+        x = [_logit(v.chance(s)) for v, s in zip(self.views, scores)]
+        return scores, 1 / (1 + np.exp(-np.clip(self.beta[0] * x[0] + self.beta[1] * x[1] + self.beta[2], -30, 30)))
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("string").alias(a) for c, a in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
+
+
+def near_copies(src: DataFrame) -> DataFrame:
+    """(id, weight) of the rows that share the least hash of their five-word shingles with others: UNIT over how many do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tc.slices(batches, "text"):
+            data, off = tc.raw(tc.text_column(b, "text"))
+            keys = tc.shingles(tc.words(data, off, tc.LOWER, tc.PUNCTUATION), 5)
+            own = (keys >> U(tc.GRAM_BITS)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+            # keys are sorted, so a row's first is its least
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own[first])), pa.array((keys[first] & tc.GRAM_MASK).astype(np.int64))], names=["id", "sign"])
+
+    signs = keep(src.select("id", "text").mapInArrow(run, "id long, sign long"), "signs")
+    often = signs.groupBy("sign").agg(F.count("*").alias("n")).where("n > 1")
+    return signs.where("id is not null").join(often, "sign").groupBy("id").agg(F.max("n").alias("n")).select("id", F.greatest(F.lit(1), (F.lit(UNIT) / F.col("n")).cast("int")).alias("weight"))
+
+
+def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
     label_id: str = "doc_id", label_col: str = "good", rounds: int = ROUNDS,
-) -> DataFrame:
-    """(id, content_score, metadata_score, probability, accepted) per row; label_col is boolean or 0/1."""
-    spark = docs.sparkSession
+) -> Model:
+    """Co-train on all rows; label_col is boolean or 0/1."""
     known = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     known = keep(known.groupBy("id").agg(F.min("label").alias("label")), "known")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("string").alias(a) for c, a in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
-    marked = src.join(maybe_broadcast(known, 12), "id", "left").select("id", "text", "lang", "source", "label")
-
-    views = [View(_fit(t)) for t in _count(marked.where("label is not null"), None)]
-    hist = _histogram(marked, views)
-    for _ in range(rounds):
-        if not hist.sum(axis=(0, 1)).all():
-            break
-        _calibrate(views, hist)
-        views = [View(_fit(t)) for t in _count(marked, views)]
-        hist = _histogram(marked, views)
+    src = _source(docs, id_col, text_col, lang_col, source_col)
+    side = keep(known.join(near_copies(src), "id", "full"), "marks")
+    marked = src.join(maybe_broadcast(side, 20), "id", "left").select("id", "text", "lang", "source", "label", "weight")
+    # a third of the labelled rows is kept for calibration, which thus sees what a view is worth on other rows
+    apart = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    held = marked.where(apart)
+    marked = marked.withColumn("label", F.when(~apart, F.col("label")))
+    own = _count(marked.where("label is not null"), None)
+    views = [View(_fit(t, t)) for t in own]
+    hist = _histogram(held, views)
+    both = bool(hist.sum(axis=(0, 1)).all())
     _calibrate(views, hist)
-    both = hist.sum(axis=(0, 1)).all()
+    for _ in range(rounds if both else 0):
+        views = [View(_fit(t, o)) for t, o in zip(_count(marked, views), own)]
+        hist = _histogram(held, views)
+        _calibrate(views, hist)
+    if not both:
+        return Model(views, np.array([0.0, 0.0, 30.0]))
     grid = np.stack(np.meshgrid(*(_logit(v.share) for v in views), indexing="ij"), axis=-1).reshape(-1, 2)
     cells = hist.reshape(-1, 2)
     some = cells.sum(axis=1) > 0
-    beta = _logistic(grid[some], cells[some, 1], cells[some, 0]) if both else np.array([0.0, 0.0, 30.0])
-    shipped = spark.sparkContext.broadcast((views, beta))
+    return Model(views, _logistic(grid[some], cells[some, 1], cells[some, 0]))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **fitting) -> DataFrame:
+    """(id, content_score, metadata_score, probability, accepted) per row."""
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, lang_col, source_col, **fitting))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, beta = shipped.value
         for b in tc.slices(batches, "text"):
-            pairs, _ = _features(b)
-            x = [_scores(p, v.weight, b.num_rows) for p, v in zip(pairs, given)]
-            a, m = (_logit(v.chance(s)) for v, s in zip(given, x))
-            p = 1 / (1 + np.exp(-np.clip(beta[0] * a + beta[1] * m + beta[2], -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (*x, p, p >= 0.5))], names=["id", "content_score", "metadata_score", "probability", "accepted"])
+            scores, p = shipped.value.probability(b)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (*scores, p, p >= 0.5))], names=["id", "content_score", "metadata_score", "probability", "accepted"])
+
+    out = _source(docs, id_col, text_col, lang_col, source_col).mapInArrow(run, "id long, content_score double, metadata_score double, probability double, accepted boolean")
+    return out.withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **fitting) -> DataFrame:
+    """The rows of docs that are accepted, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col, lang_col=lang_col, source_col=source_col, **fitting))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tc.slices(batches, text_col):
+            own = [b.column(b.schema.get_field_index(c)) for c in (text_col, lang_col, source_col)]
+            view = pa.RecordBatch.from_arrays([own[0], *own], names=["id", "text", "lang", "source"])
+            yield b.filter(pa.array(shipped.value.probability(view)[1] >= 0.5))
 
-    return src.withColumn("label", F.lit(None).cast("int")).mapInArrow(run, "id long, content_score double, metadata_score double, probability double, accepted boolean").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def acceptable(labels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontaminate, html_text, lm_score, quality, secrets, substrings, warc
+from . import cotrain, decontaminate, html_text, lm_score, mixing, quality, secrets, substrings, warc
 from .ngram_join import jaccard_components
 
 
@@ -64,9 +64,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.classify(_table(spark, sf_dir, "documents"), cotrain.acceptable(_table(spark, sf_dir, "labels")))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of the documents of every source at tempered weights, over a budget of all their tokens."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_source_mixing": mixing.oracle()}

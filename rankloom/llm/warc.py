@@ -159,7 +159,8 @@ def write(pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "
 
     disk, top = _filesystem(base)
     disk.create_dir(top, recursive=True)
-    files = [r.asDict() for r in rows.mapInArrow(put, "file string, shard long, records long, bytes long, sha1 string").orderBy("file").collect()]
+    # sorted here: a distributed sort would run the writer once more to sample its output
+    files = sorted((r.asDict() for r in rows.mapInArrow(put, "file string, shard long, records long, bytes long, sha1 string").collect()), key=lambda x: x["file"])
     temp = f"{top}/_temporary.{uuid.uuid4().hex}.json"
     with disk.open_output_stream(temp) as f:
         f.write(json.dumps({"files": files}, indent=1).encode())
@@ -171,9 +172,16 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of every record of an archive, one gzip member at a time."""
     view, at = memoryview(data), 0
     while at < len(data):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(view[at:]) + z.flush()
-        at = len(data) - len(z.unused_data)
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            # in small pieces: what follows a member is copied when the member ends
+            piece = view[at : at + 16384]
+            if not piece:
+                raise ValueError("the archive ends within a record")
+            parts.append(z.decompress(piece))
+            at += len(piece)
+        at -= len(z.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] + "\r\n" != VERSION.decode():
