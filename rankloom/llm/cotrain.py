@@ -30,14 +30,14 @@ from .shared import keep, maybe_broadcast
 
 U = np.uint64
 #: A longer word is also held by its first PREFIX bytes.
-PREFIX = 6
+PREFIX = 4
 #: Feature tables: hashed words, hashed metadata bins.
 WORDS, METADATA = 1 << 18, 1 << 12
 ROUNDS = 2
 #: A view hands on what it puts above SURE or below 1 - SURE.
 SURE = 0.98
 #: Least share of labelled rows (and least number) that hold a word, and least deviation between the classes.
-SUPPORT, SUPPORT_ROWS, DEVIATION = 0.002, 8, 6.0
+SUPPORT, SUPPORT_ROWS, DEVIATION = 0.002, 8, 5.0
 #: Weaker features are left out: they are many, go together and would outvote the clear ones.
 LEAST_ODDS, CLIP = 1.5, 6.0
 #: Most that the features in favour of a row may add up to.
@@ -166,7 +166,7 @@ def _fit(table: np.ndarray, labelled: np.ndarray) -> np.ndarray:
         return np.zeros(table.shape[1] - 1)
     share, every, z = _deviation(table)
     own = _deviation(labelled)[2]
-    use = (np.abs(z) >= DEVIATION) & (every >= max(SUPPORT_ROWS, SUPPORT * table[:, -1].sum() / UNIT)) & (own * np.sign(z) >= DEVIATION / 2)
+    use = (np.abs(z) >= DEVIATION / 2) & (every >= max(SUPPORT_ROWS, SUPPORT * table[:, -1].sum() / UNIT)) & (own * np.sign(z) >= DEVIATION)
     odds = np.clip(np.log(share[1] / share[0]), -CLIP, CLIP)
     return np.where(use & (np.abs(odds) >= LEAST_ODDS), odds, 0.0)
 
