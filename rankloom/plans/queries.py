@@ -615,3 +615,72 @@ def title_features(spark, d):
 @query("SELECT p_partkey AS item_id, 'p_brand_' || p_brand AS feature_id, CAST(1 AS DOUBLE) AS data FROM part UNION ALL SELECT p_partkey, 'p_type_' || p_type, 1.0 FROM part UNION ALL SELECT p_partkey, 'p_size_' || p_size, 1.0 FROM part")
 def item_features(spark, d):
     return icm(spark, d)
+
+
+# ---- models without an SQL twin (tested against dense controls)
+
+
+@query()
+def ease_r(spark, d):
+    train, _ = parts(spark, d)
+    from ..operators.factor import ease_r as fit
+
+    return shown(rc.recommend(rc.item_scores(train, fit(train, 500.0, 100)), train))
+
+
+@query()
+def pure_svd(spark, d):
+    from ..operators.factor import pure_svd as fit
+
+    train, _ = parts(spark, d)
+    u, i = fit(train, 20)
+    return shown(rc.recommend(rc.factor_scores(u, F.broadcast(i)), train))
+
+
+@query()
+def ials(spark, d):
+    from ..operators.factor import ials as fit
+
+    train, _ = parts(spark, d)
+    u, i = fit(train, 10, 3)
+    return shown(rc.recommend(rc.factor_scores(u, i), train))
+
+
+@query()
+def nmf(spark, d):
+    from ..operators.factor import nmf as fit
+
+    train, _ = parts(spark, d)
+    u, i = fit(train, 8, 5)
+    return shown(rc.recommend(rc.factor_scores(u, i), train))
+
+
+@query()
+def slim_elasticnet(spark, d):
+    from ..operators.factor import slim_elastic_net
+
+    train, _ = parts(spark, d)
+    return rounded(slim_elastic_net(train, 0.1, 0.5, top_k=50), "w")
+
+
+@query()
+def cfw_d(spark, d):
+    from ..operators.factor import cfw_d as fit
+
+    train, _ = parts(spark, d)
+    cf = sm.similarity(cells(train), shrink=100, top_k=20)
+    return rounded(fit(cf, icm(spark, d), damp=1.0, top_k=20)[1], "w")
+
+
+@query()
+def kcore_fixpoint(spark, d):
+    return mx.k_core(urm(spark, d), 30)
+
+
+@query()
+def bpr_factors(spark, d):
+    from ..operators.factor import bpr_factors as fit
+
+    dense = items(spark, d).withColumn("idx", F.row_number().over(Window.orderBy("item_id")) - 1)
+    u, _ = fit(sp.bpr_triples(parts(spark, d)[0], dense), 6, 2)
+    return u.select("user_id", F.transform("factors", lambda x: F.round(x, 6)).alias("factors"))
