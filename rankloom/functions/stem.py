@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # English stop words.
 ENGLISH_STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself
@@ -80,7 +81,7 @@ def stem(w: str) -> str:
     return w
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def porter_stem(words: pd.Series) -> pd.Series:
     """Stems of a column of words; distinct words are stemmed once a batch."""
     known = {w: stem(w) for w in words.dropna().unique()}
