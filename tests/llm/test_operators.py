@@ -1,0 +1,277 @@
+import base64
+import collections
+import hashlib
+import json
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from rankloom.llm import cotrain, decontaminate, html_text, lm_score, mixing, quality, secrets, substrings, warc
+from rankloom.llm.ngram_join import jaccard_components
+
+WORD = r"[^\x20\x09-\x0D]+"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(seed=1, n=120):
+    """Texts with exact and near copies, a shared passage, repeats, nulls, blanks, one hot source and a long text."""
+    r = random.Random(seed)
+    vocab = [f"w{k}" for k in range(400)]
+    line = lambda k: " ".join(r.choice(vocab) for _ in range(k))
+    passage, base = line(60), line(90)
+    out = []
+    for k in range(n):
+        t = line(r.randint(0, 120))
+        if k % 6 == 0:
+            ws = base.split()
+            for _ in range(r.randint(0, 4)):
+                ws[r.randrange(len(ws))] = r.choice(vocab)
+            t = " ".join(ws)
+        elif k % 7 == 0:
+            t = f"{t}\n{passage}\n{line(10)}"
+        elif k % 11 == 0:
+            t = out[r.randrange(len(out))][1]
+        elif k % 13 == 0:
+            t = "a b " * 60
+        out.append((k, t, "en", "hot" if k % 3 == 0 else f"s{k % 5}", 0))
+    out += [(n, None, None, None, None), (n + 1, "", "en", "hot", 0), (n + 2, " \t\n ", "en", "hot", 3), (n + 3, line(4000), "en", "hot", 1), (n + 4, "one two", "en", "s1", 7), (n + 5, "ONE  two", "en", "s1", 8)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOC).repartition(3)
+
+
+def sets_of(rows, width):
+    out = {}
+    for i, t, *_ in rows:
+        ws = re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        out[i] = {tuple(ws[k : k + width]) for k in range(max(1, len(ws) - width + 1))} if ws else set()
+    return out
+
+
+def brute_components(sets, num, den):
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                k = len(sets[a] & sets[b])
+                if den * k >= num * (len(sets[a]) + len(sets[b]) - k):
+                    x, y = find(a), find(b)
+                    up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("width,num,den", [(3, 9, 10), (5, 4, 5), (2, 1, 2)])
+def test_jaccard(docs, width, num, den):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, width=width, num=num, den=den).collect()}
+    sets = sets_of(corpus(), width)
+    want = brute_components(sets, num, den)
+    assert got == {i: (len(s), want[i]) for i, s in sets.items()}
+
+
+def test_jaccard_near_threshold(spark):
+    r = random.Random(5)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}x{k}" for k in range(100)]
+        for k in range(8):
+            ws = base[:]
+            for _ in range(r.randint(0, 6)):
+                ws[r.randrange(100)] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(ws), "en", "s", 0))
+    got = {x.doc_id: x.component_id for x in jaccard_components(spark.createDataFrame(rows, DOC), width=3, num=9, den=10).collect()}
+    assert got == brute_components(sets_of(rows, 3), 9, 10)
+
+
+def test_substrings(docs):
+    rows = corpus()
+    words = {i: re.findall(WORD, t or "") for i, t, *_ in rows}
+    seen = collections.Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
+    for r in substrings.remove_repeated(docs).collect():
+        w = words[r.doc_id]
+        gone = {p for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
+        assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
+
+
+def test_quality_counts(docs):
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    for i, t, *_ in corpus():
+        t = t or ""
+        w = re.findall(WORD, t)
+        lines = [x for x in t.split("\n") if re.search(WORD, x)]
+        five = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        rep = {p for k in range(len(w) - 4) if five[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep))
+        assert r.base_failed == (len(w) < 10 or 100 * len(rep) > 20 * len(w)) and not (r.base_failed and r.kept)
+
+
+def test_quality_lines(spark):
+    own = lambda k: " ".join(f"u{k}x{j}" for j in range(30))
+    shared = "All Rights 2024 reserved " + " ".join(f"b{j}" for j in range(90))
+    rows = [(k, f"{shared.replace('2024', str(2000 + k))}\n{own(k) if k % 2 else 'a few own words that are not so many here now'}", "en", "h", 0) for k in range(40)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, DOC), least_left=0.2).collect()}
+    assert all(got[k].kept == bool(k % 2) and got[k].n_common_words >= 94 for k in range(40))
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+def test_secrets(spark):
+    num = lambda k: der(2, b"\x01" * k)
+    key = base64.b64encode(der(0x30, num(1) + b"".join(num(64) for _ in range(8)))).decode()
+    ssh = lambda b: len(b).to_bytes(4, "big") + b
+    public = base64.b64encode(ssh(b"ssh-ed25519") + ssh(b"k" * 32)).decode()
+    b64 = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    token = f"{b64(json.dumps({'alg': 'HS256'}).encode())}.{b64(b'{}')}.{b64(b's' * 32)}"
+    fake = f"eyJ{'a' * 20}.{'b' * 20}.{'z' * 30}"
+    texts = [f"é key {key} end", f"x {public}", f"jwt {token} {fake}", "Q" * 400, 'PassWord: "abc123" secret:token:abcdef paſſword=abcdef', "AKIA" + "A" * 16 + " AKIAB " + "0123456789abcdef" * 2, None, ""]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    show = {i: [(s["kind"], texts[i][s["start"] : s["end"]]) for s in v] for i, v in got.items()}
+    assert show[0] == [("der_key", key)] and show[1] == [("ssh_key", public)] and show[2] == [("signed_token", token)] and show[3] == []
+    assert show[4] == [("assign", 'PassWord: "abc123')]
+    assert show[5] == [("access", "AKIA" + "A" * 16), ("hex", "0123456789abcdef" * 2)] and show[6] == show[7] == []
+    d = {r.doc_id: r for r in secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert d[5].n_access == d[5].n_hex == 1 and d[5].base_sha256 == hashlib.sha256(b"access:0:20,hex:28:60").hexdigest() and d[7].base_sha256 == hashlib.sha256(b"").hexdigest()
+    masked = secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert masked[0].text == "é key [secret] end" and masked[6].text is None
+
+
+def test_html():
+    page = """<html><body class="no-sidebar"><div class=menu><a href=x>Home</a></div><header><h1>Site</h1></header><div class="cookie-notice">We use cookies, all of them, OK?</div>
+    <div class="post-content"><h2>Title &amp; more</h2><p>First para, with commas, and text that is long enough to be scored.<div>Inner&nbsp;div   text</div><ul><li>one<li>two</ul><p>Short.<script>var t="</p>";</script></div>
+    <div class="comments"><p>I liked this, a lot, really very much indeed my friends.</p></div><form><p>Your name, please, and more words here to score.</p></form></body></html>"""
+    assert html_text.main_text(page) == "Title & more\nFirst para, with commas, and text that is long enough to be scored.\nInner div text\none\ntwo\nShort."
+    assert html_text.main_text(None) == html_text.main_text("") == "" and html_text.main_text("<p>cut <b") == "cut"
+    deep = "<div>" * 3000 + "<p>Deep text, that is long enough, to be scored well.</p>"
+    assert html_text.main_text(deep) == "Deep text, that is long enough, to be scored well."
+
+
+def test_html_frame(spark):
+    df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<p>Hello, world of pages and of words.</p>", None)], "page_id long, url string, html string, text string")
+    assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, "", 0), (2, "Hello, world of pages and of words.", 35)]
+
+
+def test_warc(spark, tmp_path):
+    big, rows = "<p>é" + "x" * 1200, []
+    for k in range(60):
+        rows.append((k, f"http://h/{k}", big if k % 10 == 0 else None if k == 7 else "" if k == 8 else f"<p>{k}" * (k + 1)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    base = f"file://{tmp_path}/a"
+    files = warc.write(df.repartition(4), base, roll_bytes=2000, shard_bytes=4000)
+    again = warc.write(df.repartition(7), f"file://{tmp_path}/b", roll_bytes=2000, shard_bytes=4000)
+    assert len(files) > 3 and files == again
+    got = {r.page_id: r for r in warc.read(spark, base).collect()}
+    for k, _, h in rows:
+        raw = (h or "").encode()
+        assert (got[k].payload_bytes, got[k].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert (got[k].record_type, got[k].refers_to) == (("revisit", 50) if k % 10 == 0 and k != 50 else ("response", None))
+        assert got[k].payload == (None if got[k].refers_to is not None else raw)
+    assert warc.write(df.limit(0), f"file://{tmp_path}/c") == [] and warc.read(spark, f"file://{tmp_path}/c").count() == 0
+
+
+def edit(ws, item):
+    """Least edit distance of item to any stretch of ws."""
+    d = [0] * (len(ws) + 1)
+    for k, c in enumerate(item, 1):
+        row = [k]
+        for j, x in enumerate(ws, 1):
+            row.append(min(d[j] + 1, row[-1] + 1, d[j - 1] + (x != c)))
+        d = row
+    return min(d)
+
+
+def test_decontamination(spark):
+    r = random.Random(3)
+    vocab = [f"v{k}" for k in range(300)]
+    line = lambda k: [r.choice(vocab) for _ in range(k)]
+    items = [(k, line(n)) for k, n in enumerate([12, 20, 30, 45, 7])]
+    rows = []
+    for k in range(120):
+        ws = line(80)
+        if k % 3 == 0:
+            item = items[k % 5][1][:]
+            for _ in range(r.randint(0, int(0.2 * len(item)) + 2)):
+                p = r.randrange(len(item))
+                op = r.randrange(3)
+                item[p : p + 1] = [r.choice(vocab)] if op == 0 else [] if op == 1 else [item[p], r.choice(vocab)]
+            ws[30:30] = item
+        rows.append((k, " ".join(w.upper() + "," if j % 9 == 0 else w for j, w in enumerate(ws))))
+    rows += [(200, None), (201, "")]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items] + [(9, None), (10, "...")], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.distance for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    want = {}
+    for i, t in rows:
+        ws = re.findall(r"[a-z0-9]+", (t or "").lower())
+        for k, w in items:
+            d = edit(ws, w)
+            if d <= math.floor(0.2 * len(w) + 1e-9):
+                want[i, k] = d
+    assert set(got) <= set(want) and all(want[k] <= v for k, v in got.items())
+    assert len(got) >= 0.95 * len(want) > 0 and all(k in got for k, v in want.items() if v == 0)
+
+
+def test_lm(spark):
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choice(["red", "blue", "green"] if k % 2 else ["one", "two", "three"]) for _ in range(40))) for k in range(80)] + [(100, None), (101, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in lm_score.cross_entropy_difference(df, spark.createDataFrame([(k,) for k in range(1, 40, 2)], "doc_id long")).collect()}
+    assert max(got[k].score for k in range(1, 80, 2)) < min(got[k].score for k in range(0, 80, 2))
+    assert got[100].score is None and got[101].n_tokens == 0 and np.isclose(got[5].score, got[5].target_loss - got[5].background_loss)
+    none = lm_score.cross_entropy_difference(df, spark.createDataFrame([], "doc_id long")).where("score <> 0").count()
+    assert none == 0
+
+
+def test_cotraining(spark):
+    r = random.Random(4)
+    vocab = [f"w{k}" for k in range(300)]
+    rows, labels = [], []
+    for k in range(900):
+        kind = k % 3
+        ws = [r.choice(vocab) for _ in range(60)]
+        if kind == 1:
+            ws[5], ws[40] = "awful", "nasty"
+        if kind == 2:
+            ws = [w.upper() + "***" for w in ws]
+        rows.append((k, " ".join(ws), "en", f"s{r.randrange(4)}", 0))
+        if k < 600:
+            labels.append((k, 1 if kind == 0 else 0))
+    rows += [(1000, None, None, None, None), (1001, "", "en", "s1", 0)]
+    df = spark.createDataFrame(rows, DOC)
+    got = {x.doc_id: x for x in cotrain.classify(df, spark.createDataFrame(labels, "doc_id long, good int")).collect()}
+    right = [got[k].accepted == (k % 3 == 0) for k in range(600, 900)]
+    assert sum(right) / len(right) > 0.97 and len(got) == 902
+    every = cotrain.classify(df, spark.createDataFrame([(1, 1)], "doc_id long, good int")).where("not accepted").count()
+    assert every == 0
+    assert cotrain.accepted(df, spark.createDataFrame(labels, "doc_id long, good int")).columns == df.columns
+
+
+def test_mixing_matches_sql(spark, docs):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas().astype({"text": object, "source": object}))
+    want = sorted(map(tuple, c.sql(mixing.oracle(block_tokens=500)).fetchall()))
+    got = mixing.mix(docs, block_tokens=500).select("doc_id", "source", "n_tokens", "pass", "block_rank", "rank")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_mixing_weights(spark, docs):
+    total = {r.source: r.n for r in mixing.mix(docs, max_repeats=1000.0).groupBy("source").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
+    assert max(total.values()) - min(total.values()) < 4100  # equal quotas, each overshot by less than a text
+    assert mixing.mix(docs.limit(0)).count() == 0
+    e = mixing.mix(docs, max_repeats=None, target_entropy=0.9)
+    assert e.count() > 0
