@@ -37,34 +37,50 @@ def _dense_gram(m: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, g
 
 
-def _weights(spark: SparkSession, ids: np.ndarray, w: np.ndarray, top_k: int | None, absolute: bool = True) -> DataFrame:
-    """The top_k cells of each column of a dense matrix as (i, j, w)."""
-    k = len(ids) if top_k is None else min(top_k, len(ids))
-    value = np.abs(w) if absolute else w
-    order = np.argsort(-np.round(value, 9), axis=0, kind="stable")[:k]
-    j = np.tile(np.arange(len(ids)), (k, 1))
-    cells = w[order, j]
-    use = cells != 0
-    return spark.createDataFrame(pa.table({"i": ids[order[use]], "j": ids[j[use]], "w": cells[use]}))
-
-
-def ease_r(m: DataFrame, l2: float = 1000.0, top_k: int | None = None) -> DataFrame:
-    """(i, j, w) = -P / diag(P) by column with P = inverse of the ridge Gram matrix, diagonal 0."""
+def ease_r(m: DataFrame, l2: float = 1000.0, top_k: int | None = None, block: int = 256) -> DataFrame:
+    """(i, j, w) = -P / diag(P) by column with P = inverse of the ridge Gram matrix, diagonal 0; tasks solve blocks of columns."""
+    spark = m.sparkSession
     ids, g = _dense_gram(m)
-    p = np.linalg.inv(g + l2 * np.eye(len(ids)))
-    w = p / -np.diag(p)
-    np.fill_diagonal(w, 0.0)
-    return _weights(m.sparkSession, ids, w, top_k)
+    shipped = spark.sparkContext.broadcast((ids, g))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, g = shipped.value
+        n = len(ids)
+        keep = n if top_k is None else min(top_k, n)
+        ridge = g + l2 * np.eye(n)
+        for b in batches:
+            for start in b.column(0).to_pylist():
+                own = np.arange(start, min(start + block, n))
+                p = np.linalg.solve(ridge, np.eye(n)[:, own])
+                w = p / -p[own, np.arange(len(own))]
+                w[own, np.arange(len(own))] = 0.0
+                order = np.argsort(-np.round(np.abs(w), 9), axis=0, kind="stable")[:keep]
+                cells = np.take_along_axis(w, order, axis=0)
+                use = cells != 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[order[use]]), pa.array(ids[np.tile(own, (keep, 1))[use]]), pa.array(cells[use])], names=["i", "j", "w"])
+
+    return _starts(spark, len(ids), block).mapInArrow(run, "i long, j long, w double")
+
+
+def _starts(spark: SparkSession, n: int, block: int) -> DataFrame:
+    """First columns of blocks, dealt over tasks."""
+    return spark.range(0, n, block).repartition(max(1, min(64, -(-n // block))))
 
 
 def pure_svd(m: DataFrame, factors: int = 50) -> tuple[DataFrame, DataFrame]:
     """(user_id, factors) with the singular values in them, and (item_id, factors), from the Gram matrix."""
     spark = m.sparkSession
-    ids, g = _dense_gram(m)
-    value, vector = np.linalg.eigh(g)
-    v = vector[:, np.argsort(-value)[: min(factors, len(ids))]]
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-    items = spark.createDataFrame(pa.table({"item_id": ids, "factors": pa.array(list(v))}))
+    shipped = spark.sparkContext.broadcast(_dense_gram(m))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            ids, g = shipped.value
+            value, vector = np.linalg.eigh(g)
+            v = vector[:, np.argsort(-value)[: min(factors, len(ids))]]
+            v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(v), pa.list_(pa.float64()))], names=["item_id", "factors"])
+
+    items = checkpointed(spark.range(0, 1, 1, 1).mapInArrow(run, "item_id long, factors array<double>"))
     return project(m, items), items
 
 
@@ -197,7 +213,7 @@ def slim_elastic_net(m: DataFrame, l1_ratio: float = 0.1, alpha: float = 1.0, po
     ids, g = _dense_gram(m)
     n = max(m.select("user_id").distinct().count(), 1)
     g = g / n
-    size = float(np.linalg.eigvalsh(g)[-1]) + alpha * (1 - l1_ratio)
+    size = float(np.sqrt((g * g).sum())) + alpha * (1 - l1_ratio)  # at least the largest eigenvalue
     shipped = spark.sparkContext.broadcast((ids, g))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +238,7 @@ def slim_elastic_net(m: DataFrame, l1_ratio: float = 0.1, alpha: float = 1.0, po
                 j = np.tile(own, (len(order), 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[order[use]]), pa.array(ids[j[use]]), pa.array(cells[use])], names=["i", "j", "w"])
 
-    starts = spark.range(0, max(len(ids), 1), block).repartition(max(1, min(64, -(-len(ids) // block))))
-    return starts.mapInArrow(run, "i long, j long, w double")
+    return _starts(spark, len(ids), block).mapInArrow(run, "i long, j long, w double")
 
 
 def cfw_d(cf: DataFrame, icm: DataFrame, damp: float = 0.0, top_k: int = 300) -> tuple[DataFrame, DataFrame]:
