@@ -44,8 +44,8 @@ def weights(sources: DataFrame, budget: F.Column, max_repeats: float | None, tar
     if target_entropy is None:
         # the least source is read most often: weight * budget / tokens falls as a rises
         def high(a):
-            least = F.element_at("x", 1)
-            return F.exp(a * least) / norm(a) * F.col("budget") / F.element_at("s", 1)["tokens"] > F.lit(float(max_repeats))
+            least = F.try_element_at("x", F.lit(1))
+            return F.exp(a * least) / norm(a) * F.col("budget") / F.try_element_at("s", F.lit(1))["tokens"] > F.lit(float(max_repeats))
     else:
         # entropy = ln(norm) - a * mean of x under the weights; it falls as a rises
         def high(a):
