@@ -247,7 +247,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shipped.value
-            for b in tc.slices(batches, "text", 8 << 20):
+            for b in tc.slices(batches, "text", 4 << 20):
                 data, off = tc.raw(tc.text_column(b, "text"))
                 w = tc.words(data, off, tc.LOWER, tc.PUNCTUATION)
                 found = _scan(w, items, b.num_rows) if len(items.ids) and len(w.hash) else []

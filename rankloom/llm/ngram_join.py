@@ -39,7 +39,7 @@ BLOCK_ROWS = 512
 #: Column blocks of the exact product.
 BLOCKS = 8
 #: Classes that a task remembers to have sent already.
-SEEN = 400_000
+SEEN = 100_000
 _BITMAP = 22
 
 

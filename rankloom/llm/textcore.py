@@ -6,6 +6,7 @@ they can be found in UTF-8 without decoding. All hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,6 +84,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             to = min(max(to, at + 1), at + SLICE_ROWS, b.num_rows)
             yield b.slice(at, to - at)
             at = to
+    _release()
+
+
+def _release() -> None:
+    """Give freed memory back: a Python worker outlives its task, and on an executor several wait for the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 @dataclass
