@@ -236,6 +236,42 @@ def test_lm(spark):
     assert none == 0
 
 
+def test_lm_counts_every_word(spark, monkeypatch):
+    # against plain counts, with few frequent words, so that most words and bigrams are counted in shards
+    monkeypatch.setattr(lm_score, "SHARD", 500)
+    monkeypatch.setattr(lm_score, "PACKET", 300)
+    r = random.Random(8)
+    vocab = [f"w{chr(97 + k % 26)}{k}x" for k in range(400)]
+    rows = [(k, " ".join(vocab[int(r.paretovariate(0.7)) % 400] for _ in range(r.randint(0, 50)))) for k in range(150)]
+    rows += [(200, None), (201, ""), (3, "same id w"), (None, "no id w"), (None, "no id w")]
+    good = set(range(0, 60, 3))
+    words = [(t or "").split() for _, t in rows]
+    models = []
+    for use in (good, None):
+        one, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+        for (i, _), w in zip(rows, words):
+            if use is None or i in use:
+                for v, x in zip([None, *w], w):
+                    one[x] += 1
+                    two[v, x] += 1
+                    before[v] += 1
+        models.append((one, two, before, sum(one.values())))
+    size = len({x for w in words for x in w})
+
+    def loss(model, w):
+        one, two, before, n = model
+        p = [(two[v, x] + lm_score.MU * (one[x] + 1) / (n + size)) / (before[v] + lm_score.MU) for v, x in zip([None, *w], w)]
+        return -sum(map(math.log, p)) / len(w)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_score.cross_entropy_difference(df, spark.createDataFrame([(k,) for k in good], "doc_id long"), size=16).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2] or 0.0)
+    want = sorted(((i, len(w), *((loss(models[0], w), loss(models[1], w)) if w else (None, None))) for (i, _), w in zip(rows, words)), key=key)
+    got = sorted(((x.doc_id, x.n_tokens, x.target_loss, x.background_loss) for x in got), key=key)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all((a is None) == (b is None) and (a is None or np.isclose(a, b)) for g, w in zip(got, want) for a, b in zip(g[2:], w[2:]))
+
+
 def test_cotraining(spark):
     r = random.Random(4)
     vocab = [f"w{k}" for k in range(300)]
