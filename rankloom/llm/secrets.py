@@ -32,8 +32,8 @@ KEYWORDS = (b"passw", b"secret", b"token", b"api")
 KINDS = ("assign", "access", "hex", "signed_token", "der_key", "ssh_key", "hex_key")
 
 TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
-#: A base64 run may go on over line ends, as armoured keys do.
-BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}")
+#: A base64 run may go on over line ends, as armoured keys do; `_keys` looks for where keys in it start and end.
+BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*(?:\r?\n[A-Za-z0-9+/_-]{2,3}(?==))?={0,2}")
 HEX_ANY = re.compile(rb"(?:[0-9a-fA-F]{2}){32,}")
 LEAST_RUN = 40
 
@@ -119,6 +119,75 @@ def _b64(b: bytes) -> bytes | None:
         return None
 
 
+def _stated(b: bytes) -> int | None:
+    """Length that the first header of a DER or OpenSSH private key states, None if it is neither or incomplete."""
+    if b[:1] == b"\x30" and len(b) >= 2:
+        k = b[1] & 0x7F if b[1] & 0x80 else 0
+        return 2 + k + (int.from_bytes(b[2 : 2 + k], "big") if k else b[1])
+    if b.startswith(b"openssh-key-v1\0"):
+        at = 15
+        for _ in range(3):
+            at += 4 + int.from_bytes(b[at : at + 4], "big")
+        keys = int.from_bytes(b[at : at + 4], "big")
+        at += 4
+        for _ in range(keys + 1):
+            if at + 4 > len(b):
+                return None
+            at += 4 + int.from_bytes(b[at : at + 4], "big")
+        return at
+    return None
+
+
+def _field_ends(b: bytes) -> set[int]:
+    """Where the fields with four-byte lengths at the start of b end."""
+    out, at = set(), 0
+    while at + 4 <= len(b) and (at := at + 4 + int.from_bytes(b[at : at + 4], "big")) <= len(b):
+        out.add(at)
+    return out
+
+
+def _keys(run: bytes) -> list[tuple[int, int, str]]:
+    """Keys in a base64 run without armour marks: they start with a line and end with one, as far as their headers say."""
+    lines = [m.span() for m in re.finditer(rb"[A-Za-z0-9+/_-]+", run)]
+    flat = b"".join(run[s:e] for s, e in lines)
+    upto = np.cumsum([0] + [e - s for s, e in lines])
+    out, k = [], 0
+    while k < len(lines):
+        s, e = lines[k]
+        last, kind = None, None
+        if e - s >= LEAST_RUN and run[s : s + 1] == b"M":
+            head = _b64(run[s : s + 8])
+            n = _stated(head) if head else None
+            last, kind = _line_end(upto, k, n), "der_key"
+            if last is not None and not ((b := _b64(flat[upto[k] : upto[last + 1]])) and is_der_key(b)):
+                last = None
+        elif e - s >= LEAST_RUN and run[s : s + 4] in (b"AAAA", b"b3Bl"):
+            b, kind = _b64(flat[upto[k] :]), "ssh_key"
+            if b and b.startswith(b"openssh-key-v1\0"):
+                last = _line_end(upto, k, _stated(b))
+                if last is None and is_ssh_key(b):
+                    last = len(lines) - 1
+            elif b:
+                ends = _field_ends(b)
+                last = next((j for j in range(len(lines) - 1, k - 1, -1) if int(upto[j + 1] - upto[k]) * 6 // 8 in ends and is_ssh_key(_b64(flat[upto[k] : upto[j + 1]]) or b"")), None)
+        if last is None:
+            k += 1
+            continue
+        e = lines[last][1]
+        out.append((s, e + re.match(rb"=*", run[e : e + 2]).end(), kind))
+        k = last + 1
+    return out
+
+
+def _line_end(upto: np.ndarray, k: int, n: int | None) -> int | None:
+    """The line with which n bytes that start with line k end, give or take two bytes of padding."""
+    if n is None:
+        return None
+    chars = -(-4 * n // 3)
+    j = int(np.searchsorted(upto, upto[k] + chars))
+    return j - 1 if j < len(upto) and upto[j] - upto[k] <= chars + 3 else None
+
+
 def is_signed_token(b: bytes) -> bool:
     head = _b64(b.split(b".", 1)[0])
     try:
@@ -140,11 +209,12 @@ def find(text: bytes) -> list[tuple[int, int, str]]:
         out += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if b"x" * LEAST_RUN in text.translate(_ALNUM):
         for m in BASE64.finditer(text):
-            run = m[0]
-            if (b := _b64(run)) is not None:
-                kind = "der_key" if is_der_key(b) else "ssh_key" if is_ssh_key(b) else None
-                if kind:
-                    out.append((*m.span(), kind))
+            # armour marks consist of letters of the run
+            at = m.start()
+            for piece in m[0].split(b"-----"):
+                if len(piece) >= LEAST_RUN:
+                    out += [(at + s, at + e, kind) for s, e, kind in _keys(piece)]
+                at += len(piece) + 5
         for m in HEX_ANY.finditer(text):
             if is_der_key(b := bytes.fromhex(m[0].decode())) or is_ssh_key(b):
                 out.append((*m.span(), "hex_key"))

@@ -151,6 +151,25 @@ def test_secrets(spark):
     assert masked[0].text == "é key [secret] end" and masked[6].text is None
 
 
+def test_secrets_wrapped_keys():
+    num = lambda k: der(2, b"\x01" * k)
+    wrap = lambda t: "\n".join(t[k : k + 64] for k in range(0, len(t), 64))
+    for extra in range(6):  # with and without padding
+        for body in (num(1) + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, b"k" * (34 + extra)), num(1) + b"".join(num(64 + (extra if k == 7 else 0)) for k in range(8))):
+            raw = der(0x30, body)
+            key = wrap(base64.b64encode(raw).decode())
+            for before, after in (("-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----\n"), ("", "\nword and more"), ("-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"), ("Q" * 64 + "\n", "\n" + key), (key + "\n-----END-----\n", "")):
+                text = before + key + after
+                found = [text[s:e] for s, e, kind in secrets.find(text.encode()) if kind == "der_key"]
+                assert found == [key] * text.count(key), (extra, before[:20], after[:20])
+    ssh = lambda b: len(b).to_bytes(4, "big") + b
+    public = base64.b64encode(ssh(b"ssh-ed25519") + ssh(b"k" * 32)).decode().rstrip("=")
+    private = wrap(base64.b64encode(b"openssh-key-v1\0" + ssh(b"none") + ssh(b"none") + ssh(b"") + (1).to_bytes(4, "big") + ssh(b"p" * 51) + ssh(b"s" * 137)).decode().rstrip("="))
+    for key in (public, private):
+        for after in ("\nwords follow", "\n-----END OPENSSH PRIVATE KEY-----"):
+            assert [(key + after)[s:e] for s, e, kind in secrets.find((key + after).encode()) if kind == "ssh_key"] == [key]
+
+
 def test_html():
     page = """<html><body class="no-sidebar"><div class=menu><a href=x>Home</a></div><header><h1>Site</h1></header><div class="cookie-notice">We use cookies, all of them, OK?</div>
     <div class="post-content"><h2>Title &amp; more</h2><p>First para, with commas, and text that is long enough to be scored.<div>Inner&nbsp;div   text</div><ul><li>one<li>two</ul><p>Short.<script>var t="</p>";</script></div>
