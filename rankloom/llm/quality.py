@@ -3,7 +3,8 @@
 Per text: word, symbol, repeated-line and repeated-word counts. Across texts: every line is normalised (ASCII lower
 case, digits as 0, white space as one blank) and hashed; the distinct documents of a host that hold it are counted, with
 one row per line and batch before the shuffle, so a line that a third of all rows share costs a row per batch. A line
-above the limits is boilerplate; a document is rejected if too little is left without such lines.
+in LINE_DOCS of them is boilerplate, however large the host; a document is rejected if too little is left without such lines. The
+lines are broadcast while they fit, and otherwise joined to the lines of the documents by a shuffle.
 
 A null text is empty and fails the base rules. A null host is a host of its own. Rows that share an id count as documents
 of their own. Texts are read whole.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import keep, maybe_broadcast
+from .shared import BROADCAST_BYTES, keep
 
 U = np.uint64
 LEAST_WORDS = 10
@@ -28,9 +29,8 @@ REPEAT_WIDTH = 5
 MOST_REPEATED = 20
 # The symbols that count.
 SYMBOLS = b"#*$%&|<>"
-#: A line is boilerplate of a host if it is in at least LINE_DOCS documents and LINE_SHARE of that host's.
+#: A line is boilerplate of a host if it is in at least LINE_DOCS of its documents.
 LINE_DOCS = 20
-LINE_SHARE = 0.02
 #: A document whose other lines hold less than this share of its words, or under LEAST_WORDS words, is depleted.
 LEAST_LEFT = 0.3
 
@@ -100,18 +100,40 @@ def line_documents(src: DataFrame) -> DataFrame:
     return part.groupBy("host", "line").agg(F.sum("n").alias("docs"))
 
 
-def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT,
-) -> DataFrame:
+def _words_lost(src: DataFrame, limits: DataFrame) -> DataFrame:
+    """(row, lost): words in boilerplate lines of each row that has some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tc.slices(batches, "text"):
+            _, _, _, own, size, key = _line_table(b)
+            order = np.lexsort((key, own))
+            own, size, key = own[order], size[order], key[order]
+            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])) if len(key) else np.zeros(0, int)
+            words = np.add.reduceat(size, at) if len(at) else at
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(own[at])) for k in (3, 0)), pa.array(key[at].view(np.int64)), pa.array(words)], names=["row", "host", "line", "words"])
+
+    lines = src.mapInArrow(run, "row long, host string, line long, words long")
+    found = lines.join(limits, lines["host"].eqNullSafe(limits["host"]) & (lines["line"] == limits["line"])).select("row", lines["line"], "words")
+    # rows that agree in all columns have one number
+    return found.groupBy("row", "line").agg(F.max("words").alias("words")).groupBy("row").agg(F.sum("words").alias("lost"))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """Counts and verdicts per row: base_failed by the row alone, kept also by the lines it shares with others."""
     src = docs.select(F.col(host_col).cast("string").alias("host"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    per_host = src.groupBy("host").agg(F.count("*").alias("host_docs"))
-    often = line_documents(src).where(F.col("docs") >= line_docs)
-    limits = often.join(F.broadcast(per_host), often["host"].eqNullSafe(per_host["host"])).where(F.col("docs") >= line_share * F.col("host_docs"))
-    limits = keep(limits.select(often["host"], "line"), "common-lines")
-    # at most 1 / line_share lines of a host can be that frequent per line of a document; still the size is checked
-    by_host = keep(limits.groupBy("host").agg(F.collect_list("line").alias("lines")), "host-lines")
+    limits = keep(line_documents(src).where(F.col("docs") >= line_docs).select("host", "line"), "common-lines")
+    width = limits.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + 24), F.lit(0))).first()[0]
+    few = width <= BROADCAST_BYTES
+    tables: dict[str | None, np.ndarray] = {}
+    if few:
+        got = limits.toArrow()
+        names, line = np.array(got.column(0).to_pylist(), object), got.column(1).to_numpy()
+        codes = got.column(0).combine_chunks().dictionary_encode()
+        code = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+        order = np.lexsort((line, code))
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0])) if len(order) else order
+        tables = {names[x[0]]: line[x] for x in np.split(order, cut[1:])} if len(order) else {}
+    shipped = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tc.slices(batches, "text"):
@@ -130,23 +152,25 @@ def quality_rules(
             repeat = np.bincount(exact.doc, np.cumsum(cover)[:-1] > 0, b.num_rows).astype(np.int64)
             failed = (n < LEAST_WORDS) | (100 * repeat > MOST_REPEATED * n)
             lost = np.zeros(b.num_rows, np.int64)
-            common = b.column(3)
-            seen: dict[int, np.ndarray] = {}
-            hosts = b.column(0).to_pylist()
-            for i in np.flatnonzero(~failed):
-                if not common[i].is_valid:
-                    continue
-                table = seen.setdefault(hash(hosts[i]), np.sort(common[i].values.to_numpy()))
-                lo, hi = np.searchsorted(own, [i, i + 1])
-                hit = np.isin(key[lo:hi].view(np.int64), table)
-                lost[i] = size[lo:hi][hit].sum()
+            if few:
+                hosts = np.array(b.column(0).to_pylist(), object)
+                for host in set(hosts) & set(shipped.value):
+                    table = shipped.value[host]
+                    at = np.flatnonzero((np.equal(hosts, host) & ~failed)[own])
+                    line = key[at].view(np.int64)
+                    hit = at[table[np.minimum(np.searchsorted(table, line), len(table) - 1)] == line]
+                    lost += np.bincount(own[hit], size[hit], b.num_rows).astype(np.int64)
+            else:
+                lost = np.where(failed, 0, b.column(3).to_numpy(zero_copy_only=False))
             left = n - lost
             kept = ~failed & (left >= LEAST_WORDS) & (left >= least_left * n)
             cols = [n, chars, symbols[off[1:]] - symbols[off[:-1]], np.bincount(own, dup, b.num_rows).astype(np.int64), repeat, failed, kept, lost]
             yield pa.RecordBatch.from_arrays([b.column(1), *map(pa.array, cols)], names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words"])
 
-    rows = src.join(maybe_broadcast(by_host, 1 << 16), src["host"].eqNullSafe(by_host["host"]), "left").select(src["host"], "id", "text", "lines")
-    out = rows.mapInArrow(run, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_common_words long")
+    if not few:
+        src = src.withColumn("row", F.xxhash64("id", "host", "text"))
+        src = src.join(_words_lost(src, limits), "row", "left").select("host", "id", "text", F.coalesce("lost", F.lit(0)).cast("long").alias("lost"))
+    out = src.mapInArrow(run, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_common_words long")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -126,6 +126,21 @@ def test_quality_lines(spark):
     assert all(got[k].kept == bool(k % 2) and got[k].n_common_words >= 94 for k in range(40))
 
 
+def test_quality_lines_of_a_large_host(spark, monkeypatch):
+    # a notice in fewer than 2 % of the host's documents, broadcast and by a shuffle
+    notice = "\n".join(" ".join(chr(97 + k) * j for j in range(3, 9)) for k in range(5))
+    rows = [(k, f"{notice}\nown {chr(97 + k % 26) * 4} word" if k % 60 == 0 else " ".join(f"u{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{chr(97 + j)}" for j in range(15)), "en", "big", 0) for k in range(3000)]
+    rows += [(k, notice, "en", None if k % 2 else "small", 0) for k in range(5000, 5030)]
+    rows += [(5100, rows[0][1], "en", "big", 0)] * 2
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    show = lambda: sorted((tuple(r) for r in quality.quality_rules(df).collect()), key=str)
+    got = show()
+    assert {r[0]: r[-1] for r in got if r[-1]} == {i: 30 for i in [*range(0, 3000, 60), 5100]}
+    assert not any(r[-2] for r in got if r[-1]) and all(r[-2] for r in got if r[0] < 3000 and r[0] % 60)
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", 0)
+    assert show() == got
+
+
 def der(tag, body):
     n = len(body)
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
