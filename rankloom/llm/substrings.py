@@ -33,7 +33,6 @@ U = np.uint64
 WIDTH = 35
 PHRASE = 8
 _SLICE = 4 << 20
-_PLACE_BITS = 22
 
 
 class _Slice:
@@ -48,15 +47,14 @@ class _Slice:
         self.at = np.flatnonzero(ok)
         span = width - self.phrase + 1  # phrases in a window
         if len(self.at):
-            # the place under the hash: the least of both is the leftmost phrase with the least hash
-            key = (self.grams & ~U((1 << _PLACE_BITS) - 1)) | np.arange(len(self.grams), dtype=np.uint64)
-            low, size = key, 1
-            while 2 * size <= span:
-                low = np.minimum(low[:-size], low[size:])
-                size *= 2
-            if size < span:
-                low = np.minimum(low[: len(key) - span + 1], low[span - size : span - size + len(key) - span + 1])
-            self.seed = (low[self.at] & U((1 << _PLACE_BITS) - 1)).astype(np.int64)
+            # places beside the hashes, as a text can be of any length; of equal hashes the left one stays
+            low, place, size = self.grams, np.arange(len(self.grams)), 1
+            while size < span:
+                step = min(size, span - size)
+                right = low[step:] < low[:-step]
+                low, place = np.where(right, low[step:], low[:-step]), np.where(right, place[step:], place[:-step])
+                size += step
+            self.seed = place[self.at]
         else:
             self.seed = np.zeros(0, np.int64)
 

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankloom.llm import cotrain, decontaminate, html_text, lm_score, mixing, quality, secrets, substrings, warc
@@ -105,6 +106,21 @@ def test_substrings(docs):
         assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
 
 
+def test_substrings_seeds_of_a_long_text():
+    def seeds(words, width=35):
+        s = substrings._Slice(pa.RecordBatch.from_arrays([pa.array([" ".join(words)])], names=["text"]), width)
+        return s.grams, s.at, s.seed
+
+    r = random.Random(6)
+    for width in (3, 8, 9, 20, 35):
+        grams, at, seed = seeds([r.choice("abc") for _ in range(300)], width)
+        span = width - min(substrings.PHRASE, width) + 1
+        assert seed.tolist() == [min(range(k, k + span), key=lambda p: (grams[p], p)) for k in at.tolist()]
+    # more words than 22 bits can number
+    grams, at, seed = seeds(map(str, range((1 << 22) + 1000)))
+    assert ((seed >= at) & (seed < at + 28)).all()
+
+
 def test_quality_counts(docs):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     for i, t, *_ in corpus():
