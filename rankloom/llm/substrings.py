@@ -2,18 +2,20 @@
 
 A passage repeats if some window of `width` consecutive words starts at two places of the corpus, in one text or in two.
 
-1. Seeds: of the PHRASE-word phrases in a window the one with the least hash stands for it (the leftmost of equals).
-   Equal windows have equal seeds, so only seeds that occur twice can lie in a repeated window: these phrases are
-   confirmed by a count over all texts.
-2. Automata: the documents are the shards. Each slice of them compiles an automaton of the confirmed phrases among its
-   own seeds and streams its texts through it, which locates every occurrence. Automata are thus as large as a slice, and the
-   work grows with the text, not with text x phrases. Words enter the automaton as three symbols of six bits.
-3. Windows whose seed was located are counted over all texts. A slice sends one row per different window and settles
-   repeats within itself, so a passage that a third of all texts hold costs a row per slice.
+1. Confirmed phrases: of the PHRASE-word phrases in a window the one with the least hash stands for it (the leftmost of
+   equals), its seed. Equal windows have equal seeds, so a repeated window has a seed that a count over all texts finds
+   twice. Phrases are kept as the symbols that the automata read, two of six bits for a word.
+2. Automata: confirmed phrases are sharded by the texts that hold them. A shard compiles its phrases, which come to it
+   from the count, and streams its texts through the automaton: only that tells where a phrase occurs, and
+   windows around no occurrence are not looked at any more. Every text is streamed once, through all phrases that it can
+   hold, so the work grows with the text and not with text x phrases. Texts and phrases meet by a shuffle at every size.
+3. Windows whose seed was located are counted over all texts. A task sends at most two rows for a window, however many
+   texts of its own hold it: that of the first place, and one that settles it.
 4. Words under a repeated window are removed, all occurrences alike.
 
-Texts that are equal as a whole are counted once with their number. Hashes have 64 bits. A null text has no words; rows that share an id
-count as texts of their own. Words are compared unchanged. Extra columns are ignored.
+Texts that are equal as a whole are counted once with their number. Windows and whole texts are told apart by hashes of 64 bits. A null
+text has no words; rows that share an id count as texts of their own. Words are compared unchanged. An empty table gives
+no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import BROADCAST_BYTES, keep, maybe_broadcast
+from .shared import keep, maybe_broadcast
 
 U = np.uint64
 WIDTH = 35
 PHRASE = 8
+#: Symbols for a word.
+SYMBOLS = 2
 _SLICE = 4 << 20
+#: Windows that a task remembers to have sent.
+SEEN = 8 << 20
 
 
 class _Slice:
@@ -58,7 +64,14 @@ class _Slice:
         else:
             self.seed = np.zeros(0, np.int64)
 
-    def seeds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def code(self) -> bytes:
+        """The words as symbols of the automata, SYMBOLS for each."""
+        out = np.empty((len(self.words.hash), SYMBOLS), np.uint8)
+        for k in range(SYMBOLS):
+            out[:, k] = 48 + ((self.words.hash >> U(6 * k)) & U(63)).astype(np.uint8)
+        return out.tobytes()
+
+    def seeds(self) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """(text, phrase, occurrences as a seed), distinct by both."""
         place = np.unique(self.seed)
         own, gram = self.words.doc[place], self.grams[place]
@@ -67,40 +80,28 @@ class _Slice:
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])
         at = np.flatnonzero(new)
-        return own[at], gram[at], np.diff(np.concatenate([at, [len(gram)]]))
-
-    def located(self, wanted: list[np.ndarray]) -> np.ndarray:
-        """Which windows have a seed that the automaton of the slice's confirmed phrases finds."""
-        place = np.unique(self.seed)
-        own = self.words.doc[place]
-        use = np.zeros(len(place), bool)
-        lo = np.searchsorted(own, np.arange(len(wanted) + 1))
-        for i, x in enumerate(wanted):
-            if len(x) and lo[i + 1] > lo[i]:
-                use[lo[i] : lo[i + 1]] = np.isin(self.grams[place[lo[i] : lo[i + 1]]], x)
-        place = place[use]
-        hit = np.zeros(len(self.grams) + 1, bool)
-        if not len(place):
-            return hit[self.seed]
-        code = np.empty((len(self.words.hash), 3), np.uint8)
-        for k in range(3):
-            code[:, k] = 48 + ((self.words.hash >> U(6 * k)) & U(63)).astype(np.uint8)
-        stream = code.tobytes().decode("ascii")
-        machine = ahocorasick.Automaton()
-        size = 3 * self.phrase
-        _, one = np.unique(self.grams[place], return_index=True)
-        for p in place[one].tolist():
-            machine.add_word(stream[3 * p : 3 * p + size], int(self.grams[p]))
-        machine.make_automaton()
-        first = self.words.first
-        for d in range(len(first) - 1):
-            if first[d + 1] - first[d] < self.width:
-                continue
-            found = [(end, gram) for end, gram in machine.iter(stream, 3 * int(first[d]), 3 * int(first[d + 1])) if end % 3 == 2]
-            if found:
-                at = (np.array([x[0] for x in found]) + 1) // 3 - self.phrase
-                hit[at[self.grams[at] == np.array([x[1] for x in found], np.uint64)]] = True
-        return hit[self.seed]
+        code, size = self.code(), SYMBOLS * self.phrase
+        return own[at], [code[SYMBOLS * p : SYMBOLS * p + size] for p in place[order][at].tolist()], np.diff(np.concatenate([at, [len(gram)]]))
+
+    def located(self, phrases: pa.Array) -> np.ndarray:
+        """Which windows have a seed at a place where the automaton of `phrases` finds one of them."""
+        hit = np.zeros(len(self.words.hash), bool)
+        hit[np.fromiter(_occurrences(phrases.unique().to_pylist(), self.code().decode("ascii")), np.int64)] = True
+        # a phrase that runs over the end of a text is no seed
+        return hit[self.seed + self.phrase - 1] if len(self.seed) else np.zeros(0, bool)
+
+
+def _occurrences(phrases: list[bytes], stream: str) -> Iterator[int]:
+    """Last words of all occurrences of the phrases in the coded words of a shard."""
+    if not phrases:
+        return
+    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for x in phrases:
+        machine.add_word(x.decode("ascii"))
+    machine.make_automaton()
+    for end, _ in machine.iter(stream):
+        if end % SYMBOLS == SYMBOLS - 1:
+            yield end // SYMBOLS
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -118,22 +119,20 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tc.slices(batches, "text", _SLICE):
-            own, gram, n = _Slice(b, width).seeds()
+            own, phrase, n = _Slice(b, width).seeds()
             times = b.column(1).to_numpy()[own]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), b.column(0).take(pa.array(own)), pa.array(n * times)], names=["phrase", "tid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.binary()), b.column(0).take(pa.array(own)), pa.array(n * times)], names=["phrase", "tid", "n"])
 
-    found = heads.mapInArrow(seeds, "phrase long, tid long, n long")
+    found = heads.mapInArrow(seeds, "phrase binary, tid long, n long")
     confirmed = keep(found.groupBy("phrase").agg(F.sum("n").alias("n")).where("n > 1").select("phrase"), "phrases")
-    lists = keep(found.join(maybe_broadcast(confirmed, 8), "phrase", "left_semi").groupBy("tid").agg(F.collect_set("phrase").alias("phrases")), "phrase-lists")
-    held = lists.agg(F.coalesce(F.sum(F.size("phrases")), F.lit(0)).alias("k"), F.count("*").alias("n")).first()
-    lists = F.broadcast(lists) if 8 * held["k"] + 64 * held["n"] <= BROADCAST_BYTES else lists
+    lists = found.select("phrase", "tid").join(confirmed.hint("shuffle_hash"), "phrase", "left_semi").groupBy("tid").agg(F.collect_list("phrase").alias("phrases"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)  # keys sent as the first of the task, sorted
+        told = np.zeros(0, np.uint64)  # of these, keys that were settled since
         for b in tc.slices(batches, "text", _SLICE):
             s = _Slice(b, width)
-            col = b.column(3)
-            wanted = [col[i].values.to_numpy().view(np.uint64) if col[i].is_valid else np.zeros(0, np.uint64) for i in range(b.num_rows)]
-            at = s.at[s.located(wanted)]
+            at = s.at[s.located(b.column(3).flatten())]
             own = s.words.doc[at]
             place = at - s.words.first[own]
             key = tc.rolling(s.words.hash, width)[at]
@@ -143,7 +142,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             new = np.ones(len(key), bool)
             new[1:] = sorted_key[1:] != sorted_key[:-1]
             group = np.cumsum(new) - 1
-            often = np.bincount(group, times[order]) > 1 if len(key) else np.zeros(0, bool)
+            keys = sorted_key[new]
+            before = _isin(keys, seen)
+            often = before.copy()
+            if len(key):
+                often |= np.bincount(group, times[order]) > 1
             sure = np.empty(len(key), bool)
             sure[order] = often[group] if len(key) else []
             # settled here: runs of windows, under keys of their own; a text that occurs as a whole twice needs none
@@ -153,32 +156,45 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             first = k[cut]
             last = k[np.concatenate([np.flatnonzero(cut)[1:] - 1, [len(k) - 1]])] if len(k) else k
             run_key = tc.mix(tid[first].view(np.uint64) + place[first].astype(np.uint64) * U(0x9E3779B97F4A7C15))
-            # one row for each different window: with its place if it is still open, else only to be counted
-            one = order[new]
+            # one row for a window that is new to the task, with its place if it is still open; one more when it is met again
+            again = before & ~_isin(keys, told)
+            one = order[new][~before | again]
             open_ = ~sure[one]
+            runs = place[last] + 1 - place[first]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([run_key, key[one]]).view(np.int64)),
-                    pa.array(np.concatenate([tid[first], tid[one]])),
-                    pa.array(np.concatenate([place[first], np.where(open_, place[one], 0)]).astype(np.int32)),
-                    pa.array(np.concatenate([place[last] + 1, np.where(open_, place[one] + 1, 0)]).astype(np.int32)),
-                    pa.array(np.concatenate([np.ones(len(first), bool), np.zeros(len(one), bool)])),
+                    pa.array(np.concatenate([tid[first], np.where(open_, tid[one], 0)])),
+                    # place, and above it the length of a settled run, 0 for an open window, -1 for a row that only counts
+                    pa.array(np.concatenate([place[first] + (runs << 32), np.where(open_, place[one], -1)]).astype(np.int64)),
                 ],
-                names=["key", "tid", "first", "last", "sure"],
+                names=["key", "tid", "at"],
             )
-
-    marked = heads.join(lists, "tid").select("tid", "n", "text", "phrases").mapInArrow(windows, "key long, tid long, first int, last int, sure boolean")
-    runs = marked.selectExpr("tid", "first", "last", "sure", "count(*) over (partition by key) as c").where("(sure or c > 1) and last > first")
+            seen, told = _with(seen, keys[~before]), _with(told, keys[again])
+            if len(seen) > SEEN:
+                seen = told = np.zeros(0, np.uint64)
+
+    texts = heads.join(lists.hint("merge"), "tid").select("tid", "n", "text", "phrases")
+    marked = texts.mapInArrow(windows, "key long, tid long, at long")
+    runs = marked.withColumn("c", F.expr("count(*) over (partition by key)")).where("at >= 0 and (c > 1 or at >= 4294967296)")
+    runs = runs.selectExpr("tid", "cast(at & 4294967295 as int) as first", "cast((at & 4294967295) + greatest(shiftright(at, 32), 1) as int) as last")
     return rows, runs.groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
+def _isin(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """x in a sorted table."""
+    if not len(table):
+        return np.zeros(len(x), bool)
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+
+
+def _with(table: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return np.insert(table, np.searchsorted(table, more), more) if len(more) else table
+
+
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(id, n_words, n_removed, kept) per row; kept holds the words that stay, joined by one space."""
     rows, runs = repeated(docs, id_col, text_col, width)
-    runs = keep(runs, "runs")
-    held = runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("k"), F.count("*").alias("n")).first()
-    runs = F.broadcast(runs) if 24 * held["k"] + 64 * held["n"] <= BROADCAST_BYTES else runs
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tc.slices(batches, "text", _SLICE):
             data, off = tc.raw(b.column(1))
@@ -200,5 +216,5 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    out = rows.join(runs, "tid", "left").select("id", "text", "n", "runs").mapInArrow(cut, "id long, n_words long, n_removed long, kept string")
+    out = rows.join(runs.hint("merge"), "tid", "left").select("id", "text", "n", "runs").mapInArrow(cut, "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)

@@ -121,6 +121,41 @@ def test_substrings_seeds_of_a_long_text():
     assert ((seed >= at) & (seed < at + 28)).all()
 
 
+def test_substrings_come_from_the_automaton():
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(50)}" for _ in range(200)) for _ in range(4)]
+    s = substrings._Slice(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), 35)
+    own, phrases, n = s.seeds()
+    assert s.located(pa.array([], pa.binary())).sum() == 0 and s.located(pa.array(phrases, pa.binary())).all()
+    words = [w for t in texts for w in t.split()]
+    for k in (0, len(phrases) // 2, len(phrases) - 1):
+        code = s.code()
+        want = {p for p in range(len(words) - 7) if code[2 * p : 2 * p + 16] == phrases[k]}
+        assert want and {e - 7 for e in substrings._occurrences([phrases[k]], code.decode())} == want
+        assert s.located(pa.array([phrases[k]], pa.binary())).tolist() == np.isin(s.seed, list(want)).tolist()
+
+
+def test_substrings_many_tasks_and_slices(spark, monkeypatch):
+    # windows that one task meets again in a later slice, whole copies, repeats within a text
+    passage, rows = " ".join(f"p{k}" for k in range(50)), []
+    for k in range(60):
+        rows.append((k, " ".join(f"u{k}x{j}" for j in range(40)) + (f" {passage}" if k % 2 else "") + " é" * 3, "en", "s", 0))
+    rows += [(100, rows[1][1], "en", "s", 0), (101, (passage + " ") * 3, "en", "s", 0), (102, None, None, None, None)]
+    words = {i: re.findall(WORD, t or "") for i, t, *_ in rows}
+    seen = collections.Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = substrings.remove_repeated(spark.createDataFrame(rows, DOC).repartition(2)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for r in got:
+        w = words[r.doc_id]
+        gone = {p for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
+        assert (r.n_words, r.n_removed) == (len(w), len(gone))
+    assert substrings.remove_repeated(spark.createDataFrame([], DOC)).count() == 0
+
+
 def test_quality_counts(docs):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     for i, t, *_ in corpus():
