@@ -1,23 +1,29 @@
 """N-gram Jaccard join: a blocked sparse product of the document x n-gram incidence matrix.
 
 1. Documents with the same set of word shingles form one class; from here on a class is one matrix row.
-2. Candidate coordinates: columns get one global order and only the leading `n - ceil(t n) + 1` columns of a row of
-   size n enter the product; two rows whose overlap reaches the bound must meet there. Columns that many rows lead
-   with ("hot") move behind all others, so boilerplate does not make candidates. Any set of hot columns gives the same
-   result; it only decides how much work there is.
-3. A column with many rows is not expanded into all its pairs: its rows meet first the one with the fewest columns before
-   it, the closest to what they share. Only the columns that then still hold different components are worked through, in
-   pairs of blocks of rows, and only pairs of different components that pass the bounds leave a block pair.
-4. A pair survives if its sizes and the places of the shared column in both rows allow it and if the parity sketch of both rows (a lower bound of their symmetric
-   difference) does. The product of the surviving coordinates is then summed one block of columns after the other; a
-   pair leaves as soon as its sum and what is left of the smaller row cannot reach the bound.
+2. Columns get one global order and only the leading `n - ceil(t n) + 1` columns of a row of size n enter the first
+   product; two rows whose overlap reaches the bound must meet there. Columns that many rows lead with ("hot") move behind
+   all others, so boilerplate does not make candidates. Any set of hot columns gives the same result; it only decides how
+   much work there is.
+3. A column is cut into groups of rows of about equal size: rows that can link lie in the same or in neighbouring size classes.
+4. Groups of at most SMALL rows are expanded into their pairs, and these are summed over all columns: a pair's overlap is at most
+   that sum, plus the leading columns that lie in larger groups, plus what follows the leading columns. A pair below the
+   bound that both sizes set is discarded.
+5. Larger groups are never expanded. Their rows first meet one row of the group; only groups that then still hold different
+   components are worked through in pairs of blocks of rows, under the bounds of sizes, places and parity sketches (a lower
+   bound of the symmetric difference). A row sends on its most similar partner there, round after round while links are
+   found; a last round sends what is left.
+6. The full rows of surviving pairs are multiplied one block of columns after the other; a pair leaves as soon as its sum and what is left of the
+   smaller row cannot reach the bound. Links merge components, and pairs within one need no product.
 
 Rows with a null id or text: a null text is empty; an empty text has no shingles and links with nothing. Rows that share
-an id are kept as they are. Ties have no effect: links are symmetric and components are named by their least id.
+an id are kept as they are. Ties have no effect: links are symmetric and components are named by their least id. An empty table gives no rows.
+Shingles are told apart by hashes of 52 bits and sets by 64.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +40,10 @@ HOT = 16
 #: At most this many hot columns go to the executors (8 bytes each); with more, HOT is doubled until they fit.
 HOT_COLUMNS = 2_000_000
 HOT_ROUNDS = 1
+#: Groups of at most this many rows are expanded into pairs.
+SMALL = 24
+#: Rounds in which rows meet one row of their group, and in which each row sends on one partner.
+STARS, BEST = 2, 6
 #: Rows of one column in a block.
 BLOCK_ROWS = 512
 #: Column blocks of the exact product.
@@ -90,6 +100,11 @@ def sets_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return src.mapInArrow(run, "id long, n long, cls long, sketch binary")
 
 
+def _lead(size, num: int, den: int):
+    """Leading columns of a row; a pair that links shares one of them."""
+    return size - (num * size + den - 1) // den + 1
+
+
 def _leading(src: DataFrame, width: int, num: int, den: int, hot) -> DataFrame:
     """(gram, cls, n, pos) for the leading columns of every class, under the order (hot, hash)."""
 
@@ -109,7 +124,7 @@ def _leading(src: DataFrame, width: int, num: int, den: int, hot) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(c)
-            lead = size - (num * size + den - 1) // den + 1
+            lead = _lead(size, num, den)
             if len(table):
                 at = np.flatnonzero(bits[(grams & U((1 << _BITMAP) - 1)).astype(np.int64)])
                 at = at[table[np.minimum(np.searchsorted(table, grams[at]), len(table) - 1)] == grams[at]]
@@ -125,13 +140,18 @@ def _leading(src: DataFrame, width: int, num: int, den: int, hot) -> DataFrame:
     return src.select("text").mapInArrow(run, "gram long, cls long, n int, pos int")
 
 
-def _hot_columns(spark, counted: DataFrame, have: np.ndarray) -> np.ndarray:
-    limit = HOT
-    while counted.where(F.col("rows") > limit).count() > HOT_COLUMNS:
-        limit *= 2
-    more = np.array([r[0] for r in counted.where(F.col("rows") > limit).select("gram").toLocalIterator()], np.int64).view(np.uint64)
-    both = np.union1d(have, more)
-    return both if len(both) <= HOT_COLUMNS else have
+def _hot_columns(counted: DataFrame) -> np.ndarray:
+    """The columns that more than HOT rows lead with, or the HOT_COLUMNS at most above the least power of two that has so few."""
+    often = counted.where(F.col("rows") > HOT)
+    counts = often.groupBy(F.floor(F.log2(F.col("rows") - 1)).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()  # at most 63 rows
+    total, least = 0, None
+    for k, n in counts:
+        total += n
+        if total > HOT_COLUMNS:
+            break
+        least = k
+    found = often.where(F.floor(F.log2(F.col("rows") - 1)) >= F.lit(64 if least is None else least)).select("gram").toArrow()
+    return np.sort(found.column(0).to_numpy()).view(np.uint64)
 
 
 def _fold(s: np.ndarray, n: int) -> np.ndarray:
@@ -141,7 +161,7 @@ def _fold(s: np.ndarray, n: int) -> np.ndarray:
 
 
 def _pruned(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and parity sketches allow a link."""
+    """Pairs (a, b) whose sizes and parity sketches allow a link, with the share of the sketch in which they differ."""
     left = table.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = table.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
@@ -150,51 +170,59 @@ def _pruned(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame
             na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
             sa, sb = b.column(3).to_pylist(), b.column(5).to_pylist()
             most = (na + nb) - 2 * -(-num * (na + nb) // (num + den))
-            good = np.zeros(b.num_rows, bool)
+            differ = np.zeros(b.num_rows, np.int64)
             for i in range(b.num_rows):
                 x, y = np.frombuffer(sa[i], np.uint8), np.frombuffer(sb[i], np.uint8)
                 m = min(len(x), len(y))
-                good[i] = int(np.bitwise_count(_fold(x, m) ^ _fold(y, m)).sum()) <= most[i]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good))
+                differ[i] = int(np.bitwise_count(_fold(x, m) ^ _fold(y, m)).sum())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(differ / (na + nb))], names=["a", "b", "far"]).filter(pa.array(differ <= most))
 
     allowed = (den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
     # the hint-free join keys are unique on the table's side, so a hot row is only replicated as often as it has pairs
     both = pairs.join(left, "a").join(right, "b").where(allowed).select("a", "b", "na", "sa", "nb", "sb")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, far double")
 
 
-def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a column and pass the bounds, by pairs of blocks of a column's rows.
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For each row the pair (a, b) with the least `far`."""
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "far").union(pairs.select("b", "a", "far"))
+    return both.groupBy("x").agg(F.min(F.struct("far", "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
 
-    A row goes to as many block pairs as its column has blocks; only pairs that pass leave them."""
+
+def _blocks(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """Pairs (a, b, far) of different components that share a group and pass the bounds, by pairs of blocks of a group's rows.
+
+    A row goes to as many block pairs as its group has blocks; with `best` a block pair sends on one pair for each row at most."""
     parts = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("cls"), parts).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "root", "n", "pos", "sketch")
-    dealt = dealt.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    dealt = dealt.select("gram", "slot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "top", "cls", "root", "n", "pos", "sketch")
+    dealt = dealt.repartition("gram", "slot", "i", "j").sortWithinPartitions("gram", "slot", "i", "j")
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
-    def one(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        i, j, own, cls, root, n, pos = (t.column(k).to_numpy().astype(np.int64) for k in ("i", "j", "own", "cls", "root", "n", "pos"))
+    def one(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, own, top, cls, root, n, pos = (t.column(k).to_numpy().astype(np.int64) for k in ("i", "j", "own", "top", "cls", "root", "n", "pos"))
         if i[0] == j[0]:
             left = right = np.arange(len(n))
         else:
             left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
         if not len(left) or not len(right):
-            return cls[:0], cls[:0]
+            return none
         na, nb = n[left][:, None], n[right][None, :]
         ok = (root[left][:, None] != root[right][None, :]) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
         ok &= (num + den) * np.minimum(na - pos[left][:, None], nb - pos[right][None, :]) >= num * (na + nb)
+        ok &= (top[left][:, None] | top[right][None, :]) > 0  # else they meet in the group before
         if i[0] == j[0]:
             ok &= left[:, None] < right[None, :]
         x, y = np.nonzero(ok)
         x, y = left[x], right[y]
         if not len(x):
-            return cls[:0], cls[:0]
+            return none
         sketch = [np.frombuffer(v, np.uint8) for v in t.column("sketch").to_pylist()]
         size = np.array([len(v) for v in sketch])
         least = np.minimum(size[x], size[y])
         most = (n[x] + n[y]) - 2 * -(-num * (n[x] + n[y]) // (num + den))
-        good = np.zeros(len(x), bool)
+        differ = np.zeros(len(x), np.int64)
         for m in np.unique(least).tolist():
             use = np.flatnonzero(size >= m)
             place = np.zeros(len(size), np.int64)
@@ -203,15 +231,22 @@ def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
             at = np.flatnonzero(least == m)
             for c in range(0, len(at), 1 << 14):
                 k = at[c : c + (1 << 14)]
-                good[k] = np.bitwise_count(folded[place[x[k]]] ^ folded[place[y[k]]]).sum(axis=1) <= most[k]
-        a, b = cls[x[good]], cls[y[good]]
-        return np.minimum(a, b), np.maximum(a, b)
+                differ[k] = np.bitwise_count(folded[place[x[k]]] ^ folded[place[y[k]]]).sum(axis=1)
+        good = np.flatnonzero(differ <= most)
+        x, y, far = x[good], y[good], differ[good] / (n[x[good]] + n[y[good]])
+        if best and len(x):
+            order = np.argsort(far, kind="stable")
+            x, y, far = x[order], y[order], far[order]
+            one = np.union1d(np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1])
+            x, y, far = x[one], y[one], far[one]
+        a, b = cls[x], cls[y]
+        return np.minimum(a, b), np.maximum(a, b), far
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def groups(t: pa.Table, last: bool):
-            key = [t.column(k).to_numpy() for k in ("gram", "i", "j")]
+            key = [t.column(k).to_numpy() for k in ("gram", "slot", "i", "j")]
             cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
             edge = [0, *cut.tolist(), t.num_rows]
             pairs = [one(t.slice(s, e - s)) for s, e in zip(edge[:-1], edge[1:] if last else edge[1:-1]) if e - s > 1]
@@ -219,8 +254,7 @@ def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
             return pairs, rest
 
         def batch(pairs):
-            a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs]) if pairs else none[k]) for k in range(3)], names=["a", "b", "far"])
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -230,7 +264,7 @@ def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield batch(groups(held, True)[0])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, far double")
 
 
 def _rows_of(src: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -293,39 +327,85 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     table = keep(sets_table(docs, id_col, text_col, width), "sets")
     reps = keep(table.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    wide = reps.select("cls", "n", "sketch")
 
-    hot, shipped = np.zeros(0, np.uint64), None
-    for last in range(HOT_ROUNDS + 1):
-        lead = _leading(src, width, num, den, shipped)
-        counted = lead.groupBy("gram").agg(F.count("*").alias("rows"), F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head <> tail")
-        counted = keep(counted, "columns")
-        more = hot if last == HOT_ROUNDS else _hot_columns(spark, counted, hot)
-        if len(more) <= len(hot) * 1.1:
-            break
-        hot, shipped = more, spark.sparkContext.broadcast(more)
-    posts = keep(lead.join(maybe_broadcast(counted.select("gram"), 8), "gram", "left_semi").distinct(), "postings")
+    hot = None
+    for _ in range(HOT_ROUNDS):
+        counted = keep(_leading(src, width, num, den, hot).groupBy("gram").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT), "hot-columns")
+        hot = spark.sparkContext.broadcast(_hot_columns(counted))
+    lead = _leading(src, width, num, den, hot)
+    shared = lead.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("gram")
+    posts = keep(lead.join(keep(shared, "columns").hint("shuffle_hash"), "gram", "left_semi").distinct(), "postings")
+
+    # a little more than den / num, so that rounding keeps neighbours in size together
+    place = F.floor(F.log("n") / F.lit(math.log(max(den / num, 1.0001) * (1 + 1e-6)))).cast("int")
+    slots = posts.select("gram", "cls", "n", "pos", F.explode(F.array(F.struct(place.alias("slot"), F.lit(True).alias("top")), F.struct((place + 1).alias("slot"), F.lit(False).alias("top")))).alias("s")).select("gram", "s.slot", "s.top", "cls", "n", "pos")
+    useful = slots.groupBy("gram", "slot").agg(F.count("*").alias("rows"), F.max("top").alias("any")).where("rows > 1 and any").select("gram", "slot", "rows")
+    groups = keep(slots.join(useful, ["gram", "slot"]), "groups")
+    # the rows whose places allow a link if this is the first column that both hold; another first column is met on its own
+    enough = f"{den} * least(na, nb) >= {num} * greatest(na, nb) and (ta or tb)"
+    side = lambda k: groups.select("gram", "slot", F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"), F.col("top").alias(f"t{k}"))
+    large = groups.where((F.col("rows") > SMALL) & F.col("top")).groupBy("cls").agg(F.countDistinct("gram").alias("m"))
+    large = large.union(groups.where((F.col("rows") > SMALL) & ~F.col("top")).groupBy("cls").agg(F.countDistinct("gram"))).groupBy("cls").agg(F.sum("m").alias("m"))
+    few = groups.where(F.col("rows") <= SMALL).select("gram", "slot")
+    both = side("a").join(groups.where(F.col("rows") <= SMALL).select("gram", "slot", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("top").alias("tb")), ["gram", "slot"]).where(f"a < b and {enough}")
+    summed = both.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    summed = summed.join(large.select(F.col("cls").alias("a"), F.col("m").alias("la")), "a", "left").join(large.select(F.col("cls").alias("b"), F.col("m").alias("lb")), "b", "left")
+    rest = lambda n: f"(({num} * {n} + {den - 1}) div {den} - 1)"
+    need = f"(({num} * (na + nb) + {num + den - 1}) div {num + den})"
+    bound = f"met + least(coalesce(la, 0), coalesce(lb, 0)) + greatest({rest('na')}, {rest('nb')}) >= {need}"
+    pairs = keep(_pruned(summed.where(bound).select("a", "b"), wide, num, den), "pairs")
+
+    def verified(labels: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame | None, bool]:
+        """labels after the links among `pairs`, and whether there are any."""
+        if pairs.isEmpty():
+            return labels, False
+        need = keep(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps, "cls").select(F.col("rep").alias("id")), "wanted")
+        rows = keep(_rows_of(src, maybe_broadcast(need, 8), width).dropDuplicates(["cls"]), "rows")
+        both = pairs.join(rows.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a").join(rows.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b")
+        links = keep(_product(both.select("a", "b", "ga", "gb"), num, den), "linked")
+        return merge(labels, links), not links.isEmpty()
+
+    def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """The pairs of different components."""
+        if labels is None:
+            return pairs
+        a, b = labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select(pairs.columns)
 
-    wide = reps.select("cls", "n", "sketch")
-    # if this is the first column that both rows hold, what follows must suffice; another first column is met on its own
-    enough = f"{num + den} * least(na - pa, nb - pb) >= {num} * (na + nb) and {den} * least(na, nb) >= {num} * greatest(na, nb)"
-    heads = posts.groupBy("gram").agg(F.min(F.struct("pos", "cls", "n")).alias("h")).selectExpr("gram", "h.cls as a", "h.n as na", "h.pos as pa")
-    pairs = posts.selectExpr("gram", "cls as b", "n as nb", "pos as pb").join(heads, "gram").where(f"a <> b and {enough}").selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
     labels = None
-    for closing in (False, True):
-        if closing:
-            # columns whose rows are in one component by now are done
-            named = posts if labels is None else posts.join(labels, posts["cls"] == labels["node"], "left")
-            named = named.select("gram", "cls", "n", "pos", F.col("cls").alias("root") if labels is None else F.coalesce("root", "cls").alias("root"))
-            mixed = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi and rows > 2").select("gram", "rows")
-            open_ = named.join(mixed, "gram").join(wide.select("cls", "sketch"), "cls")
-            pairs = keep(_blocks(open_, num, den).distinct(), "pairs")
-        else:
-            pairs = keep(_pruned(pairs, wide, num, den), "pairs")
-        if not pairs.isEmpty():
-            need = keep(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps, "cls").select(F.col("rep").alias("id")), "wanted")
-            rows = keep(_rows_of(src, maybe_broadcast(need, 8), width).dropDuplicates(["cls"]), "rows")
-            both = pairs.join(rows.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a").join(rows.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b")
-            labels = merge(labels, _product(both.select("a", "b", "ga", "gb"), num, den))
+    first = keep(_nearest(pairs), "nearest")
+    labels, _ = verified(labels, first)
+    labels, _ = verified(labels, keep(apart(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), labels), "apart"))
+
+    big = groups.where(F.col("rows") > SMALL)
+    big = None if big.isEmpty() else big
+
+    def open_groups(labels: DataFrame | None) -> DataFrame:
+        """Rows of the large groups that hold different components, with their components."""
+        named = big if labels is None else big.join(labels, big["cls"] == labels["node"], "left")
+        named = named.select("gram", "slot", "top", "cls", "n", "pos", (F.col("cls") if labels is None else F.coalesce("root", "cls")).alias("root"))
+        mixed = named.groupBy("gram", "slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("gram", "slot", "rows")
+        return keep(named.join(mixed, ["gram", "slot"]), "open")
+
+    for k in range(STARS if big is not None else 0):
+        rows = open_groups(labels)
+        if rows.isEmpty():
+            break
+        order = F.struct(F.col("pos") if k == 0 else F.xxhash64("cls"), "cls", "n", "top", "root")
+        heads = rows.groupBy("gram", "slot").agg(F.min(order).alias("h")).selectExpr("gram", "slot", "h.cls as a", "h.n as na", "h.top as ta", "h.root as ra")
+        met = rows.selectExpr("gram", "slot", "cls as b", "n as nb", "top as tb", "root as rb").join(heads, ["gram", "slot"]).where(f"ra <> rb and {enough}")
+        labels, _ = verified(labels, keep(_nearest(_pruned(met.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct(), wide, num, den)), "nearest"))
+    some = True
+    for k in range(BEST + 1 if big is not None else 0):
+        last = k == BEST or not some
+        rows = open_groups(labels)
+        if rows.isEmpty():
+            break
+        found = _blocks(rows.join(wide.select("cls", "sketch"), "cls"), num, den, not last)
+        labels, some = verified(labels, keep(found.select("a", "b").distinct() if last else _nearest(found), "nearest"))
+        if last:
+            break
 
     base = table.select("id", "n", "cls")
     if labels is not None:
