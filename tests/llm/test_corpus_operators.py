@@ -246,6 +246,65 @@ def test_html():
     assert html_text.main_text(deep) == "Deep text, that is long enough, to be scored well."
 
 
+PARA = "<p>First para, with commas, and text that is long enough to be scored. And one more sentence of it, for length.</p>"
+
+
+def test_html_scores_choose_the_container(monkeypatch):
+    long = "<p>" + "A sentence of the story, with a comma, of some length. " * 8 + "</p>"
+    page = f"<body><article><p>A teaser, that is short and says not much.</p></article><div><div>{long}</div><div>{long}<p>Short.</p></div></div></body>"
+    two = f"<body><article><p>A teaser, that is short and says not much.</p></article><article>{long}</article></body>"
+    assert html_text.main_text(two).startswith("A sentence") and "teaser" not in html_text.main_text(two)
+    assert "teaser" not in html_text.main_text(page) and html_text.main_text(page).endswith("\nShort.") and html_text.main_text(page).count("A sentence") == 16
+    # without scores the first article would do
+    monkeypatch.setattr(html_text, "COMMAS", re.compile("(?!)"))
+    monkeypatch.setattr(html_text, "LEAST_CHARS", 10**9)
+    assert html_text.main_text(two) != html_text.main_text(page) == "A teaser, that is short and says not much."
+
+
+@pytest.mark.parametrize("wrap", ['<div class="content with-sidebar">%s</div>', '<div id="page" class="has-sidebar">%s</div>', '<article class="post comments-open">%s</article>', '<div class="main no-banner">%s</div>', '<main><div class="post-header">%s</div></main>', "<form id=aspnet>%s</form>", '<div class="sidebar-layout">%s<div class="sidebar"><p>Some words of a sidebar, all about nothing.</p></div></div>'])
+def test_html_names_are_hints(wrap):
+    page = f"<body><nav><a href=x>Home</a></nav>{wrap % PARA}<footer>Foot text that goes on and on, for ever and ever, and is no article at all.</footer></body>"
+    assert html_text.main_text(page) == PARA[3:-4]
+
+
+def test_html_keeps_comments_out():
+    comment = "<p>I liked this, a lot, really very much indeed my friends, and I write long comments about it.</p>"
+    page = f"<body><div class=post>{PARA}<div class=comments>{comment * 20}</div></div></body>"
+    assert html_text.main_text(page) == PARA[3:-4]
+    assert html_text.main_text("<body><article></article><footer>Only a footer, with its notes and marks, and nothing else at all here.</footer></body>") == ""
+
+
+def test_html_points_are_sums_over_paragraphs():
+    r = random.Random(3)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.3:
+            return "<p>" + "word, and more of it " * r.randint(1, 30) + (f"<a href=x>{'link ' * r.randint(1, 9)}</a>" if r.random() < 0.4 else "") + "</p>"
+        return f"<{(t := r.choice(['div', 'section']))}>" + "".join(tree(depth - 1) for _ in range(r.randint(1, 4))) + f"</{t}>"
+
+    for _ in range(30):
+        nodes, blocks = html_text._parse(f"<body>{tree(5)}</body>")
+        html_text._zones(nodes, blocks)
+        html_text._score(nodes, blocks)
+        want = collections.defaultdict(float)
+        for node, text, linked in blocks:
+            if len(text) >= html_text.LEAST_CHARS:
+                up, part = node.up, (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - linked / len(text))
+                while up is not None:
+                    want[up] += part
+                    up, part = up.up, part * html_text.DECAY
+        assert all(np.isclose(x.points, want.get(x, 0.0)) for x in nodes)
+
+
+def test_html_is_linear_in_depth():
+    import time
+
+    for page in ("<div>x " * 50_000, "<div>x " * 50_000 + "</section></b>" * 50_000, "<b><div>x " * 30_000, "<ul><li>x " * 30_000):
+        began = time.process_time()
+        assert html_text.main_text(page)
+        assert time.process_time() - began < 4
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "<p>Hello, world of pages and of words.</p>", None)], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, "", 0), (2, "Hello, world of pages and of words.", 35)]
