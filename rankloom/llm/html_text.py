@@ -266,7 +266,7 @@ def main_text(page: str | None) -> str:
     else:
         some = [x for x in nodes if x.chars and x.zone is None]
         best = max(some, key=lambda x: (x.tag in ("article", "main"), x.chars - x.linked))
-    least = max(LEAST_SCORE, SIBLING * _rank(best))
+    least = max(LEAST_SCORE, SIBLING * best.points)
     while best.tag not in ("article", "main", "body", "html") and best.up is not None:
         if best.up.tag in ("body", "html"):
             break
@@ -277,9 +277,9 @@ def main_text(page: str | None) -> str:
 
     def reads(side: _Node) -> bool:
         """Whether a sibling scores or reads like the best container."""
-        if side.points > 0 and _rank(side) >= least:
-            return True
         share = side.linked / max(side.chars, 1)
+        if side.points * (1 - share) >= least:
+            return True
         return side.tag in PARAGRAPH | {best.tag, *HEADING} and (side.chars > 80 and share < 0.25 or share == 0)
 
     sure, keeps = best.tag in ("article", "main"), {best: True}
