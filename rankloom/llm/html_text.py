@@ -56,8 +56,8 @@ START = {"div": 5, "article": 10, "main": 8, "section": 3, "pre": 3, "td": 3, "b
 NAME_POINTS = 10
 #: Share of a container's points that its parent gets.
 DECAY = 0.5
-#: A named part with this many characters (LAYOUT, other names) beside text outside all parts of at most REST of it is a wrapper.
-WRAPPER, REST = (100, 400), 0.2
+#: A named part with this many characters (LAYOUT, other names) beside text outside all parts of at most that share of it is a wrapper.
+WRAPPER, REST = (100, 400), (0.2, 0.0)
 #: Shorter paragraphs give no points (they are kept with their container all the same).
 LEAST_CHARS = 25
 #: Link share up to which what a parent adds is text; share of the best score with which a sibling is kept, and least score.
@@ -220,7 +220,7 @@ def _zones(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
             if node.head != 1 and len(text) >= LEAST_CHARS:
                 held[node.zone] = held.get(node.zone, 0) + len(text) - linked
         rest = held.pop(None, 0)
-        named = [x for x in held if x.part != BY_TAG and held[x] >= WRAPPER[x.part - 1] and rest <= REST * held[x]]
+        named = [x for x in held if x.part != BY_TAG and held[x] >= WRAPPER[x.part - 1] and rest <= REST[x.part - 1] * held[x]]
         if not named:
             return
         x = max(named, key=held.get)  # of equals the outer one
