@@ -1,14 +1,16 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are dealt to shards by ranges of their id; the ranges come from an exact histogram of payload bytes over a fixed
-number of equal id intervals, so the same input gives the same files. In a shard records are sorted by id and written as
-one gzip member each; a file is closed when its compressed size reaches `roll_bytes`. A file is written under a temporary
-name of its own for each attempt and renamed when it is complete; the names that count are listed in the manifest, which
-is written last, so a lost executor or a second attempt leaves no half-written archive.
+Records are sorted by (id, digest) over all input and dealt to shards of about `shard_bytes` payload bytes by their place in that
+order: sums over the ranges of a distributed sort give every key the exact number of bytes before it, so shards are even whatever
+the ids are, and the same input gives the same files. One task writes one shard, one gzip member for each record; a file is closed when its compressed
+size reaches `roll_bytes`. A file is written under a temporary name of its own for each attempt and renamed when it is
+complete. The names that count are in the manifest: a table of files, written by the tasks, and `manifest.json`, which names
+that table and is renamed into place last; so a lost executor or a second attempt leaves no half-written archive.
 
 Of records with equal payloads of at least `revisit_bytes` bytes the one with the largest id holds the payload and the
-others are revisit records that refer to it. A null payload is empty. A null id sorts first (it is dealt to the first shard) and
-never is referred to. Rows that share id and payload refer to themselves, so each stays a response.
+others are revisit records that refer to it, those without an id too. A null payload is empty. A null id sorts first and
+never is referred to; payloads that occur only without ids stay responses. Rows that share id and payload would refer to
+themselves, so each stays a response. An empty table gives a manifest without files. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import keep, maybe_broadcast, shared_dir
@@ -30,12 +34,14 @@ from .shared import keep, maybe_broadcast, shared_dir
 REVISIT_BYTES = 1000
 #: Compressed size at which a file is closed.
 ROLL_BYTES = 32 << 20
-#: Payload bytes meant for one shard.
-SHARD_BYTES = 64 << 20
-#: Equal id intervals of the histogram that the driver reads.
-INTERVALS = 4096
+#: Payload bytes meant for one shard, unless there were more than MOST_SHARDS of them: then shards are larger.
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 100_000
+#: Files that a task reads back.
+READ_FILES = 2
+NO_ID = -(2**63)
 DATE = "2024-01-01T00:00:00Z"
 VERSION = b"WARC/1.1\r\n"
+FILES = "file string, shard long, records long, bytes long, sha1 string"
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -104,40 +110,47 @@ class _Shard:
         self.part += 1
 
 
-def _bounds(src: DataFrame, shard_bytes: int) -> list[int]:
-    """Ids at which a new shard starts (the first shard starts anywhere)."""
-    low, high = src.agg(F.min("id"), F.max("id")).first()
-    if low is None:
-        return []
-    width = max(1, -(-(high - low + 1) // INTERVALS))
-    part = F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("int")
-    sizes = src.where("id is not null").groupBy(part.alias("k")).agg(F.sum("bytes").alias("b")).orderBy("k").collect()
-    out, have = [], 0
-    for k, b in sizes:
-        if have and have + b > shard_bytes:
-            out.append(low + k * width)
-            have = 0
-        have += b
-    return out
-
-
-def write(pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> list[dict]:
-    """Write the archives under `base`; returns the manifest, which lists every file that counts."""
+def _starts(meta: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (id, digest) with which shards start; meta has them as k and d, and bytes. At most MOST_SHARDS of them come to the driver."""
+    total = meta.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    shard_bytes = max(shard_bytes, total // MOST_SHARDS + 1)
+    ranges = keep(meta.groupBy("k", "d").agg(F.sum("bytes").alias("bytes")).repartitionByRange("k", "d").withColumn("p", F.spark_partition_id()), "warc-ranges")
+    # one row for each range
+    before = ranges.groupBy("p").agg(F.sum("bytes").alias("all")).withColumn("off", F.sum("all").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))).select("p", F.coalesce("off", F.lit(0)).alias("off"))
+    upto = ranges.join(F.broadcast(before), "p").withColumn("sum", F.sum("bytes").over(Window.partitionBy("p").orderBy("k", "d")))
+    shard = F.floor((F.col("off") + F.col("sum") - F.col("bytes")) / F.lit(shard_bytes))
+    got = upto.groupBy(shard.alias("s")).agg(F.min(F.struct("k", "d")).alias("m")).select("m.k", "m.d").toArrow()
+    k, d = (got.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+    order = np.lexsort((d, k))
+    return k[order], d[order]
+
+
+def _shard_of(starts: tuple[np.ndarray, np.ndarray], k: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """How many starts are at or before each key, less one."""
+    lo, hi = np.searchsorted(starts[0], k, "left"), np.searchsorted(starts[0], k, "right")
+    for i in np.flatnonzero(hi > lo):
+        lo[i] += np.searchsorted(starts[1][lo[i] : hi[i]], d[i], "right")
+    return np.maximum(lo - 1, 0).astype(np.int32)
+
+
+def write(pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write the archives under `base`; returns the table of files that count (file, shard, records, bytes, sha1)."""
     spark = pages.sparkSession
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    meta = keep(src.select("id", F.sha1(F.encode("html", "utf-8")).alias("digest"), F.octet_length("html").cast("long").alias("bytes")), "warc-meta")
-    large = meta.where(F.col("bytes") >= revisit_bytes)
-    shown = large.groupBy("digest").agg(F.max("id").alias("ref"), F.count("*").alias("n")).where("n > 1 and ref is not null").select("digest", "ref")
-    refs = keep(large.join(shown, "digest").where("id <> ref").select("id", "digest", "ref").distinct(), "warc-refs")
-    starts = _bounds(meta, shard_bytes)
-
-    shard = F.lit(0)
-    if starts:
-        # the bounds are at most INTERVALS numbers
-        shard = F.size(F.filter(F.lit(starts), lambda x: x <= F.col("id")))
-    shard = F.coalesce(F.when(F.col("id").isNull(), 0).otherwise(shard), F.lit(0))
-    rows = src.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).join(maybe_broadcast(refs, 64), ["id", "digest"], "left")
-    rows = rows.select(shard.alias("shard"), "id", "url", "html", "digest", "ref").repartition(max(1, len(starts) + 1), "shard").sortWithinPartitions("shard", "id", "digest", "url")
+    key, part = F.coalesce("id", F.lit(NO_ID)), F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    src = src.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
+    meta = keep(src.select("id", "digest", F.octet_length("html").cast("long").alias("bytes")), "warc-meta")
+    shown = meta.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.max("id").alias("ref"), F.count("*").alias("n")).where("n > 1 and ref is not null").select("digest", "ref")
+    starts = _starts(meta.select(key.alias("k"), part.alias("d"), "bytes"), shard_bytes)
+    shipped = spark.sparkContext.broadcast(starts)
+
+    @F.pandas_udf("int")
+    def dealt(k: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(_shard_of(shipped.value, k.to_numpy(np.int64), d.to_numpy(np.int64)))
+
+    rows = src.join(maybe_broadcast(keep(shown, "warc-shown"), 48), "digest", "left").withColumn("ref", F.when(F.col("id").isNull() | (F.col("id") != F.col("ref")), F.col("ref")))
+    rows = rows.select(dealt(key, part).alias("shard"), "id", "url", "html", "digest", "ref")
+    rows = rows.repartitionById(max(1, len(starts[0])), F.col("shard")).sortWithinPartitions("id", "digest", "url")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
@@ -159,11 +172,13 @@ def write(pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "
 
     disk, top = _filesystem(base)
     disk.create_dir(top, recursive=True)
-    # sorted here: a distributed sort would run the writer once more to sample its output
-    files = sorted((r.asDict() for r in rows.mapInArrow(put, "file string, shard long, records long, bytes long, sha1 string").collect()), key=lambda x: x["file"])
+    name = f"_files-{uuid.uuid4().hex}"
+    rows.mapInArrow(put, FILES).write.parquet(f"{base}/{name}")
+    files = spark.read.schema(FILES).parquet(f"{base}/{name}")
+    n, records, size = files.agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     temp = f"{top}/_temporary.{uuid.uuid4().hex}.json"
     with disk.open_output_stream(temp) as f:
-        f.write(json.dumps({"files": files}, indent=1).encode())
+        f.write(json.dumps({"table": name, "files": n, "records": records, "bytes": size}).encode())
     disk.move(temp, f"{top}/manifest.json")
     return files
 
@@ -197,20 +212,23 @@ def read(spark: SparkSession, base: str) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of the manifest's files."""
     disk, top = _filesystem(base)
     with disk.open_input_stream(f"{top}/manifest.json") as f:
-        files = json.loads(f.read())["files"]
+        manifest = json.loads(f.read())
+    files = spark.read.schema(FILES).parquet(f"{base}/{manifest['table']}").select("file", "sha1")
+    files = files.repartition(max(1, -(-manifest["files"] // READ_FILES)))
     schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    if not files:
-        return spark.createDataFrame([], schema)
-    # a file is at most roll_bytes and one record long
-    raw = spark.read.format("binaryFile").load([f"{base}/{x['file']}" for x in files]).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
         num = lambda x: int(x) if x else None
+        disk, top = _filesystem(base)
         for b in batches:
-            for data in b.column(0):
+            for name, sha in zip(*(c.to_pylist() for c in b.columns)):
+                with disk.open_input_stream(f"{top}/{name}", compression=None) as f:
+                    data = f.read()  # at most roll_bytes and one record
+                if hashlib.sha1(data).hexdigest() != sha:
+                    raise ValueError(f"damaged archive {name}")
                 rows, size = [], 0
-                for h, block in parse(data.as_py()):
+                for h, block in parse(data):
                     revisit = h["WARC-Type"] == "revisit"
                     payload = None if revisit else block.partition(b"\r\n\r\n")[2]
                     digest = h["WARC-Payload-Digest"].partition(":")[2]
@@ -224,7 +242,7 @@ def read(spark: SparkSession, base: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
-    return raw.mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)
 
 
 def archive_dir(spark: SparkSession, name: str = "warc") -> str:

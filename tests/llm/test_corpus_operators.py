@@ -318,14 +318,39 @@ def test_warc(spark, tmp_path):
     base = f"file://{tmp_path}/a"
     files = warc.write(df.repartition(4), base, roll_bytes=2000, shard_bytes=4000)
     again = warc.write(df.repartition(7), f"file://{tmp_path}/b", roll_bytes=2000, shard_bytes=4000)
-    assert len(files) > 3 and files == again
+    show = lambda x: sorted(map(tuple, x.collect()))
+    assert files.count() > 3 and show(files) == show(again)
     got = {r.page_id: r for r in warc.read(spark, base).collect()}
     for k, _, h in rows:
         raw = (h or "").encode()
         assert (got[k].payload_bytes, got[k].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
         assert (got[k].record_type, got[k].refers_to) == (("revisit", 50) if k % 10 == 0 and k != 50 else ("response", None))
         assert got[k].payload == (None if got[k].refers_to is not None else raw)
-    assert warc.write(df.limit(0), f"file://{tmp_path}/c") == [] and warc.read(spark, f"file://{tmp_path}/c").count() == 0
+    assert warc.write(df.limit(0), f"file://{tmp_path}/c").count() == 0 and warc.read(spark, f"file://{tmp_path}/c").count() == 0
+
+
+def test_warc_even_shards(spark, tmp_path):
+    # an outlying id, many rows without an id, one id many times
+    big = "<p>" + "y" * 1500
+    rows = [(k, "u", f"<p>{k:05d}" + "x" * 990) for k in range(300)] + [(2**62, "far", "z" * 50), (-5, None, big), (None, "n", big), (None, "n", big), (7, "u", big), (9, "a", "same"), (9, "b", "same")]
+    rows += [(None, "n", None)] * 40
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = warc.write(df.repartition(5), f"file://{tmp_path}/a", shard_bytes=20_000).collect()
+    per = collections.Counter()
+    for f in files:
+        per[f.shard] += f.records
+    assert len(per) >= 14 and max(n for k, n in per.items() if k) <= 23 and sum(per.values()) == len(rows)
+    got = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.payload_bytes) for r in got) == sorted((i is None, i or 0, len(h or "")) for i, _, h in rows)
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got if r.payload_bytes == 1503) == sorted([("-5", "revisit", 7), ("7", "response", None), ("None", "revisit", 7), ("None", "revisit", 7)], key=lambda x: (x[0], x[1]))
+
+
+def test_warc_shard_of_a_key():
+    r = random.Random(1)
+    keys = sorted({(r.randrange(6), r.randrange(50)) for _ in range(80)})
+    starts = [keys[0], *sorted(r.sample(keys[1:], 12))]
+    k, d = (np.array(x) for x in zip(*keys))
+    assert warc._shard_of(tuple(np.array(x) for x in zip(*starts)), k, d).tolist() == [sum(s <= x for s in starts) - 1 for x in keys]
 
 
 def edit(ws, item):
