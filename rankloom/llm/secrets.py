@@ -1,10 +1,13 @@
 """Secret scan with structural confirmation.
 
 Plain patterns (assignments, access keys, hex runs) are reported as they match. Beyond these, base64 and hex candidates
-are decoded and reported only if what they hold parses: a DER key whose nested lengths add up, an OpenSSH key whose
-length-prefixed fields do, or a signed token whose header is a JSON object that names an algorithm.
+are decoded and reported only if what they hold parses: a DER private key whose nested lengths add up, an OpenSSH private key
+whose length-prefixed fields do, or a signed token whose header is a JSON object that names an algorithm. Keys may be
+wrapped, with line ends as such or escaped as in JSON and environment files, and indented; armour marks are no part of a
+span. Public keys are no secrets and are not reported.
 
-A null text is empty. Spans are code points, end exclusive, sorted by start and then kind. Texts are scanned whole.
+A null text is empty. Spans are code points, end exclusive, sorted by start and then kind. Texts are scanned whole, rows are
+independent, so ties, repeated rows and extra columns need no rule. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ KINDS = ("assign", "access", "hex", "signed_token", "der_key", "ssh_key", "hex_k
 
 TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{16,}")
 #: A base64 run may go on over line ends, as armoured keys do; `_keys` looks for where keys in it start and end.
-BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*(?:\r?\n[A-Za-z0-9+/_-]{2,3}(?==))?={0,2}")
+LINE_END = rb"[\\ \t\r]*\n[ \t]*"
+BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{40,}(?:" + LINE_END + rb"[A-Za-z0-9+/_-]{4,})*(?:" + LINE_END + rb"[A-Za-z0-9+/_-]{2,3}(?==))?={0,2}")
 HEX_ANY = re.compile(rb"(?:[0-9a-fA-F]{2}){32,}")
 LEAST_RUN = 40
 
@@ -70,7 +74,7 @@ def _children(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
 
 
 def is_der_key(b: bytes) -> bool:
-    """A SEQUENCE that fills b (but for padding) and has the shape of a PKCS#1, PKCS#8, SEC1 or public key."""
+    """A SEQUENCE that fills b (but for padding) and has the shape of a PKCS#1, PKCS#8 or SEC1 private key."""
     top = _der(b, 0, len(b)) if b[:1] == b"\x30" else None
     if top is None or len(b) - top[2] > 2:
         return False
@@ -82,33 +86,14 @@ def is_der_key(b: bytes) -> bool:
         return True  # RSA private key: version and eight integers
     if tags[0] == 2 and len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 4:
         return _children(b, kids[1][1], kids[1][2]) is not None  # PKCS#8
-    if tags[0] == 2 and tags[1] == 4 and kids[1][2] - kids[1][1] in (20, 24, 28, 32, 48, 66):
-        return True  # SEC1 EC private key
-    if tags == [2, 2] and kids[0][2] - kids[0][1] >= 64:
-        return True  # RSA public key
-    if tags == [0x30, 3]:
-        own = _children(b, kids[0][1], kids[0][2])
-        return bool(own) and own[0][0] == 6  # SubjectPublicKeyInfo
-    return False
+    # SEC1 EC private key
+    return tags[0] == 2 and tags[1] == 4 and kids[1][2] - kids[1][1] in (20, 24, 28, 32, 48, 66)
 
 
 def is_ssh_key(b: bytes) -> bool:
-    """OpenSSH private key file, or a public key blob: fields with four-byte lengths that fill it."""
-    if b.startswith(b"openssh-key-v1\0"):
-        at, end = 15, len(b)
-        for _ in range(3):
-            if at + 4 > end:
-                return False
-            at += 4 + int.from_bytes(b[at : at + 4], "big")
-        return at + 4 <= end
-    at, fields = 0, []
-    while at + 4 <= len(b):
-        n = int.from_bytes(b[at : at + 4], "big")
-        if at + 4 + n > len(b):
-            return False
-        fields.append(b[at + 4 : at + 4 + n])
-        at += 4 + n
-    return at == len(b) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
+    """OpenSSH private key file: fields with four-byte lengths, as many as its headers state, within b."""
+    n = _stated(b) if b.startswith(b"openssh-key-v1\0") else None
+    return n is not None and n <= len(b)
 
 
 def _b64(b: bytes) -> bytes | None:
@@ -138,14 +123,6 @@ def _stated(b: bytes) -> int | None:
     return None
 
 
-def _field_ends(b: bytes) -> set[int]:
-    """Where the fields with four-byte lengths at the start of b end."""
-    out, at = set(), 0
-    while at + 4 <= len(b) and (at := at + 4 + int.from_bytes(b[at : at + 4], "big")) <= len(b):
-        out.add(at)
-    return out
-
-
 def _keys(run: bytes) -> list[tuple[int, int, str]]:
     """Keys in a base64 run without armour marks: they start with a line and end with one, as far as their headers say."""
     lines = [m.span() for m in re.finditer(rb"[A-Za-z0-9+/_-]+", run)]
@@ -161,15 +138,10 @@ def _keys(run: bytes) -> list[tuple[int, int, str]]:
             last, kind = _line_end(upto, k, n), "der_key"
             if last is not None and not ((b := _b64(flat[upto[k] : upto[last + 1]])) and is_der_key(b)):
                 last = None
-        elif e - s >= LEAST_RUN and run[s : s + 4] in (b"AAAA", b"b3Bl"):
+        elif e - s >= LEAST_RUN and run[s : s + 4] == b"b3Bl":
             b, kind = _b64(flat[upto[k] :]), "ssh_key"
-            if b and b.startswith(b"openssh-key-v1\0"):
+            if b and is_ssh_key(b):
                 last = _line_end(upto, k, _stated(b))
-                if last is None and is_ssh_key(b):
-                    last = len(lines) - 1
-            elif b:
-                ends = _field_ends(b)
-                last = next((j for j in range(len(lines) - 1, k - 1, -1) if int(upto[j + 1] - upto[k]) * 6 // 8 in ends and is_ssh_key(_b64(flat[upto[k] : upto[j + 1]]) or b"")), None)
         if last is None:
             k += 1
             continue
@@ -208,7 +180,8 @@ def find(text: bytes) -> list[tuple[int, int, str]]:
     if b"x" * 24 in text.translate(_HEXMAP):
         out += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if b"x" * LEAST_RUN in text.translate(_ALNUM):
-        for m in BASE64.finditer(text):
+        # escaped line ends as such, in the same places
+        for m in BASE64.finditer(text.replace(b"\\r\\n", b"  \r\n").replace(b"\\n", b"\r\n")):
             # armour marks consist of letters of the run
             at = m.start()
             for piece in m[0].split(b"-----"):

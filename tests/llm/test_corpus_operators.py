@@ -208,7 +208,7 @@ def test_secrets(spark):
     texts = [f"é key {key} end", f"x {public}", f"jwt {token} {fake}", "Q" * 400, 'PassWord: "abc123" secret:token:abcdef paſſword=abcdef', "AKIA" + "A" * 16 + " AKIAB " + "0123456789abcdef" * 2, None, ""]
     got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     show = {i: [(s["kind"], texts[i][s["start"] : s["end"]]) for s in v] for i, v in got.items()}
-    assert show[0] == [("der_key", key)] and show[1] == [("ssh_key", public)] and show[2] == [("signed_token", token)] and show[3] == []
+    assert show[0] == [("der_key", key)] and show[1] == [] and show[2] == [("signed_token", token)] and show[3] == []
     assert show[4] == [("assign", 'PassWord: "abc123')]
     assert show[5] == [("access", "AKIA" + "A" * 16), ("hex", "0123456789abcdef" * 2)] and show[6] == show[7] == []
     d = {r.doc_id: r for r in secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
@@ -217,23 +217,53 @@ def test_secrets(spark):
     assert masked[0].text == "é key [secret] end" and masked[6].text is None
 
 
-def test_secrets_wrapped_keys():
+def wrap(t, end="\n"):
+    return end.join(t[k : k + 64] for k in range(0, len(t), 64))
+
+
+def private_keys(extra):
+    num = lambda k: der(2, b"\x01" * k)
+    yield der(0x30, num(1) + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, b"k" * (34 + extra)))
+    yield der(0x30, num(1) + b"".join(num(64 + (extra if k == 7 else 0)) for k in range(8)))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n    "])
+@pytest.mark.parametrize("extra", range(3))  # with and without padding
+def test_secrets_wrapped_keys(extra, end):
+    for raw in private_keys(extra):
+        key = wrap(base64.b64encode(raw).decode(), end)
+        for before, after in ((f"-----BEGIN PRIVATE KEY-----{end}", f"{end}-----END PRIVATE KEY-----{end}"), ('"key": "', f'{end}word and more"'), ("-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"), ("Q" * 64 + end, end + key), (key + f"{end}-----END-----{end}", "")):
+            text = before + key + after
+            found = [text[s:e] for s, e, kind in secrets.find(text.encode()) if kind == "der_key"]
+            assert found == [key] * text.count(key), (before[:20], after[:20])
+    ssh = lambda b: len(b).to_bytes(4, "big") + b
+    key = wrap(base64.b64encode(b"openssh-key-v1\0" + ssh(b"none") + ssh(b"none") + ssh(b"") + (1).to_bytes(4, "big") + ssh(b"p" * 51) + ssh(b"s" * (135 + extra))).decode().rstrip("="), end)
+    for after in (f"{end}words follow", f"{end}-----END OPENSSH PRIVATE KEY-----"):
+        assert [(key + after)[s:e] for s, e, kind in secrets.find((key + after).encode()) if kind == "ssh_key"] == [key]
+
+
+def test_secrets_leaves_public_keys():
     num = lambda k: der(2, b"\x01" * k)
-    wrap = lambda t: "\n".join(t[k : k + 64] for k in range(0, len(t), 64))
-    for extra in range(6):  # with and without padding
-        for body in (num(1) + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, b"k" * (34 + extra)), num(1) + b"".join(num(64 + (extra if k == 7 else 0)) for k in range(8))):
-            raw = der(0x30, body)
-            key = wrap(base64.b64encode(raw).decode())
-            for before, after in (("-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----\n"), ("", "\nword and more"), ("-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"), ("Q" * 64 + "\n", "\n" + key), (key + "\n-----END-----\n", "")):
-                text = before + key + after
-                found = [text[s:e] for s, e, kind in secrets.find(text.encode()) if kind == "der_key"]
-                assert found == [key] * text.count(key), (extra, before[:20], after[:20])
     ssh = lambda b: len(b).to_bytes(4, "big") + b
-    public = base64.b64encode(ssh(b"ssh-ed25519") + ssh(b"k" * 32)).decode().rstrip("=")
-    private = wrap(base64.b64encode(b"openssh-key-v1\0" + ssh(b"none") + ssh(b"none") + ssh(b"") + (1).to_bytes(4, "big") + ssh(b"p" * 51) + ssh(b"s" * 137)).decode().rstrip("="))
-    for key in (public, private):
-        for after in ("\nwords follow", "\n-----END OPENSSH PRIVATE KEY-----"):
-            assert [(key + after)[s:e] for s, e, kind in secrets.find((key + after).encode()) if kind == "ssh_key"] == [key]
+    for raw in (der(0x30, num(128) + num(3)), der(0x30, der(0x30, der(6, b"\x2b\x65\x70")) + der(3, b"\0" + b"p" * 32)), ssh(b"ssh-ed25519") + ssh(b"k" * 32), b"\x30\x82\x01\x00" + b"q" * 256):
+        assert secrets.find(b"x " + base64.b64encode(raw) + b" y") == []
+        assert [k for _, _, k in secrets.find(raw.hex().encode())] == ["hex"]
+
+
+def test_secrets_base_spans_and_long_texts(spark):
+    r = random.Random(12)
+    parts = ["password", "PASSWD", "Secret", "token", "api_key", "apikey", "=", ":", " ", '"', "'", "  ", "abc123", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "\n", "=.-/+", "deadbeef" * 3, "\u017f", "\u212a"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["é " * 300_000 + "token=abcdefgh", "", None]
+    patterns = (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 0, 20), ("hex", r"[0-9a-f]+", 0, 0, 24))
+    got = {x.doc_id: x for x in secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, t in enumerate(texts):
+        # re.A does not keep the long s and the Kelvin sign from folding to s and k
+        t = (t or "").replace("\u017f", "é").replace("\u212a", "é")
+        spans = [(m.start(), j, f"{kind}:{m.start()}:{m.end()}") for j, (kind, p, flags, g, least) in enumerate(patterns) for m in re.finditer(p, t, flags) if len(m[g]) >= least]
+        counts = [sum(x[1] == j for x in spans) for j in range(3)]
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == counts, t
+        assert got[i].base_sha256 == hashlib.sha256(",".join(x[2] for x in sorted(spans)).encode()).hexdigest()
+    assert secrets.scan(spark.createDataFrame([], DOC)).count() == 0
 
 
 def test_html():
