@@ -43,9 +43,11 @@ HOT_ROUNDS = 1
 #: Groups of at most this many rows are expanded into pairs.
 SMALL = 24
 #: Rounds in which rows meet one row of their group, and in which each row sends on one partner.
-STARS, BEST = 2, 6
+STARS, BEST = 2, 3
 #: Rows of one column in a block.
 BLOCK_ROWS = 512
+#: Bytes of sketches that are compared at once, and pairs whose rows are multiplied at once.
+PAIR_BYTES, PAIRS = 1 << 21, 64
 #: Column blocks of the exact product.
 BLOCKS = 8
 #: Classes that a task remembers to have sent already.
@@ -176,6 +178,7 @@ def _pruned(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame
                 m = min(len(x), len(y))
                 differ[i] = int(np.bitwise_count(_fold(x, m) ^ _fold(y, m)).sum())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(differ / (na + nb))], names=["a", "b", "far"]).filter(pa.array(differ <= most))
+        tc.release()
 
     allowed = (den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
     # the hint-free join keys are unique on the table's side, so a hot row is only replicated as often as it has pairs
@@ -229,8 +232,9 @@ def _blocks(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
             place[use] = np.arange(len(use))
             folded = np.stack([_fold(sketch[k], m) for k in use]).view(np.uint64)
             at = np.flatnonzero(least == m)
-            for c in range(0, len(at), 1 << 14):
-                k = at[c : c + (1 << 14)]
+            step = max(1, PAIR_BYTES // m)
+            for c in range(0, len(at), step):
+                k = at[c : c + step]
                 differ[k] = np.bitwise_count(folded[place[x[k]]] ^ folded[place[y[k]]]).sum(axis=1)
         good = np.flatnonzero(differ <= most)
         x, y, far = x[good], y[good], differ[good] / (n[x[good]] + n[y[good]])
@@ -263,6 +267,8 @@ def _blocks(rows: DataFrame, num: int, den: int, best: bool) -> DataFrame:
             yield batch(pairs)
         if held is not None and held.num_rows:
             yield batch(groups(held, True)[0])
+        held = None
+        tc.release()
 
     return dealt.mapInArrow(run, "a long, b long, far double")
 
@@ -286,8 +292,8 @@ def _product(both: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for s in range(0, big.num_rows, 256):
-                b = big.slice(s, 256)
+            for s in range(0, big.num_rows, PAIRS):
+                b = big.slice(s, PAIRS)
                 n = b.num_rows
                 rows = [[np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3)]
                 na, nb = (np.array([len(x) for x in r]) for r in rows)
@@ -314,6 +320,7 @@ def _product(both: DataFrame, num: int, den: int) -> DataFrame:
                     live &= total + np.minimum(left[0], left[1]) >= need
                 ok = live & (den * total >= num * (na + nb - total))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+        tc.release()
 
     return both.mapInArrow(run, "a long, b long")
 

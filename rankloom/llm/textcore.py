@@ -84,10 +84,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             to = min(max(to, at + 1), at + SLICE_ROWS, b.num_rows)
             yield b.slice(at, to - at)
             at = to
-    _release()
+    release()
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back: a Python worker outlives its task, and on an executor several wait for the next stage."""
     pa.default_memory_pool().release_unused()
     try:
