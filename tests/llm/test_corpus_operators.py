@@ -495,6 +495,49 @@ def test_cotraining(spark):
     assert cotrain.accepted(df, spark.createDataFrame(labels, "doc_id long, good int")).columns == df.columns
 
 
+def test_cotraining_edges(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 0), (3, None)], "doc_id long, good int")
+    assert cotrain.classify(spark.createDataFrame([], DOC), labels).count() == 0
+    rows = [(1, "good " * 30_000, "en", "s", 1, "x"), (2, "bad", None, None, None, "y"), (2, "bad too", "en", "s", 3, None), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOC + ", probability string")
+    got = cotrain.classify(df, labels).collect()
+    assert len(got) == 4 and cotrain.accepted(df, labels).columns == df.columns
+    assert cotrain.classify(df, labels, fit_rows=1).count() == 4
+
+
+def test_cotraining_counts_and_scores(spark):
+    # tables against plain counts; views share no column; weights of near copies add up to one document
+    r = random.Random(11)
+    rows = [(k, " ".join(r.choice("abcdefgh") * 3 for _ in range(r.randint(1, 12))), r.choice(["en", "de", None]), f"s{k % 3}", r.choice([None, 5, 80])) for k in range(60)]
+    rows += [(100 + k, "one text that is here five times or so", "en", "s1", 40) for k in range(5)]
+    df = spark.createDataFrame(rows, DOC)
+    columns = {"id": "doc_id", "text": "text", "lang": "lang", "source": "source", "length": "n_chars"}
+    b = cotrain._source(df, columns).toArrow().combine_chunks().to_batches()[0]
+    pairs, words, _ = cotrain._features(b)
+    other = cotrain._features(b.set_column(1, "text", pa.array(["x"] * b.num_rows)))[0]
+    assert np.array_equal(pairs[1][1], other[1][1]) and not np.array_equal(pairs[0][1], other[0][1])
+    keys = [np.unique(k) for _, k in pairs]
+    facts = cotrain._facts(cotrain._source(df, columns), keys)
+    weights = {x.sign: x.weight for x in cotrain.near_copies(facts).collect()}
+    assert 200 in weights.values()
+    marked = facts.selectExpr("id", "sign", "words", "content", "metadata", "cast(id % 2 as int) as label", "1000 as weight", "false as apart")
+    for k, t in enumerate(cotrain._count(marked, None, keys)):
+        ids = b.column(0).to_numpy()[pairs[k][0]]
+        for c in (0, 1):
+            want = [int((ids[pairs[k][1] == key] % 2 == c).sum()) * 1000 for key in keys[k]]
+            assert t[0, c, :-2].tolist() == t[1, c, :-2].tolist() == want
+            assert t[0, c, -2] == 1000 * int((b.column(0).to_numpy() % 2 == c).sum())
+    held, n = np.array([[4.0, 0.0], [0.0, 9.0]]), np.array([10.0, 90.0])
+    odds, gain = cotrain._gain(held, n)
+    assert np.allclose(gain, [-4 * math.log(4 / 0.4), 9 * math.log(9 / 8.1)]) and np.isclose(odds[0], math.log((0.5 / 91) / (4.5 / 11)))
+
+
+def test_cotraining_ties_are_accepted_and_length_is_no_evidence(spark):
+    view = cotrain.View(np.array([1, 2], np.uint64), np.array([-5.0, 0.5]), chance=0.001)
+    row, at = np.array([0, 0, 1, 2]), np.array([0, 1, 0, 1])
+    assert np.allclose(view.score(row, at, np.array([10, 5000, 10])), [-4.49, 0.0, 0.5])
+
+
 def test_mixing_matches_sql(spark, docs):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
