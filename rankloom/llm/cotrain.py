@@ -24,7 +24,6 @@ share its label. A probability of one half is accepted. An empty table gives no
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,7 +108,7 @@ def _features(b: pa.RecordBatch) -> tuple[list[tuple[np.ndarray, np.ndarray]], n
         _bin(np.sqrt(share(newline)), 20), _bin(distinct / n, 10), _bin(np.minimum(size / n, 40), 0.5), _bin(np.log2(n), 1),
     ]
     row, key = _with(row, key, [tc.mix(tc.mix(f.astype(np.uint64) + U(1)) + U(k)) for k, f in enumerate(figures)], rows)
-    lang, source = (pa_hash(b.column(k)) for k in (2, 3))
+    lang, source = (tc.string_hash(b.column(k)) for k in (2, 3))
     length = _bin(np.log2(np.maximum(b.column(4).fill_null(-1).to_numpy(zero_copy_only=False).astype(float) + 2, 0.5)), 2).astype(np.uint64)
     cols = [tc.mix(tc.mix(x + U(0x51)) + U(k)) for k, x in enumerate((lang, source, length, lang * U(31) + source, lang * U(31) + length))]
     meta = _with(np.zeros(0, np.int64), np.zeros(0, np.uint64), cols, rows)
@@ -131,18 +130,6 @@ def _with(row: np.ndarray, key: np.ndarray, cols: list[np.ndarray], rows: int) -
     return row[order], key[order]
 
 
-def pa_hash(a: pa.Array) -> np.ndarray:
-    """A stable number for each string; null is one of its own."""
-    d = a.dictionary_encode()
-    x = d.dictionary.to_pylist()
-    table = np.array([int.from_bytes(hash_bytes(s.encode()), "little") for s in x] + [0], np.uint64)
-    return table[d.indices.fill_null(len(x)).to_numpy(zero_copy_only=False)]
-
-
-def hash_bytes(b: bytes) -> bytes:
-    return hashlib.blake2b(b, digest_size=7).digest()
-
-
 def _found(keys: np.ndarray, row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, place among the sorted keys) of the pairs whose feature is one of them."""
     if not len(keys):

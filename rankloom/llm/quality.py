@@ -1,13 +1,13 @@
 """Quality rules and cross-document line frequency.
 
 Per text: word, symbol, repeated-line and repeated-word counts. Across texts: every line is normalised (ASCII lower
-case, digits as 0, white space as one blank) and hashed; the distinct documents of a host that hold it are counted, with
+case, digits as 0, white space as one blank) and hashed with its host; the distinct documents of the host that hold it are counted, with
 one row per line and batch before the shuffle, so a line that a third of all rows share costs a row per batch. A line
-in LINE_DOCS of them is boilerplate, however large the host; a document is rejected if too little is left without such lines. The
-lines are broadcast while they fit, and otherwise joined to the lines of the documents by a shuffle.
+in LINE_DOCS of them is boilerplate, however large the host, and is removed from the text; a document is rejected if too little is
+left. The boilerplate lines are broadcast while they fit (8 bytes each), and otherwise joined to the lines of the documents by a shuffle.
 
 A null text is empty and fails the base rules. A null host is a host of its own. Rows that share an id count as documents
-of their own. Texts are read whole.
+of their own. Texts are read whole. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,14 +71,16 @@ def _again(own: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _line_table(b: pa.RecordBatch):
+    """Bytes and offsets, folded words, and for lines with a word: text, number of words, hash with the host."""
     data, off = tc.raw(tc.text_column(b, "text"))
     w = tc.words(data, off, tc.LOWER_DIGITS)
     own, first, size = _lines(data, off, w)
-    return data, off, w, own, size, _sequence(w.hash, first, size)
+    host = tc.mix(tc.string_hash(b.column(0)) + U(1))
+    return data, off, w, own, size, tc.mix(_sequence(w.hash, first, size) ^ host[own])
 
 
 def line_documents(src: DataFrame) -> DataFrame:
-    """(host, line, docs): distinct documents of each host that hold the line."""
+    """(line, docs): distinct documents of a host that hold the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tc.slices(batches, "text", 8 << 20):
@@ -87,53 +89,41 @@ def line_documents(src: DataFrame) -> DataFrame:
             own, key = own[order], key[order]
             one = np.ones(len(key), bool)
             one[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
-            hosts = b.column(0).dictionary_encode()
-            host = hosts.indices.fill_null(len(hosts.dictionary)).to_numpy(zero_copy_only=False)[own[one]].astype(np.int64)
-            names = [*hosts.dictionary.to_pylist(), None]
-            order = np.lexsort((key[one], host))
-            k, h = key[one][order], host[order]
-            at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])) if len(k) else np.zeros(0, int)
-            n = np.diff(np.concatenate([at, [len(k)]]))
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in h[at]], pa.string()), pa.array(k[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["host", "line", "n"])
+            line, n = np.unique(key[one], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(line.view(np.int64)), pa.array(n.astype(np.int64))], names=["line", "n"])
 
-    part = src.select("host", "text").mapInArrow(run, "host string, line long, n long")
-    return part.groupBy("host", "line").agg(F.sum("n").alias("docs"))
+    part = src.select("host", "text").mapInArrow(run, "line long, n long")
+    return part.groupBy("line").agg(F.sum("n").alias("docs"))
 
 
-def _words_lost(src: DataFrame, limits: DataFrame) -> DataFrame:
-    """(row, lost): words in boilerplate lines of each row that has some."""
+def _common_of(src: DataFrame, limits: DataFrame) -> DataFrame:
+    """(row, common): the boilerplate lines of each row that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tc.slices(batches, "text"):
-            _, _, _, own, size, key = _line_table(b)
+            _, _, _, own, _, key = _line_table(b)
             order = np.lexsort((key, own))
-            own, size, key = own[order], size[order], key[order]
+            own, key = own[order], key[order]
             at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])) if len(key) else np.zeros(0, int)
-            words = np.add.reduceat(size, at) if len(at) else at
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(own[at])) for k in (3, 0)), pa.array(key[at].view(np.int64)), pa.array(words)], names=["row", "host", "line", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(own[at])), pa.array(key[at].view(np.int64))], names=["row", "line"])
+
+    lines = src.mapInArrow(run, "row long, line long")
+    # rows that agree in all columns have one number, and a text has no more lines here than it holds
+    return lines.join(limits, "line").groupBy("row").agg(F.collect_set("line").alias("common"))
 
-    lines = src.mapInArrow(run, "row long, host string, line long, words long")
-    found = lines.join(limits, lines["host"].eqNullSafe(limits["host"]) & (lines["line"] == limits["line"])).select("row", lines["line"], "words")
-    # rows that agree in all columns have one number
-    return found.groupBy("row", "line").agg(F.max("words").alias("words")).groupBy("row").agg(F.sum("words").alias("lost"))
+
+def _without(text: bytes, gone: set[int]) -> str:
+    return b"\n".join(x for k, x in enumerate(text.split(b"\n")) if k not in gone).decode()
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
-    """Counts and verdicts per row: base_failed by the row alone, kept also by the lines it shares with others."""
+    """Counts and verdicts per row: base_failed by the row alone, kept also by the lines it shares with others.
+
+    clean_text is the text without boilerplate lines (rows that fail the base rules, null texts too, are left as they are)."""
     src = docs.select(F.col(host_col).cast("string").alias("host"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    limits = keep(line_documents(src).where(F.col("docs") >= line_docs).select("host", "line"), "common-lines")
-    width = limits.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + 24), F.lit(0))).first()[0]
-    few = width <= BROADCAST_BYTES
-    tables: dict[str | None, np.ndarray] = {}
-    if few:
-        got = limits.toArrow()
-        names, line = np.array(got.column(0).to_pylist(), object), got.column(1).to_numpy()
-        codes = got.column(0).combine_chunks().dictionary_encode()
-        code = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
-        order = np.lexsort((line, code))
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0])) if len(order) else order
-        tables = {names[x[0]]: line[x] for x in np.split(order, cut[1:])} if len(order) else {}
-    shipped = docs.sparkSession.sparkContext.broadcast(tables)
+    limits = keep(line_documents(src).where(F.col("docs") >= line_docs).select("line"), "common-lines")
+    few = limits.count() * 8 <= BROADCAST_BYTES
+    shipped = docs.sparkSession.sparkContext.broadcast(np.sort(limits.toArrow().column(0).to_numpy()) if few else np.zeros(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tc.slices(batches, "text"):
@@ -143,7 +133,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
             heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             chars = np.bincount(exact.doc, heads[exact.end] - heads[exact.start], b.num_rows).astype(np.int64)
-            _, dup = _again(own, _raw_lines(data, off, own, w, size))
+            begin, end, raw = _raw_lines(data, off, own, w, size)
+            _, dup = _again(own, raw)
             ok = np.flatnonzero(tc.inside(exact, REPEAT_WIDTH))
             twice, _ = _again(exact.doc[ok], tc.rolling(exact.hash, REPEAT_WIDTH)[ok])
             cover = np.zeros(len(exact.hash) + 1, np.int64)
@@ -151,33 +142,44 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             np.add.at(cover, ok[twice] + REPEAT_WIDTH, -1)
             repeat = np.bincount(exact.doc, np.cumsum(cover)[:-1] > 0, b.num_rows).astype(np.int64)
             failed = (n < LEAST_WORDS) | (100 * repeat > MOST_REPEATED * n)
-            lost = np.zeros(b.num_rows, np.int64)
+            line = key.view(np.int64)
             if few:
-                hosts = np.array(b.column(0).to_pylist(), object)
-                for host in set(hosts) & set(shipped.value):
-                    table = shipped.value[host]
-                    at = np.flatnonzero((np.equal(hosts, host) & ~failed)[own])
-                    line = key[at].view(np.int64)
-                    hit = at[table[np.minimum(np.searchsorted(table, line), len(table) - 1)] == line]
-                    lost += np.bincount(own[hit], size[hit], b.num_rows).astype(np.int64)
+                table = shipped.value
+                common = table[np.minimum(np.searchsorted(table, line), len(table) - 1)] == line if len(table) else np.zeros(len(line), bool)
             else:
-                lost = np.where(failed, 0, b.column(3).to_numpy(zero_copy_only=False))
+                sets, lo = b.column(3), np.searchsorted(own, np.arange(b.num_rows + 1))
+                common = np.zeros(len(line), bool)
+                for i in np.flatnonzero(sets.is_valid().to_numpy(zero_copy_only=False)):
+                    common[lo[i] : lo[i + 1]] = np.isin(line[lo[i] : lo[i + 1]], sets[i].values.to_numpy())
+            hit = np.flatnonzero(common & ~failed[own])
+            lost = np.bincount(own[hit], size[hit], b.num_rows).astype(np.int64)
             left = n - lost
             kept = ~failed & (left >= LEAST_WORDS) & (left >= least_left * n)
+            text = b.column(2)
+            if len(hit):
+                feeds = np.concatenate([[0], np.cumsum(data == 10)])
+                number = feeds[begin[hit]] - feeds[off[own[hit]]]
+                gone: dict[int, set[int]] = {}
+                for i, k in zip(own[hit].tolist(), number.tolist()):
+                    gone.setdefault(i, set()).add(k)
+                text = text.to_pylist()
+                for i, which in gone.items():
+                    text[i] = _without(data[off[i] : off[i + 1]].tobytes(), which)
+                text = pa.array(text, pa.string())
             cols = [n, chars, symbols[off[1:]] - symbols[off[:-1]], np.bincount(own, dup, b.num_rows).astype(np.int64), repeat, failed, kept, lost]
-            yield pa.RecordBatch.from_arrays([b.column(1), *map(pa.array, cols)], names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words"])
+            yield pa.RecordBatch.from_arrays([b.column(1), *map(pa.array, cols), text.cast(pa.string())], names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words", "clean_text"])
 
     if not few:
         src = src.withColumn("row", F.xxhash64("id", "host", "text"))
-        src = src.join(_words_lost(src, limits), "row", "left").select("host", "id", "text", F.coalesce("lost", F.lit(0)).cast("long").alias("lost"))
-    out = src.mapInArrow(run, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_common_words long")
+        src = src.join(_common_of(src, limits), "row", "left").select("host", "id", "text", "common")
+    out = src.mapInArrow(run, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_common_words long, clean_text string")
     return out.withColumnRenamed("id", id_col)
 
 
-def _raw_lines(data: np.ndarray, off: np.ndarray, own: np.ndarray, w: tc.Words, size: np.ndarray) -> np.ndarray:
-    """Hash of the exact bytes of each line with a word."""
+def _raw_lines(data: np.ndarray, off: np.ndarray, own: np.ndarray, w: tc.Words, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and hash of the exact bytes of each line with a word."""
     if not len(own):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.concatenate([[0], np.cumsum(size)])[:-1]
     nl = np.flatnonzero(data == 10)
     start = w.start[at]
@@ -188,4 +190,4 @@ def _raw_lines(data: np.ndarray, off: np.ndarray, own: np.ndarray, w: tc.Words,
     lead = np.concatenate([[0], np.cumsum(n)])[:-1]
     place = np.arange(int(n.sum())) - np.repeat(lead, n)
     chars = data[place + np.repeat(begin, n)].astype(np.uint64)
-    return tc.mix(np.add.reduceat(tc.mix(chars + place.astype(np.uint64) * U(0x9E3779B97F4A7C15)), lead) + n.astype(np.uint64))
+    return begin, end, tc.mix(np.add.reduceat(tc.mix(chars + place.astype(np.uint64) * U(0x9E3779B97F4A7C15)), lead) + n.astype(np.uint64))

@@ -32,7 +32,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and verdicts of every document; the host is its source."""
-    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+    return quality.quality_rules(_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ they can be found in UTF-8 without decoding. All hashes are 64 bits wide.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -199,6 +200,14 @@ def shingles(w: Words, n: int) -> np.ndarray:
     return keys
 
 
+def string_hash(a: pa.Array) -> np.ndarray:
+    """A stable number for each string; null is one of its own."""
+    d = a.dictionary_encode()
+    x = d.dictionary.to_pylist()
+    table = np.array([int.from_bytes(hashlib.blake2b(s.encode(), digest_size=7).digest(), "little") for s in x] + [0], np.uint64)
+    return table[d.indices.fill_null(len(x)).to_numpy(zero_copy_only=False)]
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     """How many code points start before each byte; one more entry than bytes."""
     return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

@@ -186,12 +186,42 @@ def test_quality_lines_of_a_large_host(spark, monkeypatch):
     df = spark.createDataFrame(rows, DOC).repartition(3)
     show = lambda: sorted((tuple(r) for r in quality.quality_rules(df).collect()), key=str)
     got = show()
-    assert {r[0]: r[-1] for r in got if r[-1]} == {i: 30 for i in [*range(0, 3000, 60), 5100]}
-    assert not any(r[-2] for r in got if r[-1]) and all(r[-2] for r in got if r[0] < 3000 and r[0] % 60)
+    assert {r[0]: r[-2] for r in got if r[-2]} == {i: 30 for i in [*range(0, 3000, 60), 5100]}
+    assert not any(r[-3] for r in got if r[-2]) and all(r[-3] for r in got if r[0] < 3000 and r[0] % 60)
     monkeypatch.setattr(quality, "BROADCAST_BYTES", 0)
     assert show() == got
 
 
+def test_quality_verdicts_by_brute_force(spark, monkeypatch):
+    r = random.Random(7)
+    lines = [" ".join(r.choice("abcdefghij") * r.randint(1, 9) for _ in range(r.randint(4, 14))) for _ in range(7)]
+    rows = []
+    for k in range(300):
+        own = [" ".join(f"{r.choice('xyzuvw')}{r.choice('klmn')}{chr(97 + k % 26)}{chr(97 + j)}" for j in range(r.randint(1, 20))) for _ in range(r.randint(0, 4))]
+        part = own + [r.choice(lines).upper() if r.random() < 0.3 else r.choice(lines) for _ in range(r.randint(0, 5))]
+        r.shuffle(part)
+        rows.append((k, r.choice(["", "\n", " "]) + r.choice(["\n", "\n\n", " \r\n"]).join(part), "en", r.choice(["a", "b", None]), 0))
+    rows += [(400, None, None, None, None), (401, "", "en", "a", 0), (402, "é " * 50_000, "en", "a", 0), (403, lines[0], "en", "a", 0), (403, lines[0], "en", "a", 0)]
+    norm = lambda x: " ".join(re.findall(WORD, re.sub("[0-9]", "0", "".join(c.lower() if "A" <= c <= "Z" else c for c in x))))
+    count = collections.Counter((h, x) for _, t, _, h, _ in rows for x in {norm(x) for x in (t or "").split("\n")} if x)
+    want = []
+    for i, t, _, h, _ in rows:
+        w = re.findall(WORD, t or "")
+        five = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        rep = {p for k in range(len(w) - 4) if five[tuple(w[k : k + 5])] > 1 for p in range(k, k + 5)}
+        failed = len(w) < 10 or 100 * len(rep) > 20 * len(w)
+        left = t if failed else "\n".join(x for x in t.split("\n") if count[h, norm(x)] < 20)
+        n = len(re.findall(WORD, left or ""))
+        want.append((i, failed, not failed and n >= 10 and n >= 0.3 * len(w), len(w) - n, left))
+    df = spark.createDataFrame(rows, DOC + "").withColumnRenamed("n_chars", "kept").repartition(3)
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(quality, "BROADCAST_BYTES", limit)
+        got = [(x.doc_id, x.base_failed, x.kept, x.n_common_words, x.clean_text) for x in quality.quality_rules(df).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(x[2] for x in want) > 50 and sum(not x[1] and not x[2] for x in want) > 10
+    assert quality.quality_rules(df.limit(0)).count() == 0
+
+
 def der(tag, body):
     n = len(body)
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
