@@ -41,9 +41,9 @@ HOT = 16
 HOT_COLUMNS = 2_000_000
 HOT_ROUNDS = 1
 #: Groups of at most this many rows are expanded into pairs.
-SMALL = 24
+SMALL = 16
 #: Rounds in which rows meet one row of their group, and in which each row sends on one partner.
-STARS, BEST = 2, 3
+STARS, BEST = 1, 2
 #: Rows of one column in a block.
 BLOCK_ROWS = 512
 #: Bytes of sketches that are compared at once, and pairs whose rows are multiplied at once.
@@ -53,6 +53,7 @@ BLOCKS = 8
 #: Classes that a task remembers to have sent already.
 SEEN = 100_000
 _BITMAP = 22
+NO_ID = -(2**63)
 
 
 def _sets(batch: pa.RecordBatch, text: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -331,9 +332,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id is the least id that links reach; n_copies counts the rows with the same set.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     table = keep(sets_table(docs, id_col, text_col, width), "sets")
-    reps = keep(table.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    key = F.coalesce("id", F.lit(NO_ID))
+    reps = keep(table.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     wide = reps.select("cls", "n", "sketch")
 
     hot = None
@@ -347,7 +349,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a little more than den / num, so that rounding keeps neighbours in size together
     place = F.floor(F.log("n") / F.lit(math.log(max(den / num, 1.0001) * (1 + 1e-6)))).cast("int")
     slots = posts.select("gram", "cls", "n", "pos", F.explode(F.array(F.struct(place.alias("slot"), F.lit(True).alias("top")), F.struct((place + 1).alias("slot"), F.lit(False).alias("top")))).alias("s")).select("gram", "s.slot", "s.top", "cls", "n", "pos")
-    useful = slots.groupBy("gram", "slot").agg(F.count("*").alias("rows"), F.max("top").alias("any")).where("rows > 1 and any").select("gram", "slot", "rows")
+    useful = keep(slots.groupBy("gram", "slot").agg(F.count("*").alias("rows"), F.max("top").alias("any")).where("rows > 1 and any").select("gram", "slot", "rows"), "useful")
     groups = keep(slots.join(useful, ["gram", "slot"]), "groups")
     # the rows whose places allow a link if this is the first column that both hold; another first column is met on its own
     enough = f"{den} * least(na, nb) >= {num} * greatest(na, nb) and (ta or tb)"
@@ -373,35 +375,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = keep(_product(both.select("a", "b", "ga", "gb"), num, den), "linked")
         return merge(labels, links), not links.isEmpty()
 
-    def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """The pairs of different components."""
-        if labels is None:
-            return pairs
-        a, b = labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select(pairs.columns)
-
-    labels = None
-    first = keep(_nearest(pairs), "nearest")
-    labels, _ = verified(labels, first)
-    labels, _ = verified(labels, keep(apart(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), labels), "apart"))
+    labels, _ = verified(None, pairs)
 
     big = groups.where(F.col("rows") > SMALL)
     big = None if big.isEmpty() else big
 
     def open_groups(labels: DataFrame | None) -> DataFrame:
         """Rows of the large groups that hold different components, with their components."""
-        named = big if labels is None else big.join(labels, big["cls"] == labels["node"], "left")
+        named = big if labels is None else big.join(maybe_broadcast(labels, 16), big["cls"] == labels["node"], "left")
         named = named.select("gram", "slot", "top", "cls", "n", "pos", (F.col("cls") if labels is None else F.coalesce("root", "cls")).alias("root"))
-        mixed = named.groupBy("gram", "slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("gram", "slot", "rows")
-        return keep(named.join(mixed, ["gram", "slot"]), "open")
+        mixed = keep(named.groupBy("gram", "slot").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("gram", "slot", "rows"), "mixed")
+        return keep(named.join(maybe_broadcast(mixed, 20), ["gram", "slot"]), "open")
 
     for k in range(STARS if big is not None else 0):
         rows = open_groups(labels)
         if rows.isEmpty():
             break
         order = F.struct(F.col("pos") if k == 0 else F.xxhash64("cls"), "cls", "n", "top", "root")
-        heads = rows.groupBy("gram", "slot").agg(F.min(order).alias("h")).selectExpr("gram", "slot", "h.cls as a", "h.n as na", "h.top as ta", "h.root as ra")
-        met = rows.selectExpr("gram", "slot", "cls as b", "n as nb", "top as tb", "root as rb").join(heads, ["gram", "slot"]).where(f"ra <> rb and {enough}")
+        heads = keep(rows.groupBy("gram", "slot").agg(F.min(order).alias("h")).selectExpr("gram", "slot", "h.cls as a", "h.n as na", "h.top as ta", "h.root as ra"), "heads")
+        met = rows.selectExpr("gram", "slot", "cls as b", "n as nb", "top as tb", "root as rb").join(maybe_broadcast(heads, 40), ["gram", "slot"]).where(f"ra <> rb and {enough}")
         labels, _ = verified(labels, keep(_nearest(_pruned(met.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct(), wide, num, den)), "nearest"))
     some = True
     for k in range(BEST + 1 if big is not None else 0):
@@ -414,14 +406,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if last:
             break
 
-    base = table.select("id", "n", "cls")
+    # one row for each class, then for each row its class
+    named = reps.select("cls", "copies", "least", F.col("cls").alias("grp"))
     if labels is not None:
-        base = base.join(labels, base["cls"] == labels["node"], "left").select("id", "n", "cls", F.coalesce("root", "cls").alias("grp"))
-    else:
-        base = base.withColumn("grp", F.col("cls"))
-    least = reps if labels is None else reps.join(labels, reps["cls"] == labels["node"], "left").withColumn("cls", F.coalesce("root", "cls"))
-    least = least.groupBy(F.col("cls").alias("grp")).agg(F.min("rep").alias("component_id"))
-    copies = reps.select("cls", "copies")
-    return base.join(least, "grp", "left").join(copies, "cls", "left").select(
+        named = named.join(maybe_broadcast(labels, 16), named["cls"] == labels["node"], "left").select("cls", "copies", "least", F.coalesce("root", "grp").alias("grp"))
+    least = keep(named.groupBy("grp").agg(F.min("least").alias("component_id")), "least")
+    classes = keep(named.join(least, "grp").select("cls", "copies", "component_id"), "components")
+    return table.select("id", "n", "cls").join(classes, "cls", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies")
     )

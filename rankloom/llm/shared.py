@@ -43,15 +43,16 @@ def components(edges: DataFrame) -> DataFrame:
     found = None
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
-        up = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("p")).select("n", F.least("n", "p").alias("p"))
-        over = up.select(F.col("n").alias("p"), F.col("p").alias("pp"))
-        up = keep(up.join(over, "p").select("n", F.col("pp").alias("p")), "hook")
+        up = keep(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("p")).select("n", F.least("n", "p").alias("p")), "hook")
+        small = maybe_broadcast(up, 16)
+        hint = (lambda df: F.broadcast(df)) if small is not up else (lambda df: df)
+        up = keep(up.join(hint(up.select(F.col("n").alias("p"), F.col("p").alias("pp"))), "p").select("n", F.col("pp").alias("p")), "hook")
         if found is None:
             found = up.select(F.col("n").alias("node"), F.col("p").alias("root"))
         else:
-            found = keep(found.join(up, found["root"] == up["n"], "left").select("node", F.coalesce("p", "root").alias("root")), "roots")
+            found = keep(found.join(hint(up), found["root"] == up["n"], "left").select("node", F.coalesce("p", "root").alias("root")), "roots")
         a, b = up.select(F.col("n").alias("a"), F.col("p").alias("pa")), up.select(F.col("n").alias("b"), F.col("p").alias("pb"))
-        e = e.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        e = e.join(hint(a), "a").join(hint(b), "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         e = keep(e, "links")
     if found is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -63,11 +64,11 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     if labels is None:
         found = components(links)
         return None if found.isEmpty() else found
-    a, b = labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    mapped = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    more = keep(components(mapped), "merged")
+    known = maybe_broadcast(labels, 16)
+    mapped = links.join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    more = components(mapped.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     if more.isEmpty():
         return labels
-    over = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    over = maybe_broadcast(more.select(F.col("node").alias("root"), F.col("root").alias("top")), 16)
     old = labels.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return keep(old.union(more.join(labels, "node", "left_anti")), "labels")
+    return keep(old.union(more.join(known.select("node"), "node", "left_anti")), "labels")
