@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import cotrain, decontaminate, html_text, lm_score, mixing, quality, secrets, substrings, warc
 from .ngram_join import jaccard_components
+from .oracles import oracle_sql  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +72,3 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mixing": mixing.oracle()}
