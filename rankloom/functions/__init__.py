@@ -30,6 +30,8 @@ def confidence(data: Column, scaling: str = "linear", alpha: float = 1.0, epsilo
         return 1 + alpha * data
     if scaling == "log":
         return 1 + alpha * F.log(1 + data / epsilon)
+    if scaling == "popularity":  # data is how many interactions the item has
+        return F.log(data)
     raise ValueError(f"unknown scaling {scaling!r}")
 
 

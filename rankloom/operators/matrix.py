@@ -18,13 +18,26 @@ def build(frame: DataFrame, row: str, col: str, data: str | Column) -> DataFrame
     return frame.groupBy(row, col).agg(F.sum(value.cast("double")).alias("data")).where("data <> 0")
 
 
-def id_mapper(frames: list[tuple[DataFrame, str, str]]) -> DataFrame:
-    """(original_id, idx): dense index in first-seen order over (frame, id column, position column) triples.
+def dense_index(frame: DataFrame, *order: str | Column, name: str = "idx") -> DataFrame:
+    """frame with a dense number from 0 in the given total order.
+
+    The rows are sorted into ranges, numbered in each, and moved by the counts of the ranges before, so no task sees more than a range."""
+    from ..sources.store import checkpointed
 
-    The final numbering is one global order, as a dense index has to be; it runs over distinct ids only."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = checkpointed(frame.repartitionByRange(*keys).withColumn("__p", F.spark_partition_id()))
+    # one row for each range
+    counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__b", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__b")
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*keys))
+    return ranged.withColumn("__k", own).join(F.broadcast(before), "__p").withColumn(name, (F.col("__b") + F.col("__k") - 1).cast("long")).drop("__p", "__k", "__b")
+
+
+def id_mapper(frames: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """(original_id, idx): dense index in first-seen order over (frame, id column, position column) triples."""
     parts = [f.select(F.col(i).cast("string").alias("original_id"), F.lit(k).alias("k"), F.col(p).cast("long").alias("p")) for k, (f, i, p) in enumerate(frames)]
     seen = reduce(DataFrame.unionByName, parts).where("original_id is not null").groupBy("original_id").agg(F.min(F.struct("k", "p")).alias("at"))
-    return seen.select("original_id", (F.row_number().over(Window.orderBy("at.k", "at.p", "original_id")) - 1).cast("long").alias("idx"))
+    return dense_index(seen.select("original_id", "at.k", "at.p"), "k", "p", "original_id").select("original_id", "idx")
 
 
 def encode(frame: DataFrame, mapper: DataFrame, column: str, unknown: str = "ignore") -> DataFrame:
@@ -38,14 +51,14 @@ def extend_mapper(mapper: DataFrame, frame: DataFrame, column: str) -> DataFrame
     """mapper with the new ids of a frame appended in id order."""
     new = frame.select(F.col(column).cast("string").alias("original_id")).where("original_id is not null").distinct().join(mapper, "original_id", "left_anti")
     base = mapper.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("base"))
-    rows = new.withColumn("k", F.row_number().over(Window.orderBy("original_id")) - 1).crossJoin(F.broadcast(base))
+    rows = dense_index(new, "original_id", name="k").crossJoin(F.broadcast(base))
     return mapper.select("original_id", "idx").unionByName(rows.select("original_id", (F.col("base") + F.col("k")).cast("long").alias("idx")))
 
 
 def compact_mapper(mapper: DataFrame, removed: DataFrame) -> DataFrame:
     """mapper without the indices in removed (idx), numbered densely again in the old order."""
     left = mapper.join(removed, "idx", "left_anti")
-    return left.select("original_id", (F.row_number().over(Window.orderBy("idx")) - 1).cast("long").alias("idx"))
+    return dense_index(left.select("original_id", F.col("idx").alias("old")), "old").select("original_id", "idx")
 
 
 def invert_mapper(mapper: DataFrame) -> DataFrame:

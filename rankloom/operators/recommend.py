@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dot, rank_in
+from .matrix import dense_index
 from .similarity import DIGITS, top
 
+#: Parts of the users that meet each block of items.
+USER_PARTS = 64
+
 
 def item_scores(profiles: DataFrame, w: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id, score): sum of a user's data times the weights of the items; candidates restrict the targets."""
@@ -43,11 +51,9 @@ def recommend(scores: DataFrame, seen: DataFrame | None = None, cutoff: int = 10
     ignore holds items that are never shown. dense (item_id) fills short lists with items of score 0, in id order: as many
     of the first ids as can be needed are offered to each user."""
     if dense is not None:
-        users = scores.select("user_id").distinct() if seen is None else seen.select("user_id").distinct()
-        most = cutoff if seen is None else cutoff + (seen.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0)
+        users = scores.select("user_id", F.lit(0).alias("n")).distinct() if seen is None else seen.groupBy("user_id").agg(F.count("*").alias("n"))
         fill = dense if ignore is None else dense.join(ignore, "item_id", "left_anti")
-        fill = fill.orderBy("item_id").limit(most + cutoff)
-        zero = users.crossJoin(F.broadcast(fill.select("item_id"))).withColumn("score", F.lit(0.0))
+        zero = first_of(users, dense_index(fill.select("item_id").distinct(), "item_id", name="k"), 2 * cutoff).select("user_id", "item_id", F.lit(0.0).alias("score"))
         scores = scores.unionByName(zero).groupBy("user_id", "item_id").agg(F.sum("score").alias("score"))
     if seen is not None:
         scores = scores.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
@@ -57,6 +63,87 @@ def recommend(scores: DataFrame, seen: DataFrame | None = None, cutoff: int = 10
     return ranked.select("user_id", "item_id", "rank", "score")
 
 
+def first_of(users: DataFrame, ranked: DataFrame, more: int) -> DataFrame:
+    """For each user (user_id, n) the n + more first items of one ranking (k from 0): as many rows as profiles and lists have."""
+    offered = users.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") + F.lit(more - 1))).alias("k"))
+    return offered.join(ranked, "k").drop("k")
+
+
+def most_popular(m: DataFrame, cutoff: int = 10) -> DataFrame:
+    """(user_id, item_id, rank, score): the most popular items that a user has not seen."""
+    best = dense_index(top_pop(m).withColumn("v", -F.col("score")), "v", "item_id", name="k").drop("v")
+    users = m.groupBy("user_id").agg(F.count("*").alias("n"))
+    return recommend(first_of(users, best, cutoff), m, cutoff)
+
+
+def random_lists(m: DataFrame, items: DataFrame, cutoff: int = 10, seed: int = 42) -> DataFrame:
+    """(user_id, item_id, rank): unseen items in a hashed order of each user's own.
+
+    items is (item_id, idx) with a dense idx; a user draws their profile's length and twice the cutoff, so a list is short only where draws repeat."""
+    n = items.agg(F.count("*").alias("items"))
+    tries = m.groupBy("user_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).withColumn("d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + 2 * cutoff)))
+    drawn = tries.select("user_id", "d", F.pmod(F.col("user_id") * 7919 + F.col("d") * 15485863 + seed, F.col("items")).alias("idx")).join(items, "idx").groupBy("user_id", "item_id").agg(F.min("d").alias("d"))
+    drawn = drawn.join(m.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    return drawn.withColumn("rank", rank_in(["user_id"], F.col("d"))).where(F.col("rank") <= cutoff).select("user_id", "item_id", "rank")
+
+
+def capped(recommendations: DataFrame, items: DataFrame, cutoff: int) -> DataFrame:
+    """Lists of at most min(cutoff, items - 1) entries."""
+    n = items.agg((F.count("*") - 1).alias("most"))
+    return recommendations.crossJoin(F.broadcast(n)).where((F.col("rank") <= cutoff) & (F.col("rank") <= F.col("most"))).drop("most")
+
+
+def candidate_pool(*lists: DataFrame) -> DataFrame:
+    """(user_id, item_id, sources): the union of several recommenders' lists, with how many hold the item."""
+    every = reduce(DataFrame.unionByName, [x.select("user_id", "item_id") for x in lists])
+    return every.groupBy("user_id", "item_id").agg(F.count("*").alias("sources"))
+
+
+def factor_top(users: DataFrame, items: DataFrame, cutoff: int = 10, seen: DataFrame | None = None, block: int = 4096) -> DataFrame:
+    """(user_id, item_id, score): for each user and block of items the `cutoff` best unseen items of that block.
+
+    Blocks of users meet blocks of items as matrices; no row is made for a pair of a user and an item, and `recommend` ranks what
+    the blocks send on. users and items hold (id, factors[, bias])."""
+    own = None if seen is None else seen.groupBy("user_id").agg(F.collect_list("item_id").alias("seen"))
+    u = users if own is None else users.join(own, "user_id", "left")
+    u = u.select("user_id", "factors", F.col("bias") if "bias" in users.columns else F.lit(0.0).alias("bias"), F.col("seen") if own is not None else F.lit(None).cast("array<long>").alias("seen"))
+    size = items.count()
+    blocks = max(1, -(-size // block))
+    i = items.select(F.col("item_id").cast("long").alias("item_id"), "factors", F.col("bias") if "bias" in items.columns else F.lit(0.0).alias("bias"), F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("b"))
+    packed = i.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("item_id", "factors", "bias"))).alias("x")).select("b", F.col("x.item_id").alias("ids"), F.flatten("x.factors").alias("m"), F.col("x.bias").alias("bias"))
+    k = cutoff
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows or not left.num_rows:
+            return pa.table({"user_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids = right.column("ids")[0].values.to_numpy()
+        m = right.column("m")[0].values.to_numpy().reshape(len(ids), -1)
+        bias = right.column("bias")[0].values.to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for part in left.to_batches(max_chunksize=512):
+            f = np.array(part.column("factors").to_pylist(), float)
+            s = f @ m.T + bias + part.column("bias").to_numpy()[:, None]
+            for r, known in enumerate(part.column("seen").to_pylist()):
+                if known:
+                    at = np.minimum(np.searchsorted(ids, known), len(ids) - 1)
+                    s[r, at[ids[at] == known]] = -np.inf
+            below = -np.round(s, DIGITS)
+            least = np.partition(below, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            r, c = np.nonzero((below <= least[:, None]) & np.isfinite(below))
+            order = np.lexsort((ids[c], below[r, c], r))
+            r, c = r[order], c[order]
+            first = np.searchsorted(r, np.arange(len(s)))
+            ok = np.arange(len(r)) - first[r] < k
+            out.append((part.column("user_id").to_numpy()[r[ok]], ids[c[ok]], s[r[ok], c[ok]]))
+        a, b, c = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"user_id": pa.array(a, pa.int64()), "item_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+
+    # users in parts of a fixed number of keys, so that a block of items meets them in several tasks
+    dealt = u.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(USER_PARTS))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    spread = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(USER_PARTS - 1).cast("long"))))
+    return dealt.groupBy("b", "part").cogroup(spread.groupBy("b", "part")).applyInArrow(run, "user_id long, item_id long, score double")
+
+
 def predefined(lists: DataFrame, cutoff: int) -> DataFrame:
     return lists.where(F.col("rank") <= cutoff)
 
@@ -119,7 +206,7 @@ def user_groups(m: DataFrame, groups: int = 20) -> DataFrame:
     """(user_id, grp): users by profile length in blocks of floor(n / groups); the rest of the longest is left out."""
     n = m.groupBy("user_id").agg(F.count("*").alias("n"))
     size = n.agg(F.floor(F.count("*") / groups).alias("size"))
-    ranked = n.withColumn("k", F.row_number().over(Window.orderBy("n", "user_id")) - 1).crossJoin(F.broadcast(size))
+    ranked = dense_index(n, "n", "user_id", name="k").crossJoin(F.broadcast(size))
     return ranked.select("user_id", F.floor(F.col("k") / F.col("size")).cast("long").alias("grp")).where(F.col("grp") < groups)
 
 

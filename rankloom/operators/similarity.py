@@ -1,8 +1,8 @@
 """Column similarities of sparse matrices, feature weighting and top-k.
 
 The product of a matrix with its transpose is an equi-join on the row; only pairs i < j are formed and mirrored
-afterwards. Norms ride along with the cells, so the pairs are joined with nothing else. A row with l cells makes l*l/2 pairs:
-the join is left to adaptive skew handling.
+afterwards. Norms ride along with the cells, so the pairs are joined with nothing else. A row with l cells makes l*l/2 pairs;
+those of long rows are spread over several join keys.
 """
 
 from __future__ import annotations
@@ -17,6 +17,60 @@ EPSILON = 1e-6
 DIGITS = 9
 
 
+#: Rows with more cells are split before their pairs are formed.
+HOT_ROW = 512
+
+
+def idf(m: DataFrame, n_rows: DataFrame, smoothed: bool = True) -> DataFrame:
+    """(col, idf): ln(N / (1 + df)), or ln(N / df) if not smoothed; n_rows has one row (n)."""
+    df = m.groupBy("col").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_rows))
+    return df.select("col", F.log(F.col("n") / (F.col("df") + F.lit(1 if smoothed else 0))).alias("idf"))
+
+
+def extreme_features(m: DataFrame, n_rows: DataFrame, k: int) -> DataFrame:
+    """(end, rank, col, idf): the k features with the highest and the k with the lowest un-smoothed IDF, ties by feature."""
+    table = idf(m, n_rows, smoothed=False).withColumn("v", F.round("idf", DIGITS))
+    out = []
+    for end, order in (("highest", F.col("v").desc()), ("lowest", F.col("v").asc())):
+        best = table.orderBy(order, "col").limit(k)
+        out.append(best.select(F.lit(end).alias("end"), F.row_number().over(Window.orderBy(order, "col")).cast("long").alias("rank"), "col", "idf"))
+    return out[0].unionByName(out[1])
+
+
+def weighted_profiles(m: DataFrame, kind: str, n_items: DataFrame, by: str = "item_id") -> DataFrame:
+    """Interactions whose data are replaced by TF-IDF or BM25 weights, with the rows of the weighting on the `by` side; both fit and scoring use them."""
+    other = "user_id" if by == "item_id" else "item_id"
+    cells = m.select(F.col(by).alias("row"), F.col(other).alias("col"), "data")
+    out = {"TF-IDF": tf_idf, "BM25": bm25}[kind](cells, n_items)
+    return out.select(F.col("row").alias(by), F.col("col").alias(other), "data").select("user_id", "item_id", "data")
+
+
+def normalise(m: DataFrame, by: str, kind: str = "2") -> DataFrame:
+    """Data divided by the L1 or L2 norm of their row or column; rows of norm 0 stay."""
+    x = F.sum(F.abs("data") if kind == "1" else F.col("data") * F.col("data")).over(Window.partitionBy(by))
+    size = x if kind == "1" else F.sqrt(x)
+    return m.withColumn("data", F.when(size == 0, F.col("data")).otherwise(F.col("data") / size))
+
+
+def select_features(weights: DataFrame, quota: float, absolute: bool = False) -> DataFrame:
+    """The floor(quota * n) features (feature_id, weight) of greatest weight, ties by feature."""
+    from .matrix import dense_index
+
+    value = F.round(F.abs("weight") if absolute else F.col("weight"), DIGITS)
+    n = weights.agg(F.floor(F.count("*") * F.lit(quota)).alias("n"))
+    ranked = dense_index(weights.withColumn("v", -value), "v", "feature_id", name="k").crossJoin(F.broadcast(n))
+    return ranked.where("k < n").select("feature_id", "weight")
+
+
+def shared_features(features: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(i, j, common, either): features that both items of a pair (i, j) have, and that one of them has, in order."""
+    lists = features.groupBy("item_id").agg(F.array_sort(F.collect_set("feature_id")).alias("f"))
+    both = pairs.join(lists.select(F.col("item_id").alias("i"), F.col("f").alias("a")), "i", "left").join(lists.select(F.col("item_id").alias("j"), F.col("f").alias("b")), "j", "left")
+    none = F.array().cast("array<string>")
+    a, b = F.coalesce("a", none), F.coalesce("b", none)
+    return both.select("i", "j", F.array_sort(F.array_intersect(a, b)).alias("common"), F.array_sort(F.array_union(a, b)).alias("either"))
+
+
 def tf_idf(m: DataFrame, n_rows: DataFrame) -> DataFrame:
     """sqrt(x) * ln(N / (1 + df)); n_rows has one row (n), which counts empty rows too."""
     df = m.groupBy("col").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_rows)).select("col", F.log(F.col("n") / (1 + F.col("df"))).alias("idf"))
@@ -39,13 +93,18 @@ def centred(m: DataFrame, by: str) -> DataFrame:
 
 
 def _pairs(m: DataFrame, norm, row_weights: DataFrame | None) -> DataFrame:
-    """(i, j, ni, nj, d) for i < j."""
+    """(i, j, ni, nj, d) for i < j.
+
+    A row with more than HOT_ROW cells is cut into parts by the column: each cell meets every part as the smaller column and
+    lies in one as the greater, so a hot row is as many join keys as it has parts."""
     cells = m.select("row", "col", "data", norm.alias("norm"))
-    left = cells.select("row", F.col("col").alias("i"), F.col("data").alias("x"), F.col("norm").alias("ni"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("row")) / HOT_ROW).cast("int")
+    cells = cells.withColumn("parts", parts)
+    left = cells.select("row", F.col("col").alias("i"), F.col("data").alias("x"), F.col("norm").alias("ni"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     if row_weights is not None:
-        left = left.join(row_weights, "row").select("row", "i", (F.col("x") * F.col("weight")).alias("x"), "ni")
-    right = cells.select("row", F.col("col").alias("j"), F.col("data").alias("y"), F.col("norm").alias("nj"))
-    return left.join(right, "row").where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.max("ni").alias("ni"), F.max("nj").alias("nj"))
+        left = left.join(row_weights, "row").select("row", "part", "i", (F.col("x") * F.col("weight")).alias("x"), "ni")
+    right = cells.select("row", F.pmod(F.xxhash64("col"), F.col("parts")).cast("int").alias("part"), F.col("col").alias("j"), F.col("data").alias("y"), F.col("norm").alias("nj"))
+    return left.join(right, ["row", "part"]).where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.max("ni").alias("ni"), F.max("nj").alias("nj"))
 
 
 def similarity(

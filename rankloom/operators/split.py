@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import half_even, hash_order, rank_in
+from ..functions import MODULUS, half_even, hash_order, rank_in
+from .matrix import dense_index
 
 
 def holdout_user_wise(m: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
@@ -47,8 +48,8 @@ def cold_items(m: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
     """m with its split: round(items * share) of the items in hash order train, the cells of the others test."""
     items = m.select("item_id").distinct()
     n = items.agg(half_even(F.count("*") * F.lit(share)).alias("n"))
-    ranked = items.withColumn("k", F.row_number().over(Window.orderBy(hash_order(F.lit(0), "item_id", seed), "item_id"))).crossJoin(F.broadcast(n))
-    return m.join(ranked.select("item_id", F.when(F.col("k") <= F.col("n"), "train").otherwise("test").alias("split")), "item_id").select(*m.columns, "split")
+    ranked = dense_index(items.withColumn("h", hash_order(F.lit(0), "item_id", seed)), "h", "item_id", name="k").crossJoin(F.broadcast(n))
+    return m.join(ranked.select("item_id", F.when(F.col("k") < F.col("n"), "train").otherwise("test").alias("split")), "item_id").select(*m.columns, "split")
 
 
 def three_way(m: DataFrame, quotas: tuple[float, float, float] = (0.7, 0.1, 0.2), user_wise: bool = True, seed: int = 42) -> DataFrame:
@@ -84,6 +85,49 @@ def bpr_triples(m: DataFrame, items: DataFrame, draws: int = 5, seed: int = 42)
     return unseen.groupBy("user_id", "positive").agg(F.min_by("negative", "d").alias("negative"))
 
 
+def bernoulli(m: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """m with its split: every cell trains with probability `share`, by its hash alone."""
+    return m.withColumn("split", F.when(hash_order("user_id", "item_id", seed) < F.lit(int(share * MODULUS)), "train").otherwise("test"))
+
+
+def _draw(spark, draws: int, n: DataFrame, seed: int) -> DataFrame:
+    """(d, idx): hashed numbers below n (one row), with replacement."""
+    return spark.range(1, draws + 1).withColumnRenamed("id", "d").crossJoin(F.broadcast(n)).select("d", F.pmod(F.col("d") * 15485863 + seed * 7919, F.col("n")).alias("idx"))
+
+
+def sample_interactions(m: DataFrame, draws: int, seed: int = 42) -> DataFrame:
+    """(d, user_id, item_id, data): uniform draws of cells, with replacement; users come in proportion to their profiles."""
+    cells = dense_index(m.select("user_id", "item_id", "data"), "user_id", "item_id")
+    return _draw(m.sparkSession, draws, m.agg(F.count("*").alias("n")), seed).join(cells, "idx").select("d", "user_id", "item_id", "data")
+
+
+def sample_pairs(m: DataFrame, items: DataFrame, draws: int, tries: int = 5, seed: int = 42) -> DataFrame:
+    """(d, user_id, positive, negative): uniform draws of cells, each with the first of `tries` hashed items that its user has not seen."""
+    drawn = sample_interactions(m, draws, seed).select("d", "user_id", F.col("item_id").alias("positive"))
+    n = items.agg(F.count("*").alias("n"))
+    offered = drawn.crossJoin(F.broadcast(n)).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    offered = offered.withColumn("idx", F.pmod(hash_order("user_id", "positive", seed) * 31 + F.col("d") * 104729 + F.col("t") * 15485863, F.col("n"))).join(items, "idx")
+    unseen = offered.withColumnRenamed("item_id", "negative").join(m.select("user_id", F.col("item_id").alias("negative")), ["user_id", "negative"], "left_anti")
+    return unseen.groupBy("d", "user_id", "positive").agg(F.min_by("negative", "t").alias("negative"))
+
+
+def sample_ratings(m: DataFrame, items: DataFrame, per_user: int, seed: int = 42) -> DataFrame:
+    """(user_id, item_id, data): all cells, and hashed unseen items of each user with data 0."""
+    zero = sample_negatives(m, items, per_user, seed).select("user_id", "item_id", F.lit(0.0).alias("data"))
+    return m.select("user_id", "item_id", "data").unionByName(zero)
+
+
+def impression_negatives(m: DataFrame, impressions: DataFrame, items: DataFrame, per_user: int, mode: str = "inside", seed: int = 42) -> DataFrame:
+    """(user_id, item_id): items that a user has no cell for, among those shown to them ("inside") or hashed ones not shown ("outside").
+
+    impressions holds (user_id, item_id). Of the shown ones the first per_user in hash order are taken."""
+    if mode == "outside":
+        return sample_negatives(m, items, per_user, seed).join(impressions, ["user_id", "item_id"], "left_anti")
+    open_ = impressions.select("user_id", "item_id").distinct().join(m, ["user_id", "item_id"], "left_anti")
+    ranked = open_.withColumn("k", rank_in(["user_id"], hash_order("user_id", "item_id", seed), F.col("item_id")))
+    return ranked.where(F.col("k") <= per_user).drop("k")
+
+
 def sample_negatives(m: DataFrame, items: DataFrame, per_user: int, seed: int = 42) -> DataFrame:
     """(user_id, item_id): hashed items that the user has not seen, at most per_user draws each."""
     users = m.select("user_id").distinct()

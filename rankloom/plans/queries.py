@@ -271,7 +271,7 @@ t AS (SELECT user_id, item_id AS positive, d, ({HASH} * 31 + d * 15485863) % n A
 c AS (SELECT user_id, positive, d, items.item_id AS negative FROM t JOIN items USING (idx))
 SELECT user_id, positive, arg_min(negative, d) AS negative FROM c WHERE NOT EXISTS (SELECT 1 FROM urm u WHERE u.user_id = c.user_id AND u.item_id = c.negative) GROUP BY 1, 2""")
 def bpr_triples_hash(spark, d):
-    dense = items(spark, d).withColumn("idx", F.row_number().over(Window.orderBy("item_id")) - 1)
+    dense = mx.dense_index(items(spark, d), "item_id")
     return sp.bpr_triples(urm(spark, d), dense)
 
 
@@ -391,11 +391,7 @@ def sim_common_delta(spark, d):
 
 @query(f"WITH {URM}{SPLIT}, s AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS score FROM train GROUP BY 1), {recs_sql('SELECT user_id, item_id, score FROM (SELECT DISTINCT user_id FROM train), s')}{RECS_OUT}")
 def toppop(spark, d):
-    train, _ = parts(spark, d)
-    # a list needs no more candidates than the longest profile and the cutoff together
-    most = train.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-    best = rc.top_pop(train).orderBy(F.desc("score"), "item_id").limit(most + 10)
-    return shown(rc.recommend(train.select("user_id").distinct().crossJoin(F.broadcast(best)), train))
+    return shown(rc.most_popular(parts(spark, d)[0]))
 
 
 @query(f"""WITH {URM}, mu AS (SELECT avg(data) AS mu FROM urm), b AS (SELECT item_id, sum(data - mu) / (count(*) + 25) AS bias FROM urm, mu GROUP BY 1)
@@ -571,7 +567,7 @@ neg2 AS (SELECT * FROM neg WHERE (user_id, item_id) NOT IN (SELECT (user_id, ite
 {recs_sql('SELECT sc.* FROM sc JOIN allowed USING (user_id, item_id)')}{RECS_OUT}""")
 def negative_sample_eval(spark, d):
     train, scores = itemknn(spark, d)
-    dense = items(spark, d).withColumn("idx", F.row_number().over(Window.orderBy("item_id")) - 1)
+    dense = mx.dense_index(items(spark, d), "item_id")
     negatives = sp.sample_negatives(urm(spark, d), dense, 50)
     return shown(rc.recommend(ev.restrict_to(scores, parts(spark, d)[1], negatives), train))
 
@@ -634,7 +630,7 @@ def pure_svd(spark, d):
 
     train, _ = parts(spark, d)
     u, i = fit(train, 20)
-    return shown(rc.recommend(rc.factor_scores(u, F.broadcast(i)), train))
+    return shown(rc.recommend(rc.factor_top(u, i, 10, train), train))
 
 
 @query()
@@ -643,7 +639,7 @@ def ials(spark, d):
 
     train, _ = parts(spark, d)
     u, i = fit(train, 10, 3)
-    return shown(rc.recommend(rc.factor_scores(u, i), train))
+    return shown(rc.recommend(rc.factor_top(u, i, 10, train), train))
 
 
 @query()
@@ -652,7 +648,7 @@ def nmf(spark, d):
 
     train, _ = parts(spark, d)
     u, i = fit(train, 8, 5)
-    return shown(rc.recommend(rc.factor_scores(u, i), train))
+    return shown(rc.recommend(rc.factor_top(u, i, 10, train), train))
 
 
 @query()
@@ -672,15 +668,15 @@ def cfw_d(spark, d):
     return rounded(fit(cf, icm(spark, d), damp=1.0, top_k=20)[1], "w")
 
 
-@query()
+@query(_core_sql(12, 20))
 def kcore_fixpoint(spark, d):
-    return mx.k_core(urm(spark, d), 30)
+    return mx.k_core(urm(spark, d), 20).select("user_id", "item_id", "data")
 
 
 @query()
 def bpr_factors(spark, d):
     from ..operators.factor import bpr_factors as fit
 
-    dense = items(spark, d).withColumn("idx", F.row_number().over(Window.orderBy("item_id")) - 1)
+    dense = mx.dense_index(items(spark, d), "item_id")
     u, _ = fit(sp.bpr_triples(parts(spark, d)[0], dense), 6, 2)
     return u.select("user_id", F.transform("factors", lambda x: F.round(x, 6)).alias("factors"))

@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (as in tests)."""
+    """spark.checkpoint.dir, or a temporary folder where it is unset and all tasks run on this machine (as in tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="rankloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+_RUN = f"run-{uuid.uuid4().hex}"
+_USED: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder in the shared one for this process's intermediate tables, which are removed when the process ends."""
+    path = f"{shared_folder(spark)}/rankloom/{_RUN}"
+    _USED.add(path)
+    return path
+
+
+def _clean() -> None:
+    for path in _USED:
+        try:
+            disk, at = (pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else (pafs.LocalFileSystem(), path) if "://" not in path else pafs.FileSystem.from_uri(path)
+            disk.delete_dir(at)
+        except Exception:  # a store that is gone or that only Spark reaches keeps its folder
+            pass
+
+
+atexit.register(_clean)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/rankloom/table-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
