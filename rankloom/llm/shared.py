@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import run_folder
+
 #: A side of a join is broadcast only if rows x width is below this.
 BROADCAST_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="rankloom-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: later jobs neither repeat it nor lose it with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/rankloom/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -29,7 +29,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import keep, maybe_broadcast, shared_dir
+from ..sources.store import run_folder
+from .shared import keep, maybe_broadcast
 
 REVISIT_BYTES = 1000
 #: Compressed size at which a file is closed.
@@ -246,4 +247,5 @@ def read(spark: SparkSession, base: str) -> DataFrame:
 
 
 def archive_dir(spark: SparkSession, name: str = "warc") -> str:
-    return f"{shared_dir(spark)}/rankloom/{name}-{uuid.uuid4().hex}"
+    """A folder for archives that are read back and then done with."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
