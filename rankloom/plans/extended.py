@@ -206,3 +206,52 @@ def score_hybrid_linf(spark, d):
     norms = tuple(sm.matrix_norm(s.select(F.col("user_id").alias("i"), F.col("item_id").alias("j"), F.col("score").alias("w")), "inf") for s in (knn, walk))
     out = rc.recommend(rc.combine_scores(knn, walk, 0.6, norms), train)
     return out.select("user_id", "item_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
+
+
+# ---- trainers
+
+
+TRIPLES = f"""t5 AS (SELECT user_id, item_id AS positive, d, ({HASH} * 31 + d * 15485863) % n AS idx FROM train, n, (SELECT unnest(range(1, 6)) AS d)),
+c5 AS (SELECT user_id, positive, d, dense.item_id AS negative FROM t5 JOIN dense USING (idx)),
+triple AS (SELECT user_id, positive, arg_min(negative, d) AS negative FROM c5 WHERE NOT EXISTS (SELECT 1 FROM train u WHERE u.user_id = c5.user_id AND u.item_id = c5.negative) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {URM}{SPLIT}, {DENSE}, {TRIPLES}, touched AS (SELECT triple.*, x.item_id AS l FROM triple JOIN train x USING (user_id)),
+sides AS (SELECT user_id, positive, negative, l, positive AS j, 1.0::DOUBLE AS side FROM touched WHERE l <> positive UNION ALL SELECT user_id, positive, negative, l, negative, -1.0 FROM touched WHERE l <> negative),
+w1 AS (SELECT l, j, 0.1 * avg(0.5 * side) AS w FROM sides GROUP BY 1, 2),
+x AS (SELECT user_id, positive, negative, sum(side * w) AS x FROM sides JOIN w1 USING (l, j) GROUP BY 1, 2, 3),
+m2 AS (SELECT l, j, avg(side / (1 + exp(x))) AS m, avg(CASE WHEN side > 0 THEN 0.0025 ELSE 0.00025 END) AS r FROM sides JOIN x USING (user_id, positive, negative) GROUP BY 1, 2),
+w2 AS (SELECT l AS i, j, w + 0.1 * (m - r * w) AS w FROM m2 JOIN w1 USING (l, j)),
+k AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY round(w, 9) DESC, i) AS r FROM w2 WHERE w <> 0)
+SELECT i, j, round(w, 6) AS w FROM k WHERE r <= 30""")
+def slim_bpr(spark, d):
+    from ..operators.trainers import slim_bpr as fit
+
+    train, _ = q.parts(spark, d)
+    return rounded(fit(sp.bpr_triples(train, _dense(spark, d)), train, epochs=2, rate=0.1, top_k=30), "w")
+
+
+@query(f"""WITH {URM}{SPLIT}, g AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.data * b.data) / (SELECT count(DISTINCT user_id) FROM train) AS g FROM train a JOIN train b USING (user_id) GROUP BY 1, 2),
+s AS (SELECT sqrt(sum(g * g)) AS size FROM g), k AS (SELECT i, j, 0.5 / size * g AS w, row_number() OVER (PARTITION BY j ORDER BY round(0.5 / size * g, 9) DESC, i) AS r FROM g, s WHERE i <> j)
+SELECT i, j, round(w, 6) AS w FROM k WHERE r <= 30""")
+def slim_mse_first_step(spark, d):
+    from ..operators.trainers import slim_mse as fit
+
+    return rounded(fit(q.parts(spark, d)[0], epochs=1, rate=0.5, top_k=30), "w")
+
+
+@query()
+def mf_mse(spark, d):
+    from ..operators.trainers import mf_mse as fit
+
+    train, _ = q.parts(spark, d)
+    u, i, _ = fit(train, 8, 3, rate=0.01)
+    return shown(rc.recommend(rc.factor_top(u, i, 10, train), train))
+
+
+@query()
+def asy_svd(spark, d):
+    from ..operators.trainers import asy_svd as fit
+
+    own, items = fit(q.parts(spark, d)[0], 6, 2, rate=0.001)
+    return own.select("item_id", F.transform("factors", lambda x: F.round(x, 6)).alias("factors"))
