@@ -260,7 +260,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         return src.mapInArrow(run, schema)
 
-    for r in rows.toLocalIterator():  # block by block: the driver never holds more than one
+    # every block of items is one scan of the documents; a scan's block is broadcast, so memory goes with ITEM_BLOCK and the number of scans with the benchmark
+    for r in rows.toLocalIterator():
         block.append((r[0], r[1]))
         if len(block) == ITEM_BLOCK:
             out, block = (one(block) if out is None else out.union(one(block))), []

@@ -577,6 +577,19 @@ def test_mixing_matches_sql(spark, docs):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_mixing_rows_without_ids(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(None if k % 3 else k, f"word{k} " * (1 + k % 7), "en", "hot" if k % 2 else None, 0) for k in range(90)] + [(None, "w " * 3000, "en", "a b", 1), (7, "x", "en", "hot", 1), (7, "x y", "en", "hot", 1), (8, None, "en", "hot", 1), (9, " ", "en", "none", 1)]
+    df = spark.createDataFrame(rows, DOC).withColumnRenamed("n_chars", "rank")
+    c = duckdb.connect()
+    c.register("documents", df.toPandas().astype({"text": object, "source": object, "doc_id": "Int64"}))
+    want = sorted((tuple(None if v is None or v != v else v for v in x) for x in c.sql(mixing.oracle(block_tokens=40)).fetchall()), key=str)
+    got = sorted((tuple(x) for x in mixing.mix(df, block_tokens=40).select("doc_id", "source", "n_tokens", "pass", "block_rank", "rank").collect()), key=str)
+    assert got == want and len({x[4] for x in got if x[0] is None}) > 3
+    odd = spark.createDataFrame(rows, DOC).withColumnRenamed("text", "a text").withColumnRenamed("source", "the host")
+    assert mixing.mix(odd, text_col="a text", source_col="the host").count() > 0
+
+
 def test_mixing_weights(spark, docs):
     total = {r.source: r.n for r in mixing.mix(docs, max_repeats=1000.0).groupBy("source").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
     assert max(total.values()) - min(total.values()) < 4100  # equal quotas, each overshot by less than a text
