@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import confidence
@@ -10,6 +12,8 @@ from ..operators import recommend as rc
 from ..operators import similarity as sm
 from ..operators import split as sp
 from ..operators import statistics as st
+from ..sources import readers, store
+from ..sources.store import run_folder
 from . import queries as q
 from .queries import COSINE, HASH, ICM, ITEM_SCORES, KNN, RECS_OUT, SPLIT, UCM, URM, query, recs_sql, rounded, shown, sim_sql
 
@@ -255,3 +259,73 @@ def asy_svd(spark, d):
 
     own, items = fit(q.parts(spark, d)[0], 6, 2, rate=0.001)
     return own.select("item_id", F.transform("factors", lambda x: F.round(x, 6)).alias("factors"))
+
+
+# ---- files: tables are written in each layout and read back
+
+
+def _folder(spark) -> str:
+    return f"{run_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _lines(spark, rows, sep: str, columns: list, header: bool = False) -> str:
+    path = _folder(spark)
+    text = rows.select(F.concat_ws(sep, *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]).alias("value"))
+    if header:
+        rows.select(*[(F.col(c) if isinstance(c, str) else c).alias(f"c{k}") for k, c in enumerate(columns)]).write.option("header", True).option("sep", sep).csv(path)
+    else:
+        text.write.text(path)
+    return path
+
+
+for _layout in readers.LAYOUTS:
+
+    def _read(spark, d, layout=_layout):
+        sep, header = readers.LAYOUTS[layout]
+        more = [F.lit(1), F.lit(2)] if layout == "hetrec" else []
+        path = _lines(spark, q.table(spark, d, "events"), sep, ["user_id", "event_id", "value", F.unix_timestamp("ts"), *more], header)
+        return readers.ratings(spark, path, layout)
+
+    _read.__name__ = f"read_ratings_{_layout}"
+    _ts = "CAST(NULL AS BIGINT)" if _layout == "hetrec" else "CAST(floor(epoch(ts)) AS BIGINT)"
+    query(f"SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id AS VARCHAR) AS item_id, value AS data, {_ts} AS ts FROM events")(_read)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS item_id, value AS data, t AS ts FROM (SELECT *, floor(epoch(ts)) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY floor(epoch(ts)) DESC, value DESC) AS k FROM events) WHERE k = 1")
+def read_interactions_latest(spark, d):
+    path = _lines(spark, q.table(spark, d, "events"), ";", ["user_id", "event_type", "value", F.unix_timestamp("ts")])
+    return readers.interactions(spark, path, ";", timestamp=True, dedup=True)
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, p_type AS a, p_brand AS b, p_size AS s FROM part)
+SELECT 'genre' AS kind, CAST(k AS VARCHAR) AS item_id, a AS feature_id, CAST(1 AS DOUBLE) AS data FROM t UNION ALL SELECT 'genre', CAST(k AS VARCHAR), b, 1.0 FROM t
+UNION ALL SELECT 'year', CAST(k AS VARCHAR), CAST(1950 + s AS VARCHAR), 1.0 FROM t WHERE s % 5 > 0""")
+def read_movies(spark, d):
+    title = F.when(F.col("p_size") % 5 > 0, F.concat("p_name", F.lit(" ("), (F.col("p_size") + 1950).cast("string"), F.lit(")"))).otherwise(F.col("p_name"))
+    path = _lines(spark, q.table(spark, d, "part"), "::", ["p_partkey", title, F.concat_ws("|", "p_type", "p_brand")])
+    genres, years = readers.movies(spark, path, "1m")
+    return genres.withColumn("kind", F.lit("genre")).unionByName(years.withColumn("kind", F.lit("year"))).select("kind", "item_id", "feature_id", "data")
+
+
+@query("""WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS u, c_mktsegment AS g, CAST(c_nationkey AS VARCHAR) AS a FROM customer)
+SELECT u AS user_id, 'gender_' || g AS feature_id, CAST(1 AS DOUBLE) AS data FROM t UNION ALL SELECT u, 'age_group_' || a, 1.0 FROM t UNION ALL SELECT u, 'occupation_7', 1.0 FROM t UNION ALL SELECT u, 'zip_code_z' || a, 1.0 FROM t""")
+def read_users(spark, d):
+    path = _lines(spark, q.table(spark, d, "customer"), "::", ["c_custkey", "c_mktsegment", "c_nationkey", F.lit("7"), F.concat(F.lit("z"), F.col("c_nationkey").cast("string"))])
+    return readers.users(spark, path)
+
+
+@query(f"WITH {URM}{SPLIT} SELECT user_id, item_id, data, split FROM split")
+def stored_split(spark, d):
+    m, path = q.urm(spark, d), _folder(spark)
+    train, test = q.parts(spark, d)
+    store.save(spark, path, {"name": "orders", "quota": 0.8, "urm": m, "parts": {"train": train, "test": test}})
+    found = store.load(spark, path)
+    parts = found["parts"]
+    return parts["train"].withColumn("split", F.lit("train")).unionByName(parts["test"].withColumn("split", F.lit("test"))).where(F.lit(found["quota"]) == 0.8)
+
+
+@query(f"{KNN}, {recs_sql(ITEM_SCORES)}{RECS_OUT}")
+def stored_model(spark, d):
+    train, _ = q.parts(spark, d)
+    model = store.cached(spark, _folder(spark), lambda: {"weights": sm.similarity(q.cells(train), shrink=100), "profiles": train, "shrink": 100})
+    return shown(rc.recommend(rc.item_scores(model["profiles"], model["weights"]), model["profiles"]))

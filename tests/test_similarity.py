@@ -3,6 +3,7 @@ import pytest
 
 from rankloom.operators import similarity as sm
 
+# The small matrices that similarity results are stated for.
 M1 = np.array([[1, 1, 0, 1], [0, 1, 1, 1], [1, 0, 1, 0]], float)
 M2 = np.array([[1, 2, 0, 1], [0, 1, 4, 1], [1, 3, 1, 0]], float)
 
@@ -76,3 +77,15 @@ def test_random_matrix(spark):
 
 def test_empty(spark):
     assert sm.similarity(spark.createDataFrame([], "row long, col long, data double")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [3, 50, 512])
+def test_long_rows_are_split(spark, monkeypatch, hot):
+    monkeypatch.setattr(sm, "HOT_ROW", hot)
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random((60, 200)) < 0.1, rng.random((60, 200)), 0.0)
+    a[0] = rng.random(200) + 0.1  # one row with every column
+    n = np.sqrt((a**2).sum(axis=0))
+    w = dense(sm.similarity(frame(spark, a), shrink=1, top_k=None, row_weights=spark.createDataFrame([(k, 1.0 + k % 2) for k in range(60)], "row long, weight double")), 200)
+    weights = 1.0 + np.arange(60) % 2
+    assert np.allclose(w, off((a * weights[:, None]).T @ a / (np.outer(n, n) + 1 + 1e-6)))
