@@ -58,12 +58,15 @@ def beyond_accuracy(recommendations: DataFrame, test: DataFrame, train: DataFram
     by_user = per_user.groupBy("cutoff").agg(F.sum("novelty").alias("novelty"), F.sum("pop").alias("pop"), F.count("*").alias("u"), F.sum("hit").alias("uh"))
     counts = listed.groupBy("cutoff", "item_id").agg(F.count("*").alias("c"), F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     with_zero = items.select("item_id").crossJoin(cuts).join(counts, ["cutoff", "item_id"], "left").fillna(0, ["c", "hit"])
+    # items with the same count share their ranks, so only distinct counts are put in order
+    same = with_zero.groupBy("cutoff", "c").agg(F.count("*").alias("k"), F.sum("hit").alias("hit"))
     total = Window.partitionBy("cutoff")
-    ranked = with_zero.withColumn("r", F.row_number().over(total.orderBy("c", "item_id"))).withColumn("n", F.count("*").over(total)).withColumn("s", F.sum("c").over(total))
-    share = F.col("c") / F.col("s")
-    by_item = ranked.groupBy("cutoff").agg(
-        F.sum((F.col("c") > 0).cast("int")).alias("ci"), F.sum("hit").alias("cih"), (2 * F.sum((F.col("n") + 1 - F.col("r")) / (F.col("n") + 1) * share)).alias("gini"),
-        (1 - F.sum(share * share)).alias("herfindahl"), F.sum(F.when(F.col("c") > 0, -share * F.log2(share)).otherwise(0.0)).alias("entropy"), F.sum(F.col("c") * F.col("c")).alias("sq"),
+    same = same.withColumn("before", F.sum("k").over(total.orderBy("c")) - F.col("k")).withColumn("n", F.sum("k").over(total)).withColumn("s", F.sum(F.col("c") * F.col("k")).over(total))
+    share, k = F.col("c") / F.col("s"), F.col("k")
+    ranks = k * F.col("before") + k * (k + 1) / 2
+    by_item = same.groupBy("cutoff").agg(
+        F.sum(F.when(F.col("c") > 0, k).otherwise(0)).alias("ci"), F.sum("hit").alias("cih"), (2 * F.sum((k * (F.col("n") + 1) - ranks) / (F.col("n") + 1) * share)).alias("gini"),
+        (1 - F.sum(k * share * share)).alias("herfindahl"), F.sum(F.when(F.col("c") > 0, -k * share * F.log2(share)).otherwise(0.0)).alias("entropy"), F.sum(k * F.col("c") * F.col("c")).alias("sq"),
     )
     out = by_user.join(by_item, "cutoff").crossJoin(F.broadcast(dims))
     e, k = F.col("e"), F.col("cutoff")
@@ -82,12 +85,13 @@ def train_reference(train: DataFrame, items: DataFrame, users: DataFrame) -> Dat
     cells = train.join(popularity, "item_id").crossJoin(F.broadcast(dims))
     per = cells.groupBy("user_id").agg(F.sum(-F.log2(F.col("p") / F.col("sum_p")) / F.col("n_items")).alias("novelty"), F.avg(F.col("p") / F.col("max_p")).alias("pop"), F.max("n_users").alias("n_users"))
     by_user = per.agg((F.sum("novelty") / F.max("n_users")).alias("novelty"), (F.sum("pop") / F.max("n_users")).alias("average_popularity"))
-    whole = Window.partitionBy(F.lit(0))
-    ranked = items.select("item_id").join(popularity, "item_id", "left").fillna(0, ["p"]).withColumn("r", F.row_number().over(whole.orderBy("p", "item_id"))).crossJoin(F.broadcast(dims))
-    share = F.col("p") / F.col("sum_p")
-    by_item = ranked.agg(
-        (2 * F.sum((F.col("n_items") + 1 - F.col("r")) / (F.col("n_items") + 1) * share)).alias("diversity_gini"), (1 - F.sum(share * share)).alias("diversity_herfindahl"),
-        F.sum(F.when(F.col("p") > 0, -share * F.log2(share)).otherwise(0.0)).alias("shannon_entropy"),
+    same = items.select("item_id").join(popularity, "item_id", "left").fillna(0, ["p"]).groupBy("p").agg(F.count("*").alias("k"))
+    same = same.withColumn("before", F.sum("k").over(Window.orderBy("p")) - F.col("k")).crossJoin(F.broadcast(dims))  # one row for each popularity
+    share, k = F.col("p") / F.col("sum_p"), F.col("k")
+    ranks = k * F.col("before") + k * (k + 1) / 2
+    by_item = same.agg(
+        (2 * F.sum((k * (F.col("n_items") + 1) - ranks) / (F.col("n_items") + 1) * share)).alias("diversity_gini"), (1 - F.sum(k * share * share)).alias("diversity_herfindahl"),
+        F.sum(F.when(F.col("p") > 0, -k * share * F.log2(share)).otherwise(0.0)).alias("shannon_entropy"),
     )
     return by_user.crossJoin(by_item)
 

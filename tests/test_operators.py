@@ -151,6 +151,28 @@ def test_search():
     assert len(se.grid({"a": [1, 2], "b": [3]})) == 2
 
 
+def test_search_resumes_and_keeps_time(tmp_path):
+    from rankloom.operators import spaces
+    from rankloom.operators.search import bayesian_search, load_trials, search
+
+    space, path, runs = spaces.MODELS["rp3beta"], f"{tmp_path}/trials.json", []
+
+    def objective(p):
+        runs.append(p)
+        return -abs(p["alpha"] - 1.2) - abs(p["beta"] - 0.4)
+
+    whole = bayesian_search(space, objective, 9, starts=4, seed=1)
+    n = len(runs)
+    first = bayesian_search(space, objective, 6, starts=4, seed=1, path=path)
+    assert len(load_trials(path).trials) == 6 and len(runs) == n + 6
+    again = bayesian_search(space, objective, 9, starts=4, seed=1, path=path)
+    assert len(runs) == n + 9 and again.trials == whole.trials and first.trials == whole.trials[:6]
+    assert bayesian_search(space, objective, 9, seconds=-1).trials == []
+    found = search(space, lambda p: p, lambda p: -abs(p["alpha"] - 1.2), lambda p: {"map": p["alpha"]}, cases=8, seed=3)
+    assert found["test"]["map"] == found["best"]["alpha"] and found["metric"] == found["result"].best[1]
+    assert set(spaces.knn("cosine", weighting=True, hybrid=True)) == {"top_k", "shrink", "normalize", "feature_weighting", "feature_weight"}
+
+
 def test_stem():
     assert [stem(w) for w in ("caresses", "ponies", "hopping", "relational", "triplicate", "adjustment", "controlling", "happy")] == ["caress", "poni", "hop", "relat", "triplic", "adjust", "control", "happi"]
 
