@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import checkpointed
-from .similarity import similarity, top
+from .similarity import normalise, similarity, top
 
 BROADCAST_BYTES = 64 << 20
 MOST_ITEMS = 12_000
@@ -37,29 +37,37 @@ def _dense_gram(m: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, g
 
 
-def ease_r(m: DataFrame, l2: float = 1000.0, top_k: int | None = None, block: int = 256) -> DataFrame:
-    """(i, j, w) = -P / diag(P) by column with P = inverse of the ridge Gram matrix, diagonal 0; tasks solve blocks of columns."""
+def ease_r(m: DataFrame, l2: float = 1000.0, top_k: int | None = None, normalise_matrix: bool = False, chunk: int = 64) -> DataFrame:
+    """(i, j, w) = -P / diag(P) by column with P = inverse of the ridge Gram matrix, diagonal 0.
+
+    One task inverts the matrix once and sends on its rows, which are its columns; the rest works on these. With normalise_matrix
+    users and then items are scaled to length one first."""
     spark = m.sparkSession
-    ids, g = _dense_gram(m)
-    shipped = spark.sparkContext.broadcast((ids, g))
+    if normalise_matrix:
+        m = normalise(normalise(m, "user_id", "2"), "item_id", "2")
+    shipped = spark.sparkContext.broadcast(_dense_gram(m))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, g = shipped.value
-        n = len(ids)
-        keep = n if top_k is None else min(top_k, n)
-        ridge = g + l2 * np.eye(n)
-        for b in batches:
-            for start in b.column(0).to_pylist():
-                own = np.arange(start, min(start + block, n))
-                p = np.linalg.solve(ridge, np.eye(n)[:, own])
-                w = p / -p[own, np.arange(len(own))]
-                w[own, np.arange(len(own))] = 0.0
-                order = np.argsort(-np.round(np.abs(w), 9), axis=0, kind="stable")[:keep]
-                cells = np.take_along_axis(w, order, axis=0)
-                use = cells != 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[order[use]]), pa.array(ids[np.tile(own, (keep, 1))[use]]), pa.array(cells[use])], names=["i", "j", "w"])
+    def inverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            ids, g = shipped.value
+            p = np.linalg.inv(g + l2 * np.eye(len(ids)))
+            for k in range(0, len(ids), chunk):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, min(k + chunk, len(ids)))), pa.array(list(p[k : k + chunk]), pa.list_(pa.float64()))], names=["place", "p"])
 
-    return _starts(spark, len(ids), block).mapInArrow(run, "i long, j long, w double")
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shipped.value[0]
+        keep = len(ids) if top_k is None else min(top_k, len(ids))
+        for b in batches:
+            for j, row in zip(b.column(0).to_pylist(), b.column(1)):
+                w = row.values.to_numpy()
+                w = w / -w[j]
+                w[j] = 0.0
+                order = np.argsort(-np.round(np.abs(w), 9), kind="stable")[:keep]
+                order = order[w[order] != 0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(np.full(len(order), ids[j])), pa.array(w[order])], names=["i", "j", "w"])
+
+    rows = checkpointed(spark.range(0, 1, 1, 1).mapInArrow(inverse, "place long, p array<double>"))
+    return rows.mapInArrow(columns, "i long, j long, w double")
 
 
 def _starts(spark: SparkSession, n: int, block: int) -> DataFrame:
