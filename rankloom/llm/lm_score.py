@@ -137,7 +137,7 @@ class Model:
         self.context = np.log(counts[n + size : -1] + MU)
 
     def chance(self, count: np.ndarray) -> np.ndarray:
-        return (count + 1) / (self.total + self.words)
+        return (count + 1) / max(self.total + self.words, 1)
 
     def local(self, t: _Tokens) -> np.ndarray:
         """Loss of each token as far as frequent words decide it."""

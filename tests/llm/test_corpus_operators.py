@@ -596,3 +596,31 @@ def test_mixing_weights(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
     e = mixing.mix(docs, max_repeats=None, target_entropy=0.9)
     assert e.count() > 0
+
+
+OPERATORS = {
+    "html": lambda d: html_text.extract(d, "text", "main"),
+    "jaccard": lambda d: jaccard_components(d),
+    "secrets": lambda d: secrets.scan(d),
+    "redact": lambda d: secrets.redact(d),
+    "quality": lambda d: quality.quality_rules(d),
+    "leaks": lambda d: decontaminate.leaks(d, d.sparkSession.createDataFrame([(1, "some item text of a few words")], "item_id long, text string")),
+    "lm": lambda d: lm_score.cross_entropy_difference(d, d.sparkSession.createDataFrame([(1,)], "doc_id long")),
+    "substrings": lambda d: substrings.remove_repeated(d),
+    "classes": lambda d: cotrain.classify(d, d.sparkSession.createDataFrame([(1, 1), (2, 0)], "doc_id long, good int")),
+    "mixing": lambda d: mixing.mix(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables_and_clashing_columns(spark, name):
+    assert OPERATORS[name](spark.createDataFrame([], DOC)).count() == 0
+    rows = [(1, "a text of a few words, with token=abcdefgh in it", "en", "s", 9), (1, "a text of a few words, with token=abcdefgh in it", "en", "s", 9), (2, None, None, None, None), (None, "", "en", "s", 0), (3, "some item text of a few words " + "é " * 30_000, "en", "s", 9)]
+    df = spark.createDataFrame(rows, DOC)
+    plain = OPERATORS[name](df)
+    more = df
+    for c in ("id", "n", "cls", "tid", "sign", "host", "row", "phrase", "words", "html", "spans", "label", "hit", "line", "rep", "gram"):
+        more = more.withColumn(c, df["text"])
+    own = [c for c in plain.columns if c not in ("id",) or name != "redact"]
+    show = lambda x: sorted((str(tuple(r)) for r in x.select(*[c for c in own if c in x.columns]).collect()))
+    assert show(OPERATORS[name](more)) == show(plain)
