@@ -52,6 +52,8 @@ PAIR_BYTES, PAIRS = 1 << 21, 64
 BLOCKS = 8
 #: Classes that a task remembers to have sent already.
 SEEN = 100_000
+#: In a short sketch differences of small sets fall on the same bits, and pairs below the bound pass.
+SKETCH_BITS = 1024
 _BITMAP = 22
 NO_ID = -(2**63)
 
@@ -76,9 +78,9 @@ def _classes(own: np.ndarray, grams: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _sketches(own: np.ndarray, grams: np.ndarray, size: np.ndarray) -> list[bytes | None]:
-    """Parity of the number of shingles that fall on each of 2^k >= 64 bits; folding halves gives the shorter sketch."""
+    """Parity of the number of shingles that fall on each of 2^k bits, at least SKETCH_BITS and twice the shingles; folding halves gives the shorter sketch."""
     out: list[bytes | None] = [None] * len(size)
-    bits = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(int) + 1)
+    bits = np.maximum(SKETCH_BITS.bit_length() - 1, np.ceil(np.log2(np.maximum(size, 1))).astype(int) + 1)
     base = np.concatenate([[0], np.cumsum(np.where(size > 0, 1 << bits, 0))])
     where = base[own] + (tc.mix(grams ^ U(0xA24BAED4963EE407)) & ((U(1) << bits[own].astype(np.uint64)) - U(1))).astype(np.int64)
     odd = np.packbits((np.bincount(where, minlength=base[-1]) & 1).astype(bool)) if len(where) else np.zeros(0, np.uint8)
