@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _numbered(docs)
     groups = keep(jaccard_components(rows, ROW, width=5, num=4, den=5).where("n_shingles > 0"), "groups")
     # the rows of groups of several only; their texts are not read
-    many = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    many = keep(groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id"), "many")
     member = groups.join(many, "component_id").select(F.col("component_id").alias("grp"), ROW)
     member = member.join(rows.select(ROW, "doc_id"), ROW).select("grp", ROW, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW).alias("order"))
     first = keep(member.groupBy("grp").agg(F.min("order").alias("first")), "first")
