@@ -11,7 +11,7 @@
    bound that both sizes set is discarded.
 5. Larger groups are never expanded. Their rows first meet one row of the group; only groups that then still hold different
    components are worked through in pairs of blocks of rows, under the bounds of sizes, places and parity sketches (a lower
-   bound of the symmetric difference). A row sends on its most similar partner there, round after round while links are
+   bound of the symmetric difference). A row sends on its most similar partner there, in BEST rounds at most while links are
    found; a last round sends what is left.
 6. The full rows of surviving pairs are multiplied one block of columns after the other; a pair leaves as soon as its sum and what is left of the
    smaller row cannot reach the bound. Links merge components, and pairs within one need no product.
