@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dot, rank_in
 from .matrix import dense_index
+from .packed import Packed, Rows, best, multiply, pack
 from .similarity import DIGITS, top
 
 #: Parts of the users that meet each block of items.
@@ -31,6 +32,46 @@ def user_scores(profiles: DataFrame, w: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("i").alias("user_id"), "item_id").agg(F.sum(F.col("data") * F.col("w")).alias("score"))
 
 
+def ranked_product(a: Packed, b: Packed, seen: Packed, cutoff: int = 10) -> DataFrame:
+    """(user_id, item_id, rank, score): the best unseen columns of each row of A B, ties by item id; a row's scores stay in its task.
+
+    `recommend(item_scores(profiles, w), profiles)` is A = profiles by user and B = w by i, `recommend(user_scores(profiles, w), profiles)`
+    is A = w by i and B = profiles by user."""
+    low, size = b.span()
+
+    def keep(keys, row, col, total, known):
+        part, start, length = known.find(np.asarray(keys))
+        _, items, _ = known.take(part, start, length)
+        own = np.repeat(np.arange(len(keys)), length)
+        near = (items >= low) & (items < low + size)
+        taken, asked = own[near] * size + items[near] - low, row * size + col - low
+        use = np.flatnonzero(~np.isin(asked, taken, assume_unique=True))
+        use = use[best(row[use], np.round(total[use], DIGITS), cutoff)]
+        r = row[use]
+        rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(keys)))[r] + 1
+        return keys[r], col[use], rank.astype(np.int32), total[use]
+
+    return multiply(a, b, keep, "user_id long, item_id long, rank int, score double", lambda: Rows(seen))
+
+
+def packed_weights(w: DataFrame, like: Packed) -> Packed:
+    """Weights (i, j, w) packed by i, whose ids lie as the columns of `like`."""
+    return pack(w, "i", "j", "w", cells=2 * like.size(), span=like.span())
+
+
+def item_lists(profiles: Packed, w: DataFrame | Packed, cutoff: int = 10) -> DataFrame:
+    """(user_id, item_id, rank, score) from item weights (i, j, w); profiles are packed by user."""
+    return ranked_product(profiles, w if isinstance(w, Packed) else packed_weights(w, profiles), profiles, cutoff)
+
+
+def user_lists(profiles: Packed, w: DataFrame, cutoff: int = 10) -> DataFrame:
+    """(user_id, item_id, rank, score) from user weights (i, j, w); profiles are packed by user."""
+    if not profiles.parts:
+        return ranked_product(profiles, profiles, profiles, cutoff)
+    low = profiles.parts[0][1]
+    return ranked_product(pack(w, "i", "j", "w", cells=2 * profiles.size(), span=(low, profiles.parts[-1][2] - low + 1)), profiles, profiles, cutoff)
+
+
 def factor_scores(users: DataFrame, items: DataFrame, singular: list[float] | None = None) -> DataFrame:
     """Scores of every user and item from (user_id, factors[, bias]) and (item_id, factors[, bias]); the items are the smaller, stated set."""
     i = items.withColumnRenamed("factors", "fi").withColumnRenamed("bias", "bi")

@@ -1,22 +1,27 @@
 """Column similarities of sparse matrices, feature weighting and top-k.
 
-The product of a matrix with its transpose is an equi-join on the row; only pairs i < j are formed and mirrored
-afterwards. Norms ride along with the cells, so the pairs are joined with nothing else. A row with l cells makes l*l/2 pairs;
-those of long rows are spread over several join keys.
+The product of a matrix with its transpose is formed from packed files (`packed.py`): the task that holds a target column looks up
+the rows that it lies in, and sends on the best of what it adds up. A row with l cells makes l*l terms, none of which is shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rank_in
+from ..sources.store import checkpointed
+from .packed import Packed, best, multiply, pack
 
 EPSILON = 1e-6
 #: Weights are ranked after rounding, so that the order of summation decides no tie.
 DIGITS = 9
 
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+#: Columns with so many places between the least and the greatest id may be as sparse as they are: a task keeps 12 bytes for each place.
+DENSE_SPAN = 1 << 22
 #: Rows with more cells are split before their pairs are formed.
 HOT_ROW = 512
 
@@ -107,24 +112,51 @@ def _pairs(m: DataFrame, norm, row_weights: DataFrame | None) -> DataFrame:
     return left.join(right, ["row", "part"]).where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.max("ni").alias("ni"), F.max("nj").alias("nj"))
 
 
+def _numbered(m: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """m with dense numbers in place of a column's values, and (column, idx)."""
+    from .matrix import dense_index
+
+    names = checkpointed(dense_index(m.select(column).where(F.col(column).isNotNull()).distinct(), column))
+    return m.join(names, column).drop(column).withColumnRenamed("idx", column), names
+
+
 def similarity(
-    m: DataFrame, kind: str = "cosine", shrink: float = 0.0, normalize: bool = True, top_k: int | None = 50, asymmetric_alpha: float = 0.5,
+    m: DataFrame | Packed, kind: str = "cosine", shrink: float = 0.0, normalize: bool = True, top_k: int | None = 50, asymmetric_alpha: float = 0.5,
     tversky_alpha: float = 1.0, tversky_beta: float = 1.0, row_weights: DataFrame | None = None,
 ) -> DataFrame:
-    """(i, j, w): weight of column i for target column j, without the diagonal and zeros; the top_k of each target."""
-    own = Window.partitionBy("col")
-    if kind in ("jaccard", "tanimoto", "dice", "tversky"):
-        m, norm = m.withColumn("data", F.lit(1.0)), F.count("*").over(own).cast("double")
+    """(i, j, w): weight of column i for target column j, without the diagonal and zeros; the top_k of each target.
+
+    m is (row, col, data), or packed by row. Columns that are no integers, or too sparse ones, are numbered first."""
+    sets = kind in ("jaccard", "tanimoto", "dice", "tversky")
+    if isinstance(m, Packed):
+        x, m = (m, m.cells("row", "col")) if not sets and kind not in ("adjusted", "pearson") else (None, m.cells("row", "col"))
     else:
-        if kind == "adjusted":
-            m = centred(m, "row")
-        elif kind == "pearson":
-            m = centred(m, "col")
-        norm = F.sqrt(F.sum(F.col("data") * F.col("data")).over(own))
-    pairs = _pairs(m, norm, row_weights)
-    d, s = F.col("d"), F.lit(float(shrink))
-
-    def weight(i, j):
+        x = None
+    kinds, names = dict(m.dtypes), None
+    if kinds["row"] not in INTEGERS:
+        m, rows = _numbered(m, "row")
+        row_weights = None if row_weights is None else row_weights.join(rows, "row").select(F.col("idx").alias("row"), "weight")
+    if kinds["col"] not in INTEGERS:
+        m, names = _numbered(m, "col")
+    if sets:
+        m = m.withColumn("data", F.lit(1.0))
+    elif kind in ("adjusted", "pearson"):
+        m = centred(m, "row" if kind == "adjusted" else "col")
+    x = pack(checkpointed(m.select("row", "col", "data")), "row", "col") if x is None else x
+    targets = pack(x.cells("row", "col"), "col", "row", cells=x.size(), span=x.span())
+    if x.span()[1] > max(DENSE_SPAN, 8 * sum(p[3] for p in targets.parts)):
+        m, names = _numbered(x.cells("row", "col"), "col")
+        x = pack(checkpointed(m.select("row", "col", "data")), "row", "col")
+        targets = pack(x.cells("row", "col"), "col", "row", cells=x.size(), span=x.span())
+    if row_weights is not None:
+        weighted = x.cells("row", "col").join(row_weights, "row").select("row", "col", (F.col("data") * F.col("weight")).alias("data"))
+        x = pack(checkpointed(weighted), "row", "col")
+    low, size = targets.parts[0][1] if targets.parts else 0, 0
+    if targets.parts:
+        size = targets.parts[-1][2] - low + 1
+    alpha, s = float(asymmetric_alpha), float(shrink)
+
+    def weight(d, i, j):
         if kind in ("jaccard", "tanimoto"):
             return d / (i + j - d + s + EPSILON)
         if kind == "dice":
@@ -134,13 +166,30 @@ def similarity(
         if not normalize:
             return d / s if shrink else d
         if kind == "asymmetric":
-            return d / (F.pow(j + EPSILON, F.lit(2 * asymmetric_alpha)) * F.pow(i + EPSILON, F.lit(2 * (1 - asymmetric_alpha))) + s + EPSILON)
+            return d / ((j + EPSILON) ** (2 * alpha) * (i + EPSILON) ** (2 * (1 - alpha)) + s + EPSILON)
         return d / (i * j + s + EPSILON)
 
-    ni, nj = F.col("ni"), F.col("nj")
-    both = F.array(F.struct(F.col("i"), F.col("j"), weight(ni, nj).alias("w")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), weight(nj, ni).alias("w")))
-    out = pairs.select(F.explode(both).alias("p")).select("p.i", "p.j", "p.w").where("w <> 0")
-    return out if top_k is None else top(out, top_k)
+    def norms() -> np.ndarray:
+        out = np.zeros(size)
+        for k in range(len(targets.parts)):
+            keys, _, _, _, squares = targets.load(k)
+            out[keys - low] = squares
+        return out if sets else np.sqrt(out)
+
+    def keep(keys, row, col, total, norm):
+        use = col != keys[row]
+        row, col, total = row[use], col[use], total[use]
+        w = weight(total, norm[col - low], norm[keys[row] - low])
+        use = np.flatnonzero(w != 0)
+        if top_k is not None:
+            use = use[best(row[use], np.round(w[use], DIGITS), top_k)]
+        return col[use], keys[row[use]], w[use]
+
+    out = multiply(targets, x, keep, "i long, j long, w double", norms)
+    if names is not None:
+        for c in ("i", "j"):
+            out = out.join(names.select(F.col("col").alias(f"__{c}"), F.col("idx").alias(c)), c).drop(c).withColumnRenamed(f"__{c}", c)
+    return out.select("i", "j", "w")
 
 
 def euclidean(m: DataFrame, mode: str = "lin", shrink: float = 0.0, normalize: bool = False, n_rows: DataFrame | None = None, top_k: int | None = 50) -> DataFrame:

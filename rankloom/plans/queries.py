@@ -16,7 +16,9 @@ from ..operators import recommend as rc
 from ..operators import similarity as sm
 from ..operators import split as sp
 from ..operators import statistics as st
+from ..operators.packed import Packed, pack
 from ..sources.readers import submission, unpivot_features
+from ..sources.store import checkpointed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -36,9 +38,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def bought(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return lines.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), "l_quantity")
+
+
 def urm(spark: SparkSession, d: str) -> DataFrame:
-    cells = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return mx.build(cells.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), "l_quantity"), "user_id", "item_id", "l_quantity")
+    return mx.build(bought(spark, d), "user_id", "item_id", "l_quantity")
 
 
 def cells(m: DataFrame) -> DataFrame:
@@ -68,7 +74,9 @@ def count_of(dimension: DataFrame) -> DataFrame:
 
 
 def parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = sp.holdout_user_wise(urm(spark, d))
+    # one shuffle by user serves the sums and the ranks; the split is stored, so that it is computed once
+    m = mx.build(bought(spark, d).repartition("user_id"), "user_id", "item_id", "l_quantity")
+    s = checkpointed(sp.holdout_user_wise(m))
     return s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
 
 
@@ -406,13 +414,19 @@ def itemknn(spark, d):
     return train, rc.item_scores(train, sm.similarity(cells(train), shrink=100))
 
 
+def itemknn_lists(spark, d, train: DataFrame) -> tuple[DataFrame, Packed, Packed]:
+    """Lists from an item-item cosine model, the profiles by user and the weights by i."""
+    profiles = pack(train, "user_id", "item_id")
+    w = rc.packed_weights(sm.similarity(profiles, shrink=100), profiles)
+    return rc.item_lists(profiles, w), profiles, w
+
+
 KNN = f"WITH {URM}{SPLIT}, {sim_sql(COSINE, 'train')}"
 
 
 @query(f"{KNN}, {recs_sql(ITEM_SCORES)}{RECS_OUT}")
 def itemknn_cf(spark, d):
-    train, scores = itemknn(spark, d)
-    return shown(rc.recommend(scores, train))
+    return shown(itemknn_lists(spark, d, parts(spark, d)[0])[0])
 
 
 @query(f"WITH {URM}{SPLIT}, {sim_sql(COSINE, 'train', 'item_id', 'user_id')}, {recs_sql('SELECT w.i AS user_id, t.item_id, sum(t.data * w.w) AS score FROM sim w JOIN train t ON t.user_id = w.j GROUP BY 1, 2')}{RECS_OUT}")

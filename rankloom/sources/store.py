@@ -33,10 +33,17 @@ def run_folder(spark: SparkSession) -> str:
     return path
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path, and the path in it."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return (pafs.LocalFileSystem(), uri) if "://" not in uri else pafs.FileSystem.from_uri(uri)
+
+
 def _clean() -> None:
     for path in _USED:
         try:
-            disk, at = (pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else (pafs.LocalFileSystem(), path) if "://" not in path else pafs.FileSystem.from_uri(path)
+            disk, at = filesystem(path)
             disk.delete_dir(at)
         except Exception:  # a store that is gone or that only Spark reaches keeps its folder
             pass
@@ -45,10 +52,16 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def release(spark: SparkSession) -> None:
+    """Spark removes shuffle files once the driver has collected what refers to them; without a collection they lie there to the end."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again."""
     path = f"{run_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
