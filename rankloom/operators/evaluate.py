@@ -6,10 +6,14 @@ users, those with a test item; counts of items and users come from dimension tab
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rank_in
+from ..sources.store import checkpointed
+from .packed import Packed, Rows, pack, ranges
 
 
 def _cuts(spark: SparkSession, cutoffs: list[int]) -> DataFrame:
@@ -103,17 +107,36 @@ def ratios(beyond: DataFrame, reference: DataFrame) -> DataFrame:
     return beyond.crossJoin(F.broadcast(ref)).select("cutoff", *[(F.col(n) / F.col(f"ref_{n}")).alias(f"ratio_{n}") for n in names])
 
 
-def list_diversity(recommendations: DataFrame, diversity: DataFrame, cutoff: int) -> DataFrame:
+def list_diversity(recommendations: DataFrame, diversity: DataFrame | Packed, cutoff: int) -> DataFrame:
     """(user_id, diversity): mean over the ordered pairs in a list, diversity (i, j, w) missing cells being 0; 0 for one item.
 
-    The last item of a list gives no pairs of its own, yet the mean is over all ordered pairs."""
-    lists = recommendations.where(F.col("rank") <= cutoff)
-    size = lists.groupBy("user_id").agg(F.count("*").alias("l"))
-    a = lists.select("user_id", F.col("item_id").alias("i"), F.col("rank").alias("ri")).join(size, "user_id").where("ri < l")
-    b = lists.select("user_id", F.col("item_id").alias("j"))
-    pairs = a.join(b, "user_id").where("i <> j").join(diversity, ["i", "j"], "left")
-    sums = pairs.groupBy("user_id").agg((F.sum(F.coalesce("w", F.lit(0.0))) / F.max(F.col("l") * (F.col("l") - 1))).alias("diversity"))
-    return size.join(sums, "user_id", "left").select("user_id", F.coalesce("diversity", F.lit(0.0)).alias("diversity"))
+    The last item of a list gives no pairs of its own, yet the mean is over all ordered pairs. A list looks up the rows of its items
+    (diversity is packed by i, or will be), so no pair is shuffled; a list is a row of ranks."""
+    w = diversity if isinstance(diversity, Packed) else pack(checkpointed(diversity), "i", "j", "w")
+    lists = pack(recommendations.where(F.col("rank") <= cutoff), "user_id", "item_id", "rank")
+
+    def run(batches):
+        for batch in batches:
+            rows = Rows(w)
+            for k in batch.column(0).to_pylist():
+                keys, starts, items, ranks, _ = lists.load(k)
+                for t in range(0, len(keys), 1024):
+                    own = starts[t : t + 1025]
+                    ids, size = items[own[0] : own[-1]].astype(np.int64), np.diff(own)
+                    user = np.repeat(np.arange(len(size)), size)
+                    asked, place = np.unique(ids, return_inverse=True)
+                    part, start, length = rows.find(asked)
+                    first, cols, data = rows.take(part, start, length)
+                    use = np.flatnonzero(ranks[own[0] : own[-1]] < size[user])
+                    at, n = ranges(first[place[use]], length[place[use]]), length[place[use]]
+                    # the terms of other items of the same list
+                    near = np.minimum(np.searchsorted(asked, cols[at]), len(asked) - 1)
+                    code, have = np.repeat(user[use], n) * len(asked) + near, np.sort(user * len(asked) + place)
+                    there = (asked[near] == cols[at]) & (have[np.minimum(np.searchsorted(have, code), len(have) - 1)] == code) & (np.repeat(ids[use], n) != cols[at])
+                    total = np.bincount(np.repeat(user[use], n)[there], data[at][there], len(size))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(keys[t : t + 1024])), pa.array(total / np.maximum(size * (size - 1), 1))], names=["user_id", "diversity"])
+
+    return lists.tasks().mapInArrow(run, "user_id long, diversity double")
 
 
 def restrict_to(scores: DataFrame, test: DataFrame, negatives: DataFrame) -> DataFrame:
