@@ -8,7 +8,7 @@ from rankloom.operators import recommend as rc
 from rankloom.operators import similarity as sm
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = ["itemknn_cf", "metric_list_diversity", "metrics_beyond", "rerank_feature_table", "user_groups_map"]
+QUERIES = ["itemknn_cf", "metric_list_diversity", "metrics_beyond", "rerank_feature_table", "user_groups_map", "metrics_ratio"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
