@@ -432,8 +432,8 @@ def itemknn_cf(spark, d):
 @query(f"WITH {URM}{SPLIT}, {sim_sql(COSINE, 'train', 'item_id', 'user_id')}, {recs_sql('SELECT w.i AS user_id, t.item_id, sum(t.data * w.w) AS score FROM sim w JOIN train t ON t.user_id = w.j GROUP BY 1, 2')}{RECS_OUT}")
 def userknn_cf(spark, d):
     train, _ = parts(spark, d)
-    w = sm.similarity(train.select(F.col("item_id").alias("row"), F.col("user_id").alias("col"), "data"), shrink=100)
-    return shown(rc.recommend(rc.user_scores(train, w), train))
+    w = sm.similarity(pack(train, "item_id", "user_id"), shrink=100)
+    return shown(rc.user_lists(pack(train, "user_id", "item_id"), w))
 
 
 @query(f"WITH {URM}{SPLIT}, {ICM}, {sim_sql('d / (ni * nj + 2 + 1e-6)', 'icm', 'feature_id', 'item_id')}, {recs_sql(ITEM_SCORES)}{RECS_OUT}")
