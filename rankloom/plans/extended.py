@@ -12,8 +12,9 @@ from ..operators import recommend as rc
 from ..operators import similarity as sm
 from ..operators import split as sp
 from ..operators import statistics as st
+from ..operators.packed import pack
 from ..sources import readers, store
-from ..sources.store import run_folder
+from ..sources.store import checkpointed, run_folder
 from . import queries as q
 from .queries import COSINE, HASH, ICM, ITEM_SCORES, KNN, RECS_OUT, SPLIT, UCM, URM, query, recs_sql, rounded, shown, sim_sql
 
@@ -176,8 +177,9 @@ POP = "pops AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id
 
 @query(f"{KNN}, {recs_sql(ITEM_SCORES)}, {POP} SELECT user_id, item_id, count(*) AS sources FROM (SELECT user_id, item_id FROM recs UNION ALL SELECT user_id, item_id FROM pops WHERE rank <= 10) GROUP BY 1, 2")
 def candidate_pool(spark, d):
-    train, scores = q.itemknn(spark, d)
-    return rc.candidate_pool(rc.recommend(scores, train), rc.most_popular(train))
+    train, _ = q.parts(spark, d)
+    lists = checkpointed(q.itemknn_lists(spark, d, train)[0])
+    return rc.candidate_pool(lists, rc.most_popular(train))
 
 
 @query(f"WITH {URM}{SPLIT}, {POP} SELECT user_id, item_id, rank FROM pops WHERE rank <= least(5, (SELECT count(*) FROM region) - 1)")
