@@ -414,6 +414,13 @@ def itemknn(spark, d):
     return train, rc.item_scores(train, sm.similarity(cells(train), shrink=100))
 
 
+def below(features: DataFrame, m: DataFrame, column: str) -> DataFrame:
+    """features with a number `row` in place of feature_id, below all values of a column of m."""
+    names = checkpointed(mx.dense_index(features.select("feature_id").distinct(), "feature_id"))
+    least = m.agg(F.coalesce(F.least(F.min(column), F.lit(0)), F.lit(0)).alias("least"))
+    return features.join(names, "feature_id").crossJoin(F.broadcast(least)).withColumn("row", F.col("least") - 1 - F.col("idx"))
+
+
 def itemknn_lists(spark, d, train: DataFrame) -> tuple[DataFrame, Packed, Packed]:
     """Lists from an item-item cosine model, the profiles by user and the weights by i."""
     profiles = pack(train, "user_id", "item_id")
@@ -453,9 +460,9 @@ def userknn_cbf(spark, d):
 @query(f"WITH {URM}{SPLIT}, {ICM}, joint AS (SELECT CAST(user_id AS VARCHAR) AS f, item_id, data FROM train UNION ALL SELECT 'x' || feature_id, item_id, data * 5.0 FROM icm), {sim_sql(COSINE, 'joint', 'f', 'item_id')}, {recs_sql(ITEM_SCORES)}{RECS_OUT}")
 def itemknn_cfcbf(spark, d):
     train, _ = parts(spark, d)
-    own = train.select(F.col("user_id").cast("string").alias("row"), F.col("item_id").alias("col"), "data")
-    joint = own.union(icm(spark, d).select(F.concat(F.lit("x"), "feature_id"), "item_id", F.col("data") * 5.0))
-    return shown(rc.recommend(rc.item_scores(train, sm.similarity(joint, shrink=100)), train))
+    own = train.select(F.col("user_id").alias("row"), F.col("item_id").alias("col"), "data")
+    joint = own.union(below(icm(spark, d), train, "user_id").select("row", "item_id", F.col("data") * 5.0))
+    return shown(rc.item_lists(pack(train, "user_id", "item_id"), sm.similarity(joint, shrink=100)))
 
 
 def walk_sql(beta: float, normalise: bool) -> str:
