@@ -161,9 +161,9 @@ def random_lists(spark, d):
 @query(f"WITH {URM}{SPLIT}, {UCM}, joint AS (SELECT CAST(item_id AS VARCHAR) AS f, user_id, data FROM train UNION ALL SELECT 'x' || feature_id, user_id, data * 3.0 FROM ucm), {sim_sql(COSINE, 'joint', 'f', 'user_id')}, {recs_sql('SELECT w.i AS user_id, t.item_id, sum(t.data * w.w) AS score FROM sim w JOIN train t ON t.user_id = w.j GROUP BY 1, 2')}{RECS_OUT}")
 def userknn_cfcbf(spark, d):
     train, _ = q.parts(spark, d)
-    own = train.select(F.col("item_id").cast("string").alias("row"), F.col("user_id").alias("col"), "data")
-    joint = own.union(q.ucm(spark, d).select(F.concat(F.lit("x"), "feature_id"), "user_id", F.col("data") * 3.0))
-    return shown(rc.recommend(rc.user_scores(train, sm.similarity(joint, shrink=100)), train))
+    own = train.select(F.col("item_id").alias("row"), F.col("user_id").alias("col"), "data")
+    joint = own.union(q.below(q.ucm(spark, d), train, "item_id").select("row", "user_id", F.col("data") * 3.0))
+    return shown(rc.user_lists(pack(train, "user_id", "item_id"), sm.similarity(joint, shrink=100)))
 
 
 @query(f"{KNN}, {recs_sql(ITEM_SCORES.replace('FROM train t', 'FROM test t'), 'test')}{RECS_OUT}")
