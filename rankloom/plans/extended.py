@@ -45,8 +45,8 @@ W_SCORES = "SELECT t.user_id, w.j AS item_id, sum(t.data * w.w) AS score FROM we
 
 def _weighted_knn(spark, d, kind):
     train, _ = q.parts(spark, d)
-    profiles = sm.weighted_profiles(train, kind, q.count_of(q.items(spark, d)))
-    return shown(rc.recommend(rc.item_scores(profiles, sm.similarity(q.cells(profiles), shrink=100)), train))
+    profiles = pack(checkpointed(sm.weighted_profiles(train, kind, q.count_of(q.items(spark, d)))), "user_id", "item_id")
+    return shown(rc.item_lists(profiles, sm.similarity(profiles, shrink=100)))
 
 
 @query(f"WITH {URM}{SPLIT}, {_weighted('TF-IDF', 'item_id')}, {sim_sql(COSINE, 'weighted')}, {recs_sql(W_SCORES)}{RECS_OUT}")
