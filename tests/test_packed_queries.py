@@ -8,7 +8,7 @@ from rankloom.operators import recommend as rc
 from rankloom.operators import similarity as sm
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = ["itemknn_cf", "metric_list_diversity", "metrics_beyond", "rerank_feature_table", "user_groups_map", "metrics_ratio", "metrics_accuracy", "userknn_cf", "candidate_pool", "itemknn_cfcbf", "userknn_cfcbf", "itemknn_cf_tfidf", "sim_common_delta", "sim_dot", "sim_hybrid", "sim_rowweighted", "submission_rows"]
+QUERIES = ["itemknn_cf", "metric_list_diversity", "metrics_beyond", "rerank_feature_table", "user_groups_map", "metrics_ratio", "metrics_accuracy", "userknn_cf", "candidate_pool", "itemknn_cfcbf", "userknn_cfcbf", "itemknn_cf_tfidf", "sim_common_delta", "sim_dot", "sim_hybrid", "sim_rowweighted", "submission_rows", "itemknn_cbf"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
