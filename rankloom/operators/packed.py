@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import filesystem, release, run_folder
+from ..sources.store import filesystem, release, run_folder, stored
 
 #: Cells that a file of a packed matrix should hold, and the files at least and at most.
 CELLS, LEAST_FILES, MOST_FILES = 500_000, 12, 4_096
@@ -93,7 +93,7 @@ def pack(m: DataFrame, key: str, col: str, data: str = "data", cells: int | None
     spark = m.sparkSession
     m = m.select(F.col(key).cast("long").alias("key"), F.col(col).cast("long").alias("col"), F.col(data).cast("double").alias("data")).where("key is not null and col is not null")
     n = min(MOST_FILES, max(LEAST_FILES, -(-(m.count() if cells is None else cells) // CELLS)))
-    folder = f"{run_folder(spark)}/packed-{uuid.uuid4().hex}"
+    folder = _folder(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         disk, top = filesystem(folder)
@@ -116,12 +116,42 @@ def pack(m: DataFrame, key: str, col: str, data: str = "data", cells: int | None
     else:
         low, size = span
         dealt = m.repartitionById(n, F.least(F.greatest(F.floor((F.col("key") - low) * F.lit(n / max(1, size))), F.lit(0)), F.lit(n - 1)).cast("int"))
-    parts = dealt.sortWithinPartitions("key", "col").mapInArrow(run, "file string, low long, high long, rows long, cells long, least long, most long, cols string, kind string").collect()
+    parts = dealt.sortWithinPartitions("key", "col").mapInArrow(run, PARTS).collect()
     del dealt, m
     release(spark)
     return Packed(folder, sorted((tuple(p) for p in parts), key=lambda p: p[1]), spark)
 
 
+def _folder(spark: SparkSession) -> str:
+    return stored(f"{run_folder(spark)}/packed-{uuid.uuid4().hex}")
+
+
+PARTS = "file string, low long, high long, rows long, cells long, least long, most long, cols string, kind string"
+
+
+def scaled_rows(x: Packed, weights: Packed) -> Packed:
+    """x with the data of each row times its weight (rows and one column of `weights`), without the rows that have none; each part is written anew where it is, nothing is shuffled."""
+    folder = _folder(x.spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disk, top = filesystem(folder)
+        disk.create_dir(top, recursive=True)
+        known = Rows(weights)
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                keys, starts, cols, data, _ = x.load(k)
+                part, start, length = known.find(np.asarray(keys))
+                have, size = length > 0, np.diff(starts)
+                if have.any():
+                    factor = np.zeros(len(keys))
+                    factor[have] = known.take(part, start, length)[2]
+                    use = np.repeat(have, size)
+                    yield _written(disk, top, np.repeat(keys, size)[use], cols[use], (data * np.repeat(factor, size))[use])
+
+    parts = x.tasks().mapInArrow(run, PARTS).collect()
+    return Packed(folder, sorted((tuple(p) for p in parts), key=lambda p: p[1]), x.spark)
+
+
 def _written(disk, top: str, keys: Array, cols: Array, values: Array) -> pa.RecordBatch:
     """What one file holds; ids and data take four bytes where nothing is lost."""
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))

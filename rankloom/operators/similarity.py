@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rank_in
-from ..sources.store import checkpointed
-from .packed import Packed, best, multiply, pack
+from ..sources.store import checkpointed, remove, scratch
+from .packed import Packed, best, multiply, pack, scaled_rows
 
 EPSILON = 1e-6
 #: Weights are ranked after rounding, so that the order of summation decides no tie.
@@ -120,6 +120,17 @@ def _numbered(m: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     return m.join(names, column).drop(column).withColumnRenamed("idx", column), names
 
 
+def _packed(m: DataFrame) -> Packed:
+    """m by row; the table that Spark samples and packs is gone afterwards."""
+    with scratch() as stay:
+        return stay(pack(checkpointed(m.select("row", "col", "data")), "row", "col"))
+
+
+def _rows(x: Packed) -> tuple[int, int]:
+    """Least row and how many places there are to the greatest."""
+    return (x.parts[0][1], x.parts[-1][2] - x.parts[0][1] + 1) if x.parts else (0, 0)
+
+
 def similarity(
     m: DataFrame | Packed, kind: str = "cosine", shrink: float = 0.0, normalize: bool = True, top_k: int | None = 50, asymmetric_alpha: float = 0.5,
     tversky_alpha: float = 1.0, tversky_beta: float = 1.0, row_weights: DataFrame | None = None,
@@ -132,7 +143,7 @@ def similarity(
         x, m = (m, m.cells("row", "col")) if not sets and kind not in ("adjusted", "pearson") else (None, m.cells("row", "col"))
     else:
         x = None
-    kinds, names = dict(m.dtypes), None
+    kinds, names, given = dict(m.dtypes), None, x is not None
     if kinds["row"] not in INTEGERS:
         m, rows = _numbered(m, "row")
         row_weights = None if row_weights is None else row_weights.join(rows, "row").select(F.col("idx").alias("row"), "weight")
@@ -142,15 +153,18 @@ def similarity(
         m = m.withColumn("data", F.lit(1.0))
     elif kind in ("adjusted", "pearson"):
         m = centred(m, "row" if kind == "adjusted" else "col")
-    x = pack(checkpointed(m.select("row", "col", "data")), "row", "col") if x is None else x
+    x = _packed(m) if x is None else x
     targets = pack(x.cells("row", "col"), "col", "row", cells=x.size(), span=x.span())
     if x.span()[1] > max(DENSE_SPAN, 8 * sum(p[3] for p in targets.parts)):
         m, names = _numbered(x.cells("row", "col"), "col")
-        x = pack(checkpointed(m.select("row", "col", "data")), "row", "col")
+        x = _packed(m)
         targets = pack(x.cells("row", "col"), "col", "row", cells=x.size(), span=x.span())
     if row_weights is not None:
-        weighted = x.cells("row", "col").join(row_weights, "row").select("row", "col", (F.col("data") * F.col("weight")).alias("data"))
-        x = pack(checkpointed(weighted), "row", "col")
+        with scratch() as stay:
+            scaled = stay(scaled_rows(x, pack(row_weights.withColumn("col", F.lit(0)), "row", "col", "weight", cells=x.size(), span=_rows(x))))
+        if not given:
+            remove(x.folder)
+        x = scaled
     low, size = targets.parts[0][1] if targets.parts else 0, 0
     if targets.parts:
         size = targets.parts[-1][2] - low + 1

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -40,13 +43,18 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), uri) if "://" not in uri else pafs.FileSystem.from_uri(uri)
 
 
+def remove(path: str) -> None:
+    """Delete a folder; a store that is gone or that only Spark reaches keeps it."""
+    try:
+        disk, at = filesystem(path)
+        disk.delete_dir(at)
+    except Exception:
+        pass
+
+
 def _clean() -> None:
     for path in _USED:
-        try:
-            disk, at = filesystem(path)
-            disk.delete_dir(at)
-        except Exception:  # a store that is gone or that only Spark reaches keeps its folder
-            pass
+        remove(path)
 
 
 atexit.register(_clean)
@@ -54,15 +62,51 @@ atexit.register(_clean)
 
 def release(spark: SparkSession) -> None:
     """Spark removes shuffle files once the driver has collected what refers to them; without a collection they lie there to the end."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+#: Folders stored in each open `scratch`.
+_SCRATCH: list[list[str]] = []
+
+
+def stored(folder: str) -> str:
+    """Note a folder that is about to be written, for the innermost `scratch`."""
+    if _SCRATCH:
+        _SCRATCH[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def scratch() -> Iterator[Callable]:
+    """Tables and packed matrices stored inside are removed at the end, except those given to what this yields; nothing that is read later may be lazy on the others."""
+    own: list[str] = []
+    stay: list[str] = []
+
+    def keep(kept):
+        stay.append(kept.folder)
+        return kept
+
+    _SCRATCH.append(own)
+    try:
+        yield keep
+    finally:
+        del _SCRATCH[next(k for k, x in enumerate(_SCRATCH) if x is own)]
+        for folder in own:
+            if folder in stay:
+                stored(folder)
+            else:
+                remove(folder)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    path = f"{run_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again; `folder` is where it lies."""
+    path = stored(f"{run_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
     df.write.parquet(path)
     release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
 def _scalars(spark: SparkSession, path: str, values: dict | None) -> dict | None:
