@@ -5,6 +5,8 @@ import os
 import duckdb
 
 import __spark_entry__ as entry
+from rankloom.operators import packed as pk
+from rankloom.operators import similarity as sm
 from rankloom.sources import store
 
 DATA = "/root/testdata/sf0.001"
@@ -30,3 +32,16 @@ def check(spark, name, most, oracle=True):
 
 def test_sim_dot_leaves_the_packed_matrix_and_its_transpose(spark):
     check(spark, "sim_dot", 2)
+
+
+def test_sim_rowweighted_leaves_the_packed_matrices(spark):
+    check(spark, "sim_rowweighted", 2)
+
+
+def test_scaled_rows_shuffles_nothing_and_drops_rows_without_weight(spark, monkeypatch):
+    x = pk.pack(spark.createDataFrame([(r, c, float(r + c)) for r in range(1, 40) for c in range(r % 7)], "row long, col long, data double"), "row", "col")
+    weights = pk.pack(spark.createDataFrame([(r, 0, r / 2) for r in range(0, 60, 3)], "row long, col long, data double"), "row", "col")
+    got = pk.scaled_rows(x, weights).cells("row", "col").collect()
+    assert sorted(map(tuple, got)) == sorted((r, c, (r + c) * r / 2) for r in range(3, 40, 3) for c in range(r % 7))
+    w = sm.similarity(x, row_weights=spark.createDataFrame([], "row long, weight double"))
+    assert w.count() == 0
