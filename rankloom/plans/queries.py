@@ -18,7 +18,7 @@ from ..operators import split as sp
 from ..operators import statistics as st
 from ..operators.packed import Packed, pack
 from ..sources.readers import submission, unpivot_features
-from ..sources.store import checkpointed
+from ..sources.store import checkpointed, scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -424,7 +424,8 @@ def below(features: DataFrame, m: DataFrame, column: str) -> DataFrame:
 def itemknn_lists(spark, d, train: DataFrame) -> tuple[DataFrame, Packed, Packed]:
     """Lists from an item-item cosine model, the profiles by user and the weights by i."""
     profiles = pack(train, "user_id", "item_id")
-    w = rc.packed_weights(sm.similarity(profiles, shrink=100), profiles)
+    with scratch() as stay:
+        w = stay(rc.packed_weights(sm.similarity(profiles, shrink=100), profiles))
     return rc.item_lists(profiles, w), profiles, w
 
 
@@ -526,7 +527,9 @@ CUTS = "cuts AS (SELECT unnest([5, 10]) AS cutoff)"
 
 def evaluated(spark, d):
     train, test = parts(spark, d)
-    return checkpointed(itemknn_lists(spark, d, train)[0]), test, train
+    with scratch() as stay:
+        recs = stay(checkpointed(itemknn_lists(spark, d, train)[0]))
+    return recs, test, train
 
 
 @query(f"""{RECS}, {CUTS}, sizes AS (SELECT user_id, count(*) AS t FROM test GROUP BY 1), hits AS (SELECT r.*, t.data AS value, CASE WHEN t.data IS NULL THEN 0 ELSE 1 END AS rel FROM recs r LEFT JOIN test t USING (user_id, item_id)),

@@ -6,6 +6,7 @@ import atexit
 import gc
 import json
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -63,6 +64,7 @@ atexit.register(_clean)
 def release(spark: SparkSession) -> None:
     """Spark removes shuffle files once the driver has collected what refers to them; without a collection they lie there to the end."""
     gc.collect()
+    time.sleep(0.2)  # the events of the last job refer to its plan until the listeners have had them
     spark.sparkContext._jvm.System.gc()
 
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 from rankloom.operators import packed as pk
@@ -38,6 +39,11 @@ def test_sim_rowweighted_leaves_the_packed_matrices(spark):
     check(spark, "sim_rowweighted", 2)
 
 
+@pytest.mark.parametrize("name", ["rerank_feature_table"])
+def test_evaluation_leaves_the_split_and_the_lists(spark, name):
+    check(spark, name, 3 if name == "user_groups_map" else 2)
+
+
 def test_scaled_rows_shuffles_nothing_and_drops_rows_without_weight(spark, monkeypatch):
     x = pk.pack(spark.createDataFrame([(r, c, float(r + c)) for r in range(1, 40) for c in range(r % 7)], "row long, col long, data double"), "row", "col")
     weights = pk.pack(spark.createDataFrame([(r, 0, r / 2) for r in range(0, 60, 3)], "row long, col long, data double"), "row", "col")
