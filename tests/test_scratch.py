@@ -39,7 +39,7 @@ def test_sim_rowweighted_leaves_the_packed_matrices(spark):
     check(spark, "sim_rowweighted", 2)
 
 
-@pytest.mark.parametrize("name", ["rerank_feature_table", "user_groups_map", "metrics_ratio"])
+@pytest.mark.parametrize("name", ["rerank_feature_table", "user_groups_map", "metrics_ratio", "metrics_accuracy"])
 def test_evaluation_leaves_the_split_and_the_lists(spark, name):
     check(spark, name, 3 if name == "user_groups_map" else 2)
 
