@@ -7,12 +7,13 @@ the rows that it lies in, and sends on the best of what it adds up. A row with l
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rank_in
 from ..sources.store import checkpointed, remove, scratch
-from .packed import Packed, best, multiply, pack, scaled_rows
+from .packed import Packed, Rows, best, multiply, pack, ranges, scaled_rows
 
 EPSILON = 1e-6
 #: Weights are ranked after rounding, so that the order of summation decides no tie.
@@ -22,6 +23,8 @@ DIGITS = 9
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 #: Columns with so many places between the least and the greatest id may be as sparse as they are: a task keeps 12 bytes for each place.
 DENSE_SPAN = 1 << 22
+#: A matrix whose product has so many terms a cell is of long rows: its equal columns are put together first.
+MANY_TERMS = 500
 #: Rows with more cells are split before their pairs are formed.
 HOT_ROW = 512
 
@@ -131,6 +134,39 @@ def _rows(x: Packed) -> tuple[int, int]:
     return (x.parts[0][1], x.parts[-1][2] - x.parts[0][1] + 1) if x.parts else (0, 0)
 
 
+def _terms(x: Packed) -> float:
+    """Terms of the product of a matrix, packed by row, with its transpose."""
+
+    def run(batches):
+        for b in batches:
+            n = [float((np.diff(x.load(k)[1]).astype(float) ** 2).sum()) for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(n)], names=["n"])
+
+    return x.tasks().mapInArrow(run, "n double").agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
+
+
+def _classes(targets: Packed) -> DataFrame:
+    """(col, first): the least of the columns that equal it in all cells, by 128 bits of hashes of these; targets are packed by column."""
+
+    def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+        x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
+
+    def run(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                keys, starts, rows, data, _ = targets.load(k)
+                out = []
+                for salt in (0x632BE59BD9B4E019, 0xA24BAED4963EE407):
+                    cell = mixed(mixed(rows.astype(np.int64).view(np.uint64), salt) + data.astype(float).view(np.uint64), salt)
+                    out.append(pa.array(np.add.reduceat(cell, np.asarray(starts[:-1])).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(keys)), *out], names=["col", "a", "b"])
+
+    signed = checkpointed(targets.tasks().mapInArrow(run, "col long, a long, b long"))
+    return checkpointed(signed.join(signed.groupBy("a", "b").agg(F.min("col").alias("first")), ["a", "b"]).select("col", "first"))
+
+
 def similarity(
     m: DataFrame | Packed, kind: str = "cosine", shrink: float = 0.0, normalize: bool = True, top_k: int | None = 50, asymmetric_alpha: float = 0.5,
     tversky_alpha: float = 1.0, tversky_beta: float = 1.0, row_weights: DataFrame | None = None,
@@ -165,9 +201,18 @@ def similarity(
         if not given:
             remove(x.folder)
         x = scaled
-    low, size = targets.parts[0][1] if targets.parts else 0, 0
-    if targets.parts:
-        size = targets.parts[-1][2] - low + 1
+    member = None
+    if top_k is not None and row_weights is None and _terms(x) > MANY_TERMS * x.size():
+        member = _classes(targets)
+        with scratch() as stay:
+            first = member.where("col = first").select("col")
+            x = stay(_packed(x.cells("row", "col").join(first, "col", "left_semi")))
+            targets = stay(pack(x.cells("row", "col"), "col", "row", cells=x.size(), span=x.span()))
+            # a list shows no more than its length and the target itself of any class
+            shown = Window.partitionBy("first").orderBy("col")
+            firsts = member.select("first", "col", F.row_number().over(shown).alias("k")).where(F.col("k") <= top_k + 1)
+            firsts = stay(pack(checkpointed(firsts), "first", "col", "k", cells=targets.size(), span=_rows(targets)))
+    low, size = _rows(targets)
     alpha, s = float(asymmetric_alpha), float(shrink)
 
     def weight(d, i, j):
@@ -199,7 +244,30 @@ def similarity(
             use = use[best(row[use], np.round(w[use], DIGITS), top_k)]
         return col[use], keys[row[use]], w[use]
 
-    out = multiply(targets, x, keep, "i long, j long, w double", norms)
+    def keep_classes(keys, row, col, total, shared):
+        """Lists of classes, one place longer and with the class itself: the best classes by their first columns have the best columns."""
+        norm, known = shared
+        w = weight(total, norm[col - low], norm[keys[row] - low])
+        use = np.flatnonzero(w != 0)
+        use = use[best(row[use], np.round(w[use], DIGITS), top_k + 1)]
+        asked, place = np.unique(col[use], return_inverse=True)
+        part, start, length = known.find(asked)
+        begin, columns, _ = known.take(part, start, length)
+        n = length[place]
+        r, i, v = np.repeat(row[use], n), columns[ranges(begin[place], n)], np.repeat(w[use], n)
+        order = np.lexsort((i, r))
+        r, i, v = r[order], i[order], v[order]
+        use = best(r, np.round(v, DIGITS), top_k + 1)
+        r = r[use]
+        return i[use], keys[r], v[use], (np.arange(len(r)) - np.searchsorted(r, np.arange(len(keys)))[r]).astype(np.int32)
+
+    if member is None:
+        out = multiply(targets, x, keep, "i long, j long, w double", norms)
+    else:
+        lists = multiply(targets, x, keep_classes, "i long, j long, w double, at int", lambda: (norms(), Rows(firsts)))
+        lists = checkpointed(lists.groupBy("j").agg(F.array_sort(F.collect_list(F.struct("at", "i", "w"))).alias("l")).withColumnRenamed("j", "first"))
+        own = F.slice(F.filter("l", lambda e: e["i"] != F.col("col")), 1, top_k)
+        out = member.join(lists, "first").select(F.col("col").alias("j"), F.explode(own).alias("e")).select("e.i", "j", "e.w")
     if names is not None:
         for c in ("i", "j"):
             out = out.join(names.select(F.col("col").alias(f"__{c}"), F.col("idx").alias(c)), c).drop(c).withColumnRenamed(f"__{c}", c)
