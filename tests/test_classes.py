@@ -19,3 +19,17 @@ def test_equal_columns_are_put_together_and_make_the_same_lists(spark, monkeypat
     got = sorted(map(tuple, sm.similarity(m, kind, 2, top_k=20).collect()))
     assert asked == [len({tuple(sorted(r for r, c, _ in rows if c == k)) for k in range(300)})] and asked[0] < 40
     assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want]) and len(got) == 6000
+
+
+def test_sim_hybrid_forms_no_pairs_of_all_items(spark, monkeypatch):
+    """At 6 x sf0.1 the pairs of items that share a feature took the query beyond its time."""
+    import __spark_entry__ as entry
+
+    sizes = []
+    real = sm._classes
+    monkeypatch.setattr(sm, "MANY_TERMS", 2)
+    monkeypatch.setattr(sm, "_classes", lambda targets: (sizes.append(targets.size()), real(targets))[1])
+    want = sorted(map(tuple, entry.queries()["sim_hybrid"](spark, "/root/testdata/sf0.001").collect()))
+    assert len(sizes) == 2
+    monkeypatch.setattr(sm, "MANY_TERMS", 1e18)
+    assert want == sorted(map(tuple, entry.queries()["sim_hybrid"](spark, "/root/testdata/sf0.001").collect())) and want
