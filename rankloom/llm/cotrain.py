@@ -56,6 +56,8 @@ FOR = 1.0
 BINS, SPAN = 64, 16.0
 #: Weight of a document without near copies.
 UNIT = 1000
+#: Bytes of text whose features are found at once: scratch arrays take about 40 times as much, in each Python worker of an executor.
+SLICE = 1 << 20
 
 
 @dataclass
@@ -151,7 +153,7 @@ def candidates(labelled: DataFrame) -> list[np.ndarray]:
     """For each view the sorted features that differ at least weakly between the classes of the labelled rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tc.slices(batches, "text", 4 << 20):
+        for b in tc.slices(batches, "text", SLICE):
             label = b.column(5).to_numpy(zero_copy_only=False).astype(np.int64)
             for view, (row, key) in enumerate(_features(b)[0]):
                 u, inv = np.unique(key, return_inverse=True)
@@ -177,7 +179,7 @@ def _facts(src: DataFrame, keys: list[np.ndarray]) -> DataFrame:
     shipped = src.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tc.slices(batches, "text"):
+        for b in tc.slices(batches, "text", SLICE):
             pairs, words, w = _features(b)
             cols = []
             for k, (row, key) in enumerate(pairs):
@@ -408,7 +410,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for b in tc.slices(batches, text_col):
+        for b in tc.slices(batches, text_col, SLICE):
             own = [b.column(b.schema.get_field_index(c)) for c in (text_col, lang_col, source_col)]
             length = pa.nulls(b.num_rows, pa.int64()) if length_col is None else b.column(b.schema.get_field_index(length_col)).cast(pa.int64())
             pairs, words, _ = _features(pa.RecordBatch.from_arrays([own[0], *own, length], names=["id", "text", "lang", "source", "length"]))
