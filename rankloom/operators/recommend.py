@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,11 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dot, rank_in
+from ..sources.store import checkpointed, scratch
 from .matrix import dense_index
 from .packed import Packed, Rows, best, multiply, pack
 from .similarity import DIGITS, top
 
-#: Parts of the users that meet each block of items.
+#: Parts of the users whose scores are made.
 USER_PARTS = 64
 
 
@@ -141,48 +144,58 @@ def candidate_pool(*lists: DataFrame) -> DataFrame:
 
 
 def factor_top(users: DataFrame, items: DataFrame, cutoff: int = 10, seen: DataFrame | None = None, block: int = 4096) -> DataFrame:
-    """(user_id, item_id, score): for each user and block of items the `cutoff` best unseen items of that block.
+    """(user_id, item_id, score): for each user the `cutoff` best unseen items, ties by item id.
 
-    Blocks of users meet blocks of items as matrices; no row is made for a pair of a user and an item, and `recommend` ranks what
-    the blocks send on. users and items hold (id, factors[, bias])."""
-    own = None if seen is None else seen.groupBy("user_id").agg(F.collect_list("item_id").alias("seen"))
+    The items are packed; a task of users takes them block by block as matrices and holds the best so far, so no row is made for a user and a
+    block, and `recommend` ranks what is left. users and items hold (id, factors[, bias])."""
+    own = None if seen is None else seen.groupBy("user_id").agg(F.sort_array(F.collect_list("item_id")).alias("seen"))
     u = users if own is None else users.join(own, "user_id", "left")
     u = u.select("user_id", "factors", F.col("bias") if "bias" in users.columns else F.lit(0.0).alias("bias"), F.col("seen") if own is not None else F.lit(None).cast("array<long>").alias("seen"))
-    size = items.count()
-    blocks = max(1, -(-size // block))
-    i = items.select(F.col("item_id").cast("long").alias("item_id"), "factors", F.col("bias") if "bias" in items.columns else F.lit(0.0).alias("bias"), F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("b"))
-    packed = i.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("item_id", "factors", "bias"))).alias("x")).select("b", F.col("x.item_id").alias("ids"), F.flatten("x.factors").alias("m"), F.col("x.bias").alias("bias"))
+    bias = F.col("bias") if "bias" in items.columns else F.lit(0.0)
+    with scratch() as stay:
+        cells = checkpointed(items.select(F.col("item_id").cast("long").alias("item_id"), F.posexplode(F.concat("factors", F.array(bias))).alias("k", "x")))
+        table = stay(pack(cells, "item_id", "k", "x"))
     k = cutoff
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows or not left.num_rows:
-            return pa.table({"user_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids = right.column("ids")[0].values.to_numpy()
-        m = right.column("m")[0].values.to_numpy().reshape(len(ids), -1)
-        bias = right.column("bias")[0].values.to_numpy()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for part in left.to_batches(max_chunksize=512):
-            f = np.array(part.column("factors").to_pylist(), float)
-            s = f @ m.T + bias + part.column("bias").to_numpy()[:, None]
-            for r, known in enumerate(part.column("seen").to_pylist()):
-                if known:
-                    at = np.minimum(np.searchsorted(ids, known), len(ids) - 1)
-                    s[r, at[ids[at] == known]] = -np.inf
-            below = -np.round(s, DIGITS)
-            least = np.partition(below, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-            r, c = np.nonzero((below <= least[:, None]) & np.isfinite(below))
-            order = np.lexsort((ids[c], below[r, c], r))
-            r, c = r[order], c[order]
-            first = np.searchsorted(r, np.arange(len(s)))
-            ok = np.arange(len(r)) - first[r] < k
-            out.append((part.column("user_id").to_numpy()[r[ok]], ids[c[ok]], s[r[ok], c[ok]]))
-        a, b, c = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"user_id": pa.array(a, pa.int64()), "item_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    # users in parts of a fixed number of keys, so that a block of items meets them in several tasks
-    dealt = u.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(USER_PARTS))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    spread = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(USER_PARTS - 1).cast("long"))))
-    return dealt.groupBy("b", "part").cogroup(spread.groupBy("b", "part")).applyInArrow(run, "user_id long, item_id long, score double")
+    def found(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, items and scores of the best of some users."""
+        f = np.array(part.column(1).to_pylist(), float)
+        known, plus = part.column(3).to_pylist(), part.column(2).to_numpy()[:, None]
+        least = np.full(len(f), -np.inf)
+        row, item, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for p in range(len(table.parts)):
+            keys, starts, _, data, _ = table.load(p)
+            for t in range(0, len(keys), block):
+                ids = np.asarray(keys[t : t + block])
+                m = np.asarray(data[starts[t] : starts[t + len(ids)]], float).reshape(len(ids), -1)
+                s = f @ m[:, :-1].T + m[:, -1] + plus
+                for r, x in enumerate(known):
+                    if x:
+                        x = x[bisect_left(x, ids[0]) : bisect_right(x, ids[-1])]
+                        if x:
+                            at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+                            s[r, at[ids[at] == x]] = -np.inf
+                bound = least - 10.0**-DIGITS
+                if len(ids) > k and np.isinf(least).any():
+                    bound = np.maximum(bound, np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] - 10.0**-DIGITS)
+                r, c = np.nonzero((s >= bound[:, None]) & np.isfinite(s))
+                if len(r):
+                    row, item, score = np.concatenate([row, r]), np.concatenate([item, ids[c]]), np.concatenate([score, s[r, c]])
+                    order = np.lexsort((item, -np.round(score, DIGITS), row))
+                    row, item, score = row[order], item[order], score[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(f)))[row]
+                    least[row[place == k - 1]] = score[place == k - 1]
+                    row, item, score = row[place < k], item[place < k], score[place < k]
+        return row, item, score
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in range(0, b.num_rows, 512):
+                part = b.slice(t, 512)
+                row, item, score = found(part)
+                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[row], pa.int64()), pa.array(item), pa.array(score)], names=["user_id", "item_id", "score"])
+
+    return u.repartition(USER_PARTS, "user_id").mapInArrow(run, "user_id long, item_id long, score double")
 
 
 def predefined(lists: DataFrame, cutoff: int) -> DataFrame:
