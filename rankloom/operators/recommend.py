@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -143,59 +142,80 @@ def candidate_pool(*lists: DataFrame) -> DataFrame:
     return every.groupBy("user_id", "item_id").agg(F.count("*").alias("sources"))
 
 
-def factor_top(users: DataFrame, items: DataFrame, cutoff: int = 10, seen: DataFrame | None = None, block: int = 4096) -> DataFrame:
+def factor_top(users: DataFrame, items: DataFrame, cutoff: int = 10, seen: DataFrame | Packed | None = None, block: int = 4096) -> DataFrame:
     """(user_id, item_id, score): for each user the `cutoff` best unseen items, ties by item id.
 
-    The items are packed; a task of users takes them block by block as matrices and holds the best so far, so no row is made for a user and a
-    block, and `recommend` ranks what is left. users and items hold (id, factors[, bias])."""
-    own = None if seen is None else seen.groupBy("user_id").agg(F.sort_array(F.collect_list("item_id")).alias("seen"))
+    The items are packed by length, longest first; a task of users takes them block by block as matrices, holds the best so far and stops where
+    the product of the lengths is below these. No row is made for a user and a block, and `recommend` ranks what is left. users and items
+    hold (id, factors[, bias]); seen is (user_id, item_id), or packed by user and looked up."""
+    packed_seen = seen if isinstance(seen, Packed) else None
+    own = None if seen is None or packed_seen is not None else seen.groupBy("user_id").agg(F.collect_list("item_id").alias("seen"))
     u = users if own is None else users.join(own, "user_id", "left")
     u = u.select("user_id", "factors", F.col("bias") if "bias" in users.columns else F.lit(0.0).alias("bias"), F.col("seen") if own is not None else F.lit(None).cast("array<long>").alias("seen"))
-    bias = F.col("bias") if "bias" in items.columns else F.lit(0.0)
+    one = float("bias" in items.columns)
     with scratch() as stay:
-        cells = checkpointed(items.select(F.col("item_id").cast("long").alias("item_id"), F.posexplode(F.concat("factors", F.array(bias))).alias("k", "x")))
-        table = stay(pack(cells, "item_id", "k", "x"))
+        whole = items.select(F.col("item_id").cast("long").alias("item_id"), F.concat("factors", F.array(F.col("bias") if one else F.lit(0.0))).alias("v"))
+        whole = checkpointed(dense_index(whole.withColumn("n", -F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), "n", "item_id"))
+        halves = F.array(F.shiftright("item_id", 32).cast("double"), F.col("item_id").bitwiseAND(F.lit(0xFFFFFFFF)).cast("double"))  # exact as doubles
+        cells = whole.select("idx", F.posexplode(F.concat(halves, "v")).alias("k", "x"))
+        table = stay(pack(cells, "idx", "k", "x", span=(0, whole.count())))
     k = cutoff
 
-    def found(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, items and scores of the best of some users."""
-        f = np.array(part.column(1).to_pylist(), float)
-        known, plus = part.column(3).to_pylist(), part.column(2).to_numpy()[:, None]
-        least = np.full(len(f), -np.inf)
-        row, item, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and factors with the bias, of at most `block` items."""
         for p in range(len(table.parts)):
             keys, starts, _, data, _ = table.load(p)
             for t in range(0, len(keys), block):
-                ids = np.asarray(keys[t : t + block])
-                m = np.asarray(data[starts[t] : starts[t + len(ids)]], float).reshape(len(ids), -1)
-                s = f @ m[:, :-1].T + m[:, -1] + plus
-                for r, x in enumerate(known):
-                    if x:
-                        x = x[bisect_left(x, ids[0]) : bisect_right(x, ids[-1])]
-                        if x:
-                            at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
-                            s[r, at[ids[at] == x]] = -np.inf
-                bound = least - 10.0**-DIGITS
-                if len(ids) > k and np.isinf(least).any():
-                    bound = np.maximum(bound, np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] - 10.0**-DIGITS)
-                r, c = np.nonzero((s >= bound[:, None]) & np.isfinite(s))
-                if len(r):
-                    row, item, score = np.concatenate([row, r]), np.concatenate([item, ids[c]]), np.concatenate([score, s[r, c]])
-                    order = np.lexsort((item, -np.round(score, DIGITS), row))
-                    row, item, score = row[order], item[order], score[order]
-                    place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(f)))[row]
-                    least[row[place == k - 1]] = score[place == k - 1]
-                    row, item, score = row[place < k], item[place < k], score[place < k]
+                m = np.asarray(data[starts[t] : starts[min(t + block, len(keys))]], float).reshape(min(block, len(keys) - t), -1)
+                yield m[:, 0].astype(np.int64) << 32 | m[:, 1].astype(np.int64), m[:, 2:]
+
+    def found(f: np.ndarray, plus: np.ndarray, seen_row: np.ndarray, seen_item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, items and scores of the best of some users."""
+        least, size = np.full(len(f), -np.inf), np.sqrt((f * f).sum(axis=1)) * (1 + 1e-9)
+        row, item, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for ids, m in blocks():
+            bound = least - 10.0**-DIGITS
+            on = np.flatnonzero(~(size * np.sqrt((m[0] * m[0]).sum()) + plus < bound))
+            if not len(on):
+                break
+            s = f[on] @ m.T + plus[on, None]
+            if len(seen_item):
+                order, at = np.argsort(ids), np.full(len(f), -1)
+                at[on] = np.arange(len(on))
+                place = order[np.minimum(np.searchsorted(ids, seen_item, sorter=order), len(ids) - 1)]
+                use = (ids[place] == seen_item) & (at[seen_row] >= 0)
+                s[at[seen_row[use]], place[use]] = -np.inf
+            bound = bound[on]
+            if len(ids) > k and np.isinf(bound).any():
+                bound = np.maximum(bound, np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] - 10.0**-DIGITS)
+            r, c = np.nonzero((s >= bound[:, None]) & np.isfinite(s))
+            if len(r):
+                row, item, score = np.concatenate([row, on[r]]), np.concatenate([item, ids[c]]), np.concatenate([score, s[r, c]])
+                order = np.lexsort((item, -np.round(score, DIGITS), row))
+                row, item, score = row[order], item[order], score[order]
+                place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(f)))[row]
+                least[row[place == k - 1]] = score[place == k - 1]
+                row, item, score = row[place < k], item[place < k], score[place < k]
         return row, item, score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if packed_seen is None else Rows(packed_seen)
         for b in batches:
+            order = np.argsort(b.column(0).to_numpy())
             for t in range(0, b.num_rows, 512):
-                part = b.slice(t, 512)
-                row, item, score = found(part)
-                yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[row], pa.int64()), pa.array(item), pa.array(score)], names=["user_id", "item_id", "score"])
-
-    return u.repartition(USER_PARTS, "user_id").mapInArrow(run, "user_id long, item_id long, score double")
+                part = b.take(pa.array(order[t : t + 512]))
+                ids = part.column(0).to_numpy()
+                if known is not None:
+                    places, start, length = known.find(ids)
+                    seen_row, seen_item = np.repeat(np.arange(len(ids)), length), known.take(places, start, length)[1]
+                else:
+                    lists = part.column(3).fill_null([])
+                    seen_row, seen_item = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64)
+                f = np.array(part.column(1).to_pylist(), float)
+                row, item, score = found(np.column_stack([f, np.full(len(f), one)]), part.column(2).to_numpy(), seen_row, seen_item)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(item), pa.array(score)], names=["user_id", "item_id", "score"])
+
+    return u.select(F.col("user_id").cast("long").alias("user_id"), "factors", "bias", F.col("seen").cast("array<long>").alias("seen")).repartition(USER_PARTS, "user_id").mapInArrow(run, "user_id long, item_id long, score double")
 
 
 def predefined(lists: DataFrame, cutoff: int) -> DataFrame:
