@@ -51,7 +51,7 @@ def test_nmf_against_a_dense_control(spark):
     assert np.allclose(dense(u), x) and np.allclose(dense(i), y)
 
 
-@pytest.mark.parametrize("name", ["nmf"])
+@pytest.mark.parametrize("name", ["ials", "nmf"])
 def test_queries_join_no_factors_to_cells(spark, monkeypatch, name):
     def joined(*_, **__):
         raise AssertionError("factors are joined")
