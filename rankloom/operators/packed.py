@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import filesystem, release, run_folder, stored
+from ..sources.store import filesystem, release, remove, run_folder, stored
 
 #: Cells that a file of a packed matrix should hold, and the files at least and at most.
 CELLS, LEAST_FILES, MOST_FILES = 500_000, 12, 4_096
+#: Rounds in which rows written by one key are read by the other; what a round has read is removed.
+ROUNDS = 4
 #: Cells of rows looked up at once, cells of rows that look them up at once, and terms and rows added up at once.
 LOOKED_UP, ASKING, TERMS, ROWS = 2_000_000, 64_000, 32_000, 64
 
@@ -146,6 +148,107 @@ def made(x: Packed, make: Callable) -> Packed:
     return Packed(folder, sorted((tuple(p) for p in parts), key=lambda p: p[1]), x.spark)
 
 
+def turned(a: Packed, b: Packed, keep: Callable, shared: Callable, span: tuple[int, int], cells: int, done: Callable = lambda: None) -> Packed:
+    """What `multiply` gives as (i, j, w), packed by i: `pack` without Spark's shuffle.
+
+    A task writes what it keeps in the order of i, a file for each round; in a round, tasks of ranges of i read their slices of all its files and
+    write them by row, and the files go. span is the least i and its places, cells how many there may be; done is called once A is read."""
+    spark = a.spark
+    low, size = span
+    per = -(-min(MOST_FILES, max(LEAST_FILES, -(-cells // CELLS))) // ROUNDS)
+    edges = low + np.arange(ROUNDS * per + 1) * max(1, size) // (ROUNDS * per)
+    folders = [_folder(spark) for _ in range(ROUNDS)]
+    first_low, width = b.span()
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        disk, _ = filesystem(folders[0])
+        tops = [filesystem(f)[1] for f in folders]
+        for top in tops:
+            disk.create_dir(top, recursive=True)
+        rows = extra = scratch = None
+
+        def written(held: list) -> pa.RecordBatch:
+            i, j, w = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(i, kind="stable")
+            i, j, w = i[order], j[order], w[order]
+            cut, names = np.searchsorted(i, edges), []
+            for q, top in enumerate(tops):
+                own = cut[q * per : (q + 1) * per + 1]
+                names.append(uuid.uuid4().hex)  # of this attempt, as below
+                with disk.open_output_stream(f"{top}/{names[-1]}", compression=None) as f:
+                    f.write((own - own[0]).astype(np.int64).data)
+                    x, y = i[own[0] : own[-1]], j[own[0] : own[-1]]
+                    kinds = [_short(x), _short(y)]
+                    for c in (x.astype(np.int32) if kinds[0] else x, y.astype(np.int32) if kinds[1] else y, w[own[0] : own[-1]], np.array(kinds, np.int64)):
+                        f.write(np.ascontiguousarray(c).data)
+            return pa.RecordBatch.from_arrays([pa.array([names])], names=["files"])
+
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                if rows is None:
+                    rows, scratch, extra = Rows(b), np.zeros(width, np.int32 if width < 2**31 else np.int64), shared()
+                held, n = [], 0
+                for found in product(*a.load(k)[:4], rows, first_low, scratch):
+                    held.append(keep(*found, extra))
+                    n += len(held[-1][0])
+                    if n >= 4 * CELLS:
+                        yield written(held)
+                        held, n = [], 0
+                if n:
+                    yield written(held)
+
+    files = [r[0] for r in a.tasks().mapInArrow(slices, "files array<string>").collect()]
+    done()
+    folder, parts = _folder(spark), []
+    for q in range(ROUNDS):
+        source, names = folders[q], [f[q] for f in files]
+
+        def gathered(batches: Iterator[pa.RecordBatch], source=source, names=names) -> Iterator[pa.RecordBatch]:
+            disk, top = filesystem(folder)
+            disk.create_dir(top, recursive=True)
+            for batch in batches:
+                for p in batch.column(0).to_pylist():
+                    yield from _by_row(disk, top, [_slice(disk, f"{filesystem(source)[1]}/{n}", p, per) for n in names])
+
+        parts += spark.range(0, per, 1, per).mapInArrow(gathered, PARTS).collect()
+        remove(source)
+    return Packed(folder, sorted((tuple(p) for p in parts), key=lambda p: p[1]), spark)
+
+
+def _short(x: Array) -> bool:
+    return not len(x) or (-(2**31) <= int(x.min()) and int(x.max()) < 2**31)
+
+
+def _slice(disk, path: str, p: int, per: int) -> tuple[Array, Array, Array]:
+    """i, j and w of a range in a file of `turned`."""
+    with disk.open_input_file(path) as f:
+        cut = np.frombuffer(f.read_at(8 * (per + 1), 0), np.int64)
+        kinds = np.frombuffer(f.read_at(16, f.size() - 16), np.int64)
+        at, out = 8 * (per + 1), []
+        for kind in (np.int32 if kinds[0] else np.int64, np.int32 if kinds[1] else np.int64, np.float64):
+            one = np.dtype(kind).itemsize
+            out.append(np.frombuffer(f.read_at(one * int(cut[p + 1] - cut[p]), at + one * int(cut[p])), kind))
+            at += one * int(cut[-1])
+    return tuple(out)
+
+
+def _by_row(disk, top: str, slices: list) -> Iterator[pa.RecordBatch]:
+    """Cells (i, j, w), each slice in the order of i, written by row; so many at a time that they take no more than `pack` holds."""
+    slices = [s for s in slices if len(s[0])]
+    if not slices:
+        return
+    least, most = min(int(s[0][0]) for s in slices), max(int(s[0][-1]) for s in slices)
+    if sum(len(s[0]) for s in slices) > 4 * CELLS and least < most:
+        half = least + (most - least) // 2
+        at = [int(np.searchsorted(s[0], half, "right")) for s in slices]
+        yield from _by_row(disk, top, [tuple(x[:t] for x in s) for s, t in zip(slices, at)])
+        yield from _by_row(disk, top, [tuple(x[t:] for x in s) for s, t in zip(slices, at)])
+        return
+    i, j, w = (np.concatenate(c) for c in zip(*slices))
+    order = np.lexsort((j, i))
+    yield _written(disk, top, i[order].astype(np.int64), j[order].astype(np.int64), w[order])
+
+
 def scaled_rows(x: Packed, weights: Packed) -> Packed:
     """x with the data of each row times its weight (rows and one column of `weights`), without the rows that have none; each part is written anew where it is, nothing is shuffled."""
 

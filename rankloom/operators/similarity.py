@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rank_in
 from ..sources.store import checkpointed, remove, scratch
-from .packed import Packed, Rows, best, multiply, pack, ranges, scaled_rows
+from .packed import Packed, Rows, best, multiply, pack, ranges, scaled_rows, turned
 
 EPSILON = 1e-6
 #: Weights are ranked after rounding, so that the order of summation decides no tie.
@@ -169,11 +169,12 @@ def _classes(targets: Packed) -> DataFrame:
 
 def similarity(
     m: DataFrame | Packed, kind: str = "cosine", shrink: float = 0.0, normalize: bool = True, top_k: int | None = 50, asymmetric_alpha: float = 0.5,
-    tversky_alpha: float = 1.0, tversky_beta: float = 1.0, row_weights: DataFrame | None = None,
-) -> DataFrame:
+    tversky_alpha: float = 1.0, tversky_beta: float = 1.0, row_weights: DataFrame | None = None, packed: bool = False,
+) -> DataFrame | Packed:
     """(i, j, w): weight of column i for target column j, without the diagonal and zeros; the top_k of each target.
 
-    m is (row, col, data), or packed by row. Columns that are no integers, or too sparse ones, are numbered first."""
+    m is (row, col, data), or packed by row. Columns that are no integers, or too sparse ones, are numbered first. With `packed` the weights
+    come packed by i."""
     sets = kind in ("jaccard", "tanimoto", "dice", "tversky")
     if isinstance(m, Packed):
         x, m = (m, m.cells("row", "col")) if not sets and kind not in ("adjusted", "pearson") else (None, m.cells("row", "col"))
@@ -261,6 +262,8 @@ def similarity(
         r = r[use]
         return i[use], keys[r], v[use], (np.arange(len(r)) - np.searchsorted(r, np.arange(len(keys)))[r]).astype(np.int32)
 
+    if packed and member is None and names is None and top_k is not None:
+        return turned(targets, x, keep, norms, x.span(), min(top_k * sum(p[3] for p in targets.parts), MANY_TERMS * x.size()), lambda: remove(targets.folder))
     if member is None:
         out = multiply(targets, x, keep, "i long, j long, w double", norms)
     else:
@@ -271,7 +274,8 @@ def similarity(
     if names is not None:
         for c in ("i", "j"):
             out = out.join(names.select(F.col("col").alias(f"__{c}"), F.col("idx").alias(c)), c).drop(c).withColumnRenamed(f"__{c}", c)
-    return out.select("i", "j", "w")
+    out = out.select("i", "j", "w")
+    return pack(out, "i", "j", "w", cells=2 * x.size(), span=None if names is not None else x.span()) if packed else out
 
 
 def euclidean(m: DataFrame, mode: str = "lin", shrink: float = 0.0, normalize: bool = False, n_rows: DataFrame | None = None, top_k: int | None = 50) -> DataFrame:

@@ -431,7 +431,7 @@ def itemknn_lists(spark, d, train: DataFrame) -> tuple[DataFrame, Packed, Packed
     """Lists from an item-item cosine model, the profiles by user and the weights by i."""
     profiles = pack(train, "user_id", "item_id")
     with scratch() as stay:
-        w = stay(rc.packed_weights(sm.similarity(profiles, shrink=100), profiles))
+        w = stay(sm.similarity(profiles, shrink=100, packed=True))
     return rc.item_lists(profiles, w), profiles, w
 
 
