@@ -11,7 +11,7 @@ from rankloom.operators import recommend as rc
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["metrics_accuracy"])
+@pytest.mark.parametrize("name", ["metrics_accuracy", "metrics_ratio"])
 def test_weights_are_not_shuffled(spark, monkeypatch, name):
     def shuffled(*_, **__):
         raise AssertionError("weights are shuffled")
