@@ -233,8 +233,12 @@ SELECT i, j, round(w, 6) AS w FROM k WHERE r <= 30""")
 def slim_bpr(spark, d):
     from ..operators.trainers import slim_bpr as fit
 
-    train, _ = q.parts(spark, d)
-    return rounded(fit(sp.bpr_triples(train, _dense(spark, d)), train, epochs=2, rate=0.1, top_k=30), "w")
+    with store.scratch() as stay:
+        profiles = stay(q.packed_train(spark, d))
+        triples = stay(sp.packed_triples(profiles, _dense(spark, d)))
+    out = fit(triples, profiles, epochs=2, rate=0.1, top_k=30)
+    store.remove(triples.folder)
+    return rounded(out, "w")
 
 
 @query(f"""WITH {URM}{SPLIT}, g AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.data * b.data) / (SELECT count(DISTINCT user_id) FROM train) AS g FROM train a JOIN train b USING (user_id) GROUP BY 1, 2),
