@@ -49,6 +49,9 @@ class Packed:
     def size(self) -> int:
         return sum(p[4] for p in self.parts)
 
+    def rows(self) -> Rows:
+        return Rows(self)
+
     def load(self, k: int) -> tuple[Array, Array, Array, Array, Array]:
         """Keys, starts (one more than keys), columns, data and sums of squares of the rows of a part; local files are mapped, not read."""
         disk, top = filesystem(self.folder)
@@ -351,13 +354,51 @@ class Rows:
         return first[:-1], cols, data
 
 
+@dataclass
+class Mixed:
+    """The sum of packed matrices, each times a factor, which is formed where rows are looked up and nowhere stored."""
+
+    terms: list[tuple[Packed, float]]
+
+    def span(self) -> tuple[int, int]:
+        found = [x.span() for x, _ in self.terms if x.parts]
+        low = min((a for a, _ in found), default=0)
+        return low, max((a + n for a, n in found), default=low) - low
+
+    def rows(self) -> MixedRows:
+        return MixedRows(self)
+
+
+class MixedRows:
+    """`Rows` of a `Mixed`: a row holds those of its terms one after the other, so a column may come several times."""
+
+    def __init__(self, mixed: Mixed):
+        self.terms = [(Rows(x), factor) for x, factor in mixed.terms]
+
+    def find(self, keys: Array) -> tuple[Array, Array, Array]:
+        found = [rows.find(keys) for rows, _ in self.terms]
+        part, start, size = (np.stack(x, axis=1) for x in zip(*found))
+        return np.stack([part, size], axis=2), start, size.sum(axis=1)
+
+    def take(self, part: Array, start: Array, length: Array) -> tuple[Array, Array, Array]:
+        first = np.concatenate(([0], np.cumsum(length)))
+        cols, data, at = np.empty(first[-1], np.int64), np.empty(first[-1]), first[:-1].copy()
+        for k, (rows, factor) in enumerate(self.terms):
+            size = part[:, k, 1]
+            _, own, x = rows.take(part[:, k, 0], start[:, k], size)
+            to = ranges(at, size)
+            cols[to], data[to] = own, x * factor
+            at += size
+        return first[:-1], cols, data
+
+
 def ranges(start: Array, length: Array) -> Array:
     """start, start + 1, ... of each range, one after the other."""
     before = np.concatenate(([0], np.cumsum(length)))
     return np.arange(before[-1]) + np.repeat(start - before[:-1], length)
 
 
-def product(keys: Array, starts: Array, ids: Array, x: Array, b: Rows, low: int, scratch: Array) -> Iterator[tuple[Array, Array, Array, Array]]:
+def product(keys: Array, starts: Array, ids: Array, x: Array, b: Rows | MixedRows, low: int, scratch: Array) -> Iterator[tuple[Array, Array, Array, Array]]:
     """Rows of A B as (keys of some rows, row among them, column, sum), with every column that a term has; columns are in order within a row.
 
     ids and x are the cells of A between starts; scratch has a place for every column of B from `low` on."""
@@ -431,7 +472,7 @@ def best(row: Array, value: Array, k: int) -> Array:
     return near[np.arange(len(r)) - np.searchsorted(r, np.arange(row[-1] + 1))[r] < k]
 
 
-def multiply(a: Packed, b: Packed, keep: Callable, schema: str, shared: Callable | None = None) -> DataFrame:
+def multiply(a: Packed, b: Packed | Mixed, keep: Callable, schema: str, shared: Callable | None = None) -> DataFrame:
     """keep(keys, row, column, sum, what `shared` makes in the task) for some rows of A B at a time, as rows of the schema."""
     low, size = b.span()
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
@@ -441,7 +482,7 @@ def multiply(a: Packed, b: Packed, keep: Callable, schema: str, shared: Callable
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 if rows is None:
-                    rows, scratch, extra = Rows(b), np.zeros(size, np.int32 if size < 2**31 else np.int64), shared() if shared else None
+                    rows, scratch, extra = b.rows(), np.zeros(size, np.int32 if size < 2**31 else np.int64), shared() if shared else None
                 held, n = [], 0
                 for found in product(*a.load(k)[:4], rows, low, scratch):
                     out = keep(*found, extra)

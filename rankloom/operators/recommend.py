@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dot, rank_in
-from ..sources.store import checkpointed, scratch
+from ..sources.store import checkpointed, remove, scratch
 from .matrix import dense_index
-from .packed import Packed, Rows, best, multiply, pack
-from .similarity import DIGITS, top
+from .packed import Mixed, Packed, Rows, best, dealt, made, multiply, pack, product
+from .similarity import DIGITS, MANY_TERMS, top
 
 #: Parts of the users whose scores are made.
 USER_PARTS = 64
@@ -34,7 +34,7 @@ def user_scores(profiles: DataFrame, w: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("i").alias("user_id"), "item_id").agg(F.sum(F.col("data") * F.col("w")).alias("score"))
 
 
-def ranked_product(a: Packed, b: Packed, seen: Packed, cutoff: int = 10) -> DataFrame:
+def ranked_product(a: Packed, b: Packed | Mixed, seen: Packed, cutoff: int = 10) -> DataFrame:
     """(user_id, item_id, rank, score): the best unseen columns of each row of A B, ties by item id; a row's scores stay in its task.
 
     `recommend(item_scores(profiles, w), profiles)` is A = profiles by user and B = w by i, `recommend(user_scores(profiles, w), profiles)`
@@ -61,9 +61,33 @@ def packed_weights(w: DataFrame, like: Packed) -> Packed:
     return pack(w, "i", "j", "w", cells=2 * like.size(), span=like.span())
 
 
-def item_lists(profiles: Packed, w: DataFrame | Packed, cutoff: int = 10) -> DataFrame:
+def item_lists(profiles: Packed, w: DataFrame | Packed | Mixed, cutoff: int = 10) -> DataFrame:
     """(user_id, item_id, rank, score) from item weights (i, j, w); profiles are packed by user."""
-    return ranked_product(profiles, w if isinstance(w, Packed) else packed_weights(w, profiles), profiles, cutoff)
+    return ranked_product(profiles, packed_weights(w, profiles) if isinstance(w, DataFrame) else w, profiles, cutoff)
+
+
+def largest_row_sum(profiles: Packed, w: Packed) -> float:
+    """The greatest sum of a user's absolute scores, 0 without any: `matrix_norm(scores, "inf")` where a user's scores are made.
+
+    Without negative data and weights it is the product with the sums of the weights' rows; otherwise scores are formed, none is kept."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([float(x.load(k)[3].min()) for k in b.column(0).to_pylist()])], names=["least"])
+
+    def sums(k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        keys, starts, _, data, _ = w.load(k)
+        yield np.asarray(keys), np.zeros(len(keys), np.int64), np.add.reduceat(data.astype(float), np.asarray(starts[:-1]))
+
+    def keep(keys, row, col, total, _):
+        return (np.bincount(row, np.abs(total), len(keys)).max(keepdims=True),)
+
+    with scratch():
+        below = False
+        for x in (profiles, w):
+            below = below or (x.tasks().mapInArrow(least, "least double").agg(F.min("least")).first()[0] or 0.0) < 0
+        sized = multiply(profiles, w if below else made(w, sums), keep, "norm double")
+        return sized.agg(F.max("norm")).first()[0] or 0.0
 
 
 def user_lists(profiles: Packed, w: DataFrame, cutoff: int = 10) -> DataFrame:
@@ -259,6 +283,65 @@ def graph_walk(m: DataFrame, alpha: float = 1.0, beta: float = 0.0, least: float
     return top(w, top_k, by="j")
 
 
+def packed_walk(profiles: Packed, alpha: float = 1.0, beta: float = 0.0, least: float = 0.0, implicit: bool = False, normalise: bool = False, top_k: int = 100) -> Packed:
+    """`graph_walk` of cells packed by user, packed by i: the task of a row i adds its walks up and keeps the top_k, so that no pair is joined."""
+
+    def steps(k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        keys, starts, cols, data, _ = profiles.load(k)
+        key, data = np.repeat(keys, np.diff(starts)), data.astype(float)
+        if least > 0:
+            use = data >= least
+            key, cols, data = key[use], cols[use], np.ones(int(use.sum())) if implicit else data[use]
+        if len(key):
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            yield key, cols, (data / np.repeat(np.add.reduceat(np.abs(data), first), np.diff(np.append(first, len(key))))) ** alpha
+
+    def transposed(x: Packed) -> Packed:
+        def make(k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            keys, starts, cols, _, _ = x.load(k)
+            yield cols.astype(np.int64), np.repeat(keys, np.diff(starts)), np.ones(len(cols))
+
+        return dealt(x, lambda: make, x.span(), x.size())
+
+    with scratch() as stay:
+        by_user = made(profiles, steps)
+        by_item = transposed(by_user)
+        low, size = by_user.span()
+
+        def popularity() -> np.ndarray:
+            out = np.zeros(size)
+            for k in range(len(by_item.parts)):
+                keys, starts = by_item.load(k)[:2]
+                out[keys - low] = np.diff(starts)
+            return out
+
+        def begin() -> Callable:
+            rows, place, n = Rows(by_user), np.zeros(size, np.int32 if size < 2**31 else np.int64), popularity()
+
+            def make(k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                keys, starts, users, _, _ = by_item.load(k)
+                for own, row, col, total in product(keys, starts, users, np.ones(len(users)), rows, low, place):
+                    use = np.flatnonzero(col != own[row])
+                    row, col, total = row[use], col[use], total[use]
+                    w = total * (1.0 / n[own - low])[row] ** alpha * n[col - low] ** -beta
+                    use = best(row, np.round(w, DIGITS), top_k)
+                    row, col, w = row[use], col[use], w[use]
+                    if normalise:
+                        w = w / np.bincount(row, w, len(own))[row]
+                    yield col, own[row], w
+
+            return make
+
+        def shortened(k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            keys, starts, cols, data, _ = by_target.load(k)
+            row = np.repeat(np.arange(len(keys)), np.diff(starts))
+            use = best(row, np.round(data, DIGITS), top_k)
+            yield cols[use].astype(np.int64), np.asarray(keys)[row[use]], data[use].astype(float)
+
+        by_target = dealt(by_item, begin, (low, size), min(top_k * sum(p[3] for p in by_item.parts), MANY_TERMS * by_item.size()), lambda: [remove(x.folder) for x in (by_user, by_item)])
+        return stay(dealt(by_target, lambda: shortened, (low, size), by_target.size()))
+
+
 def combine_scores(first: DataFrame, second: DataFrame, alpha: float, norms: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """alpha * first + (1 - alpha) * second, each divided by its norm (one row, norm) if given."""
     parts = []

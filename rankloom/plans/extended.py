@@ -12,7 +12,7 @@ from ..operators import recommend as rc
 from ..operators import similarity as sm
 from ..operators import split as sp
 from ..operators import statistics as st
-from ..operators.packed import pack
+from ..operators.packed import Mixed, pack
 from ..sources import readers, store
 from ..sources.store import checkpointed, run_folder
 from . import queries as q
@@ -207,10 +207,12 @@ SELECT user_id, item_id, CAST(rank AS BIGINT) AS rank, round(score, 9) AS score
 
 @query(_norm_sql("inf"))
 def score_hybrid_linf(spark, d):
-    train, knn = q.itemknn(spark, d)
-    walk = rc.item_scores(train, rc.graph_walk(train, top_k=50))
-    norms = tuple(sm.matrix_norm(s.select(F.col("user_id").alias("i"), F.col("item_id").alias("j"), F.col("score").alias("w")), "inf") for s in (knn, walk))
-    out = rc.recommend(rc.combine_scores(knn, walk, 0.6, norms), train)
+    profiles = q.packed_train(spark, d)
+    with store.scratch() as stay:
+        walk = stay(rc.packed_walk(profiles, top_k=50))
+        weights = [stay(sm.similarity(profiles, shrink=100, packed=True)), walk]
+    norms = [rc.largest_row_sum(profiles, w) for w in weights]
+    out = rc.item_lists(profiles, Mixed([(w, a / n if n else 0.0) for w, a, n in zip(weights, (0.6, 1 - 0.6), norms)]))
     return out.select("user_id", "item_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
