@@ -64,7 +64,9 @@ atexit.register(_clean)
 def release(spark: SparkSession) -> None:
     """Spark removes shuffle files once the driver has collected what refers to them; without a collection they lie there to the end."""
     gc.collect()
-    time.sleep(0.2)  # the events of the last job refer to its plan until the listeners have had them
+    # a listener refers to its last event, and that to the plan of the last query, until it gets another one
+    spark.sql("VALUES 1").collect()
+    time.sleep(0.2)
     spark.sparkContext._jvm.System.gc()
 
 
