@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rank_in
-from ..sources.store import checkpointed
+from ..sources.store import checkpointed, release
 from .packed import Packed, Rows, pack, ranges
 
 
@@ -97,7 +97,12 @@ def train_reference(train: DataFrame, items: DataFrame, users: DataFrame) -> Dat
         (2 * F.sum((k * (F.col("n_items") + 1) - ranks) / (F.col("n_items") + 1) * share)).alias("diversity_gini"), (1 - F.sum(k * share * share)).alias("diversity_herfindahl"),
         F.sum(F.when(F.col("p") > 0, -k * share * F.log2(share)).otherwise(0.0)).alias("shannon_entropy"),
     )
-    return by_user.crossJoin(by_item)
+    # computed at once, so that the shuffles of the profiles are gone before those of the lists are written
+    out = by_user.crossJoin(by_item)
+    row, schema = out.collect(), out.schema
+    del out
+    release(train.sparkSession)
+    return train.sparkSession.createDataFrame(row, schema)
 
 
 def ratios(beyond: DataFrame, reference: DataFrame) -> DataFrame:
