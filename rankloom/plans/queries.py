@@ -395,9 +395,10 @@ def sim_hybrid(spark, d):
 
 @query(f"WITH {URM}, {ICM}, {sim_sql(COSINE, k=50)}, {ICM_SIM} SELECT i, j, round(cbf.w - sim.w, 6) AS delta FROM sim JOIN cbf USING (i, j)")
 def sim_common_delta(spark, d):
-    a = sm.similarity(cells(urm(spark, d)), shrink=100)
-    b = sm.similarity(icm(spark, d).select(F.col("feature_id").alias("row"), F.col("item_id").alias("col"), "data"), shrink=2, top_k=20)
-    return rounded(sm.common_delta(a, b), "delta")
+    with scratch() as stay:
+        b = stay(sm.similarity(icm(spark, d).select(F.col("feature_id").alias("row"), F.col("item_id").alias("col"), "data"), shrink=2, top_k=20, packed="j"))
+    both = sm.similarity(cells(urm(spark, d)), shrink=100, beside=b)
+    return rounded(both.select("i", "j", (F.col("v") - F.col("w")).alias("delta")), "delta")
 
 
 # ---- models and recommendations
