@@ -90,8 +90,10 @@ def largest_row_sum(profiles: Packed, w: Packed) -> float:
         return sized.agg(F.max("norm")).first()[0] or 0.0
 
 
-def user_lists(profiles: Packed, w: DataFrame, cutoff: int = 10) -> DataFrame:
-    """(user_id, item_id, rank, score) from user weights (i, j, w); profiles are packed by user."""
+def user_lists(profiles: Packed, w: DataFrame | Packed, cutoff: int = 10) -> DataFrame:
+    """(user_id, item_id, rank, score) from user weights (i, j, w), which may be packed by i; profiles are packed by user."""
+    if isinstance(w, Packed):
+        return ranked_product(w, profiles, profiles, cutoff)
     if not profiles.parts:
         return ranked_product(profiles, profiles, profiles, cutoff)
     low = profiles.parts[0][1]
